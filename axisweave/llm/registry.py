@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from axisweave.llm import quality
+import corpus_pipeline
+from axisweave.llm import decontaminate, langid, mixing, neardup, quality, sharding, toxicity
 
 _MODULES = {
     "op1_quality_rules": quality,
+    "op4_decontaminate": decontaminate,
+    "op5_source_mix": mixing,
+    "op6_toxicity": toxicity,
+    "op7_near_duplicates": neardup,
+    "op9_sharding": sharding,
+    "op10_language_id": langid,
 }
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {**{name: module.query for name, module in _MODULES.items()}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
