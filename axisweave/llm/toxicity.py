@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from axisweave.llm.vector import PUNCTUATION, words_of
 
-#: Hash buckets of terms, factors of a term, labelled rows that are learnt from at most (those of least hash), rows that hold a term at least, and passes.
-BUCKETS, FACTORS, TRAIN_ROWS, MIN_ROWS, EPOCHS = 1 << 18, 8, 16_384, 3, 6
+#: Hash buckets of terms, factors of a term, labelled rows that are learnt from at most (those of least hash), least association of a term with the label (log-likelihood ratio G2), and passes.
+BUCKETS, FACTORS, TRAIN_ROWS, MIN_G2, EPOCHS = 1 << 18, 8, 16_384, 25.0, 8
+#: A word also counts by its first bytes, so that inflected forms share what is learnt.
+PREFIX = 4
 CUT = 0.7
 
 
 def _terms(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, sorted distinct buckets of each row's terms one after another, and their n + 1 offsets."""
     for a, b, w in words_of(col, lower=True, breaks=PUNCTUATION):
-        both = np.unique(w.doc.astype(np.int64) * BUCKETS + (w.hash % np.uint64(BUCKETS)).astype(np.int64))
+        stem = w.spans(w.starts, np.minimum(w.starts + PREFIX, w.ends)) ^ np.uint64(0x5BD1E995)
+        terms = np.concatenate([w.hash, stem]) % np.uint64(BUCKETS)
+        both = np.unique(np.concatenate([w.doc, w.doc]).astype(np.int64) * BUCKETS + terms.astype(np.int64))
         rows, buckets = np.divmod(both, BUCKETS)
         yield a, b, buckets.astype(np.int32), np.searchsorted(rows, np.arange(b - a + 1))
 
@@ -43,10 +47,26 @@ class Machine:
         return out
 
 
+def associated(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Mask of the terms whose presence is associated with the label: G2 of the 2 x 2 table, MIN_G2 at least."""
+    if not rows:
+        return np.zeros(BUCKETS, bool)
+    n1, n = labels.sum(), float(len(labels))
+    size = [len(x) for x in rows]
+    every = np.concatenate(rows)
+    k = np.bincount(every, minlength=BUCKETS).astype(float)
+    k1 = np.bincount(every, np.repeat(labels, size), BUCKETS)
+    g2 = np.zeros(BUCKETS)
+    for seen, among, total in ((k1, k, n1), (k - k1, k, n - n1), (n1 - k1, n - k, n1), (n - n1 - k + k1, n - k, n - n1)):
+        expected = among * total / n
+        g2 += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    return 2 * g2 >= MIN_G2
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, seed: int = 7) -> Machine:
-    """Adagrad on the logistic loss; terms in too few rows keep no weight, so unseen terms add nothing to a score."""
+    """Adagrad on the logistic loss; terms not associated with the label keep no weight, so rare and unseen terms add nothing to a score."""
     rng = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=BUCKETS) >= MIN_ROWS
+    seen = associated(rows, labels)
     rows = [x[seen[x]] for x in rows]
     w, v = np.zeros(BUCKETS), rng.normal(0, 0.01, (BUCKETS, factors)) * seen[:, None]
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))

@@ -89,8 +89,13 @@ class Words:
         power, inverse = _power(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        self.hash = mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self._total, self._inverse = total, inverse
+        self.hash = self.spans(self.starts, self.ends)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans."""
+        h = (self._total[ends] - self._total[starts]) * self._inverse[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words_of(col: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
