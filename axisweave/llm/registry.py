@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from axisweave.llm import decontaminate, langid, mixing, neardup, quality, sharding, toxicity
+from axisweave.llm import decontaminate, langid, mixing, neardup, quality, sharding, substring, toxicity
 
 _MODULES = {
     "op1_quality_rules": quality,
+    "op2_substring_dedup": substring,
     "op4_decontaminate": decontaminate,
     "op5_source_mix": mixing,
     "op6_toxicity": toxicity,
