@@ -14,10 +14,12 @@ from axisweave.llm.graph import components
 from axisweave.llm.text import stored
 from axisweave.llm.vector import mix, shingles, words_of
 
-#: Bands of each of the two collections, and MinHashes of a band: 2 * 10 * 3 MinHashes serve 10 * 10
-#: tables of six MinHashes each. A pair of similarity 0.8 meets in a table with probability
-#: (1 - (1 - 0.8**3)**10)**2 = 0.998, one of 0.9 with 0.999995.
-BANDS, ROWS = 10, 3
+#: Bands of each of the two collections, and MinHashes of a band: 2 * 14 * 4 MinHashes serve 14 * 14
+#: tables of eight MinHashes each. A pair of similarity 0.8 meets in a table with probability
+#: (1 - (1 - 0.8**4)**14)**2 = 0.9988, one of 0.85 with 0.99996.
+BANDS, ROWS = 14, 4
+#: Rounds in which each document is compared with one other, before all that is left is compared.
+ROUNDS = 3
 
 
 def _signer(size: int, bands: int, rows: int):
@@ -112,14 +114,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return out.where("ok").select("a", "b").distinct()
 
 
+def _sizes(m: str, n: str, percent: int):
+    """Sets of such sizes can be similar enough."""
+    return F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n)
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Each row's key, n_shingles, component_id (smallest key reachable over links) and kept (it is its own component's key).
 
     Documents are linked if the Jaccard similarity of their sets of `size`-word shingles (A-Z lower-cased)
     is at least percent / 100; every link is confirmed on the full sets. Documents of equal sets share one
-    representative. In each table every member is first compared with its smallest one; tables whose
-    members are then joined are done, and in the others all pairs between different components follow,
-    so no colliding pair goes unexamined unless it is joined already.
+    representative. For three rounds each document is compared with the smallest member of one of its tables
+    that it isn't joined with yet; tables whose members are all joined are done, and in the others all pairs
+    between different components follow, so no colliding pair goes unexamined unless it is joined already
+    or the sizes of its sets rule it out.
 
     Null and empty texts have no shingles and stay alone. Rows that repeat a key count as one document.
     A null key has no component and is kept. Other columns are not looked at; an empty table gives no rows.
@@ -129,24 +137,38 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     classes = whole.groupBy("n", "sa", "sb").agg(F.min(F.struct("id", "left", "right")).alias("r"))
     classes = stored(classes.select("n", "sa", "sb", "r.*"), "classes")
     tables = stored(_tables(classes), "tables")
-    hubs = tables.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = stored(tables.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "star")
-
     def texts(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         return stored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi"), "texts")
 
-    links = stored(_confirmed(star, texts(star), size, percent), "links")
-    comp = components(links)
-    # what is still apart: pairs of one table in different components that were not compared yet
-    at = tables.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    at = stored(at.join(split, "key", "left_semi"), "apart")
-    right = at.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    more = at.withColumnRenamed("id", "a").join(right, "key").where("c <> d and a < b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(more, "apart-pairs")
-    if not more.isEmpty():
-        comp = components(links.unionByName(_confirmed(more, texts(more), size, percent)))
+    links = tested = comp = None
+    at = tables.join(classes.select("id", "n"), "id").select("key", "id", "n", F.col("id").alias("c"))
+    for turn in range(ROUNDS + 1):
+        # tables that hold more than one component, with their smallest member
+        split = at.groupBy("key").agg(F.min(F.struct("id", "c", "n")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
+        if turn < ROUNDS:
+            pairs = at.join(split, "key").where((F.col("c") != F.col("h.c")) & _sizes("n", "h.n", percent)).select(F.col("h.id").alias("a"), F.col("id").alias("b"))
+        else:
+            at = stored(at.join(split.select("key"), "key", "left_semi"), "apart")
+            right = at.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
+            pairs = at.withColumnRenamed("id", "a").join(right, "key").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("b")) & _sizes("n", "m", percent)).select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if turn < ROUNDS:
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            if turn < ROUNDS:
+                continue
+            break
+        found = _confirmed(pairs, texts(pairs), size, percent)
+        links = stored(found if links is None else links.unionByName(found), "links")
+        tested = pairs if tested is None else stored(tested.unionByName(pairs), "tested")
+        comp = components(links).withColumnRenamed("id", "_id")
+        at = stored(at.drop("c").join(comp, F.col("id") == F.col("_id"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "tables")
+    if comp is None:
+        comp = classes.select(F.col("id").alias("_id"), F.col("id").alias("component")).limit(0)
+    comp = comp.withColumnRenamed("_id", "id")
     named = classes.select("n", "sa", "sb", "id").join(comp, "id", "left").select("n", "sa", "sb", F.coalesce("component", "id").alias("component"))
     out = sig.select("id", "n", "sa", "sb").join(named, ["n", "sa", "sb"], "left")
     comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
