@@ -1,4 +1,141 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the interval operators and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from axisweave.functions import genome
+from axisweave.functions.construct import sanitize_bedframe
+from axisweave.functions.regions import ucsc_string
+from axisweave.operators import algebra, checks, islands, joins, nearest, ranges
+from axisweave.plans.tables import CTE, events, lineitems, orders, view
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+#: SQL of what overlaps: points are widened to length 1.
+_HIT = "{a}.chrom = {b}.chrom AND {a}.s < CASE WHEN {b}.s = {b}.e THEN {b}.e + 1 ELSE {b}.e END AND {b}.s < CASE WHEN {a}.s = {a}.e THEN {a}.e + 1 ELSE {a}.e END"
+AB, AV, BV = _HIT.format(a="A", b="B"), _HIT.format(a="A", b="V"), _HIT.format(a="B", b="V")
+
+
+def _add(name: str, query, sql: str | None = None, more: str = "") -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = f"WITH {CTE.strip()}{', ' + more if more else ''} {sql}"
+
+
+def _merged(source: str, keys: str, cond: str) -> str:
+    """CTEs: W with the running maximum, I with island numbers, M with merged rows."""
+    return f"""W AS (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {source}),
+I AS (SELECT *, sum(CASE WHEN far IS NULL OR {cond} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM W),
+M AS (SELECT {keys}, island, min(s) AS s, max(e) AS e, count(*) AS n FROM I GROUP BY {keys}, island)"""
+
+
+_add("select_region", lambda s, d: ranges.select(orders(s, d), "chr7:1k-40k"), "SELECT chrom, s AS start, e AS \"end\", okey, strand FROM B WHERE chrom = 'chr7' AND ((s < 40000 AND e > 1000) OR (s = e AND s = 1000))")
+_add("select_mask", lambda s, d: ranges.select_mask(orders(s, d), ("chr7", 1000, 40000)).select("okey", "mask"), "SELECT okey, chrom = 'chr7' AND ((s < 40000 AND e > 1000) OR (s = e AND s = 1000)) AS mask FROM B")
+_add("select_labels", lambda s, d: ranges.select_labels(orders(s, d), "chr9", "okey"), "SELECT okey FROM B WHERE chrom = 'chr9' AND (e > 0 OR (s = e AND s = 0))")
+_add("expand_pad", lambda s, d: ranges.expand(orders(s, d), pad=15), "SELECT chrom, s - 15 AS start, e + 15 AS \"end\", okey, strand FROM B")
+_add("expand_neg_pad", lambda s, d: ranges.expand(orders(s, d), pad=-20), "SELECT chrom, least(s + 20, s + CAST(trunc((e - s) * 0.5) AS BIGINT)) AS start, greatest(e - 20, s + CAST(trunc((e - s) * 0.5) AS BIGINT)) AS \"end\", okey, strand FROM B")
+_add("expand_scale", lambda s, d: ranges.expand(orders(s, d), scale=1.5), "SELECT chrom, CAST(round_even(s - 0.25 * (e - s), 0) AS BIGINT) AS start, CAST(round_even(e + 0.25 * (e - s), 0) AS BIGINT) AS \"end\", okey, strand FROM B")
+_add("expand_left", lambda s, d: ranges.expand(orders(s, d), pad=7, side="left"), "SELECT chrom, s - 7 AS start, e AS \"end\", okey, strand FROM B")
+
+_PAIR = 'A.chrom, A.s AS start, A.e AS "end", A.strand, B.chrom AS chrom_, B.s AS start_, B.e AS end_, B.okey AS okey_, B.strand AS strand_'
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    _add(f"overlap_{_how}", lambda s, d, h=_how: joins.overlap(lineitems(s, d), orders(s, d), h), f"SELECT {_PAIR} FROM A {_sql} B ON {AB}")
+_add("overlap_on_strand", lambda s, d: joins.overlap(orders(s, d), orders(s, d).where("okey % 2 = 0"), "inner", on=["strand"]).select("okey", "okey_"), f"SELECT X.okey, Y.okey AS okey_ FROM B X JOIN B Y ON {_HIT.format(a='X', b='Y')} AND X.strand IS NOT DISTINCT FROM Y.strand AND Y.okey % 2 = 0")
+_add("overlap_segment", lambda s, d: joins.overlap(lineitems(s, d), orders(s, d), "inner", return_overlap=True, return_input=False), f"SELECT greatest(A.s, B.s) AS overlap_start, least(A.e, B.e) AS overlap_end FROM A JOIN B ON {AB}")
+_add("setdiff", lambda s, d: joins.setdiff(lineitems(s, d), orders(s, d)), f'SELECT chrom, s AS start, e AS "end", strand FROM A WHERE NOT EXISTS (SELECT 1 FROM B WHERE {AB})')
+_add("semi_overlap", lambda s, d: joins.semi(lineitems(s, d), orders(s, d)), f'SELECT chrom, s AS start, e AS "end", strand FROM A WHERE EXISTS (SELECT 1 FROM B WHERE {AB})')
+_add("count_overlaps", lambda s, d: joins.count_overlaps(orders(s, d), lineitems(s, d)).select("okey", "count"), f'SELECT B.okey, count(A.chrom) AS "count" FROM B LEFT JOIN A ON {AB} GROUP BY B.okey')
+_add("coverage", lambda s, d: joins.coverage(orders(s, d), lineitems(s, d)).select("okey", "coverage"), f"SELECT B.okey, CAST(coalesce(sum(CASE WHEN M.s IS NULL THEN 0 ELSE greatest(0, least(M.e, B.e) - greatest(M.s, B.s)) END), 0) AS BIGINT) AS coverage FROM B LEFT JOIN M ON {_HIT.format(a='M', b='B')} GROUP BY B.okey", _merged("A", "chrom", "s > far"))
+_add("union_intervals", lambda s, d: lineitems(s, d).select("chrom", "start", "end").unionByName(orders(s, d).select("chrom", "start", "end")), 'SELECT chrom, s AS start, e AS "end" FROM A UNION ALL SELECT chrom, s, e FROM B')
+
+for _name, _dist, _cond in (("merge", 0, "s > far"), ("merge_min_dist", 25, "s > far + 25"), ("merge_none", None, "s >= far")):
+    _add(_name, lambda s, d, x=_dist: islands.merge(lineitems(s, d), x), 'SELECT chrom, s AS start, e AS "end", n AS n_intervals FROM M', _merged("A", "chrom", _cond))
+_add("merge_on", lambda s, d: islands.merge(lineitems(s, d), on=["strand"]), 'SELECT chrom, s AS start, e AS "end", strand, n AS n_intervals FROM M', _merged("A", "chrom, strand", "s > far"))
+_CLUSTER = "SELECT okey, CAST(base + island - 1 AS BIGINT) AS cluster, M.s AS cluster_start, M.e AS cluster_end FROM I JOIN M USING (chrom, island) JOIN G USING (chrom)"
+_add("cluster", lambda s, d: islands.cluster(orders(s, d)).select("okey", "cluster", "cluster_start", "cluster_end"), _CLUSTER, _merged("B", "chrom", "s > far") + ", G AS (SELECT chrom, coalesce(sum(count(*)) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM M GROUP BY chrom)")
+_add("depth_profile", lambda s, d: islands.depth_profile(lineitems(s, d)), 'SELECT chrom, p AS start, nxt AS "end", CAST(depth AS BIGINT) AS depth FROM (SELECT chrom, p, lead(p) OVER w AS nxt, sum(x) OVER (PARTITION BY chrom ORDER BY p ROWS UNBOUNDED PRECEDING) AS depth FROM (SELECT chrom, p, sum(x) AS x FROM (SELECT chrom, s AS p, 1 AS x FROM A UNION ALL SELECT chrom, e, -1 FROM A) GROUP BY chrom, p) WINDOW w AS (PARTITION BY chrom ORDER BY p)) WHERE nxt IS NOT NULL AND depth <> 0')
+_RUNS = """W AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far, lag(grp) OVER (PARTITION BY chrom ORDER BY s, e, event_id) AS pg FROM E),
+R AS (SELECT *, sum(CASE WHEN far IS NULL OR s > far OR grp IS DISTINCT FROM pg THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e, event_id ROWS UNBOUNDED PRECEDING) - 1 AS run FROM W)"""
+
+
+def _event_runs(s: SparkSession, d: str) -> DataFrame:
+    # rows are numbered in file order; an order by id makes ties the same everywhere
+    return events(s, d).repartition(1).sortWithinPartitions("event_id")
+
+
+_add("mark_runs", lambda s, d: islands.mark_runs(_event_runs(s, d), "grp", allow_overlaps=True).select("event_id", "run"), "SELECT event_id, CAST(run AS BIGINT) AS run FROM R", _RUNS)
+_add("merge_runs", lambda s, d: islands.merge_runs(_event_runs(s, d), "grp", allow_overlaps=True, agg={"n": ("event_id", "count")}), 'SELECT chrom, min(s) AS start, max(e) AS "end", min(grp) AS grp, count(*) AS n FROM R GROUP BY chrom, run', _RUNS)
+
+_GAPS = """X AS (SELECT V.name AS chrom, V.chrom AS c, V.s AS lo, V.e AS hi, greatest(A.s, V.s) AS s, least(A.e, V.e) AS e FROM A JOIN V ON {av}),
+{merged}, K AS (SELECT M.*, V.chrom AS c, V.s AS lo, V.e AS hi FROM M JOIN V ON M.chrom = V.name WHERE M.e > V.s AND M.s < V.e),
+L AS (SELECT *, lag(e) OVER (PARTITION BY chrom ORDER BY s) AS pe, lead(s) OVER (PARTITION BY chrom ORDER BY s) AS ns FROM K)"""
+_add(
+    "complement", lambda s, d: algebra.complement(lineitems(s, d), view(s)),
+    """SELECT c AS chrom, coalesce(pe, lo) AS start, s AS "end", chrom AS view_region FROM L WHERE pe IS NOT NULL OR s > lo
+UNION ALL SELECT c, e, hi, chrom FROM L WHERE ns IS NULL AND e < hi UNION ALL SELECT chrom, s, e, name FROM V WHERE name NOT IN (SELECT chrom FROM K)""",
+    _GAPS.format(av=AV, merged=_merged("X", "chrom", "s > far")),
+)
+_FREE = _merged("A", "chrom", "s > far") + """, L AS (SELECT *, lag(e) OVER (PARTITION BY chrom ORDER BY s) AS pe, lead(s) OVER (PARTITION BY chrom ORDER BY s) AS ns FROM M WHERE e > 0),
+F AS (SELECT chrom, coalesce(pe, 0) AS s, s AS e FROM L WHERE pe IS NOT NULL OR s > 0 UNION ALL SELECT chrom, e, 9223372036854775807 FROM L WHERE ns IS NULL UNION ALL SELECT DISTINCT chrom, 0, 9223372036854775807 FROM B WHERE chrom NOT IN (SELECT chrom FROM L))"""
+_add("subtract", lambda s, d: algebra.subtract(orders(s, d), lineitems(s, d)), f'SELECT B.chrom, greatest(B.s, F.s) AS start, least(B.e, F.e) AS "end", okey, strand FROM B JOIN F ON {_HIT.format(a="B", b="F")}', _FREE)
+
+_BEST = f"""J AS (SELECT B.okey, V.name, row_number() OVER (PARTITION BY B.okey ORDER BY least(B.e, V.e) - greatest(B.s, V.s) DESC, V.s, V.name) AS k FROM B JOIN V ON {BV}), N AS (SELECT B.*, J.name FROM B LEFT JOIN J ON B.okey = J.okey AND k = 1)"""
+_add("assign_view", lambda s, d: ranges.assign_view(orders(s, d), view(s)).select("okey", "view_region"), "SELECT okey, name AS view_region FROM N", _BEST)
+_add("trim", lambda s, d: ranges.trim(orders(s, d), view(s)).select("okey", "chrom", "start", "end"), 'SELECT okey, V.chrom, least(greatest(N.s, V.s), V.e) AS start, least(greatest(N.e, V.s), V.e) AS "end" FROM N LEFT JOIN V ON N.name = V.name', _BEST)
+_add("sort_bedframe", lambda s, d: ranges.sort_bedframe(orders(s, d), view(s)), 'SELECT chrom, s AS start, e AS "end", okey, strand FROM B')
+
+_NEAR = """P AS (SELECT X.okey, Y.okey AS okey_, CASE WHEN {hit} THEN 0 ELSE greatest(0, X.s - Y.e, Y.s - X.e) + 1 END AS k, greatest(0, X.s - Y.e, Y.s - X.e) AS distance FROM B X JOIN B Y ON X.chrom = Y.chrom AND {cond}),
+Q AS (SELECT *, row_number() OVER (PARTITION BY okey ORDER BY k, okey_) AS nth FROM P)"""
+_YX = _HIT.format(a="X", b="Y")
+_ODD, _EVEN = "X.okey % 2 = 1 AND Y.okey % 2 = 0", "B.okey % 2 = 1"
+
+
+def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = orders(s, d).select("chrom", "start", "end", "okey")
+    return o.where("okey % 2 = 1"), o.where("okey % 2 = 0")
+
+
+def _closest(k: int, **more):
+    return lambda s, d: nearest.closest(*_sides(s, d), k=k, tie_breaking_col="okey", **more).select("okey", "okey_", "distance")
+
+
+for _name, _k, _more, _cond in (
+    ("closest_k1", 1, {}, "true"), ("closest_k3", 3, {}, "true"), ("closest_no_overlap", 2, {"ignore_overlaps": True}, f"NOT ({_YX})"),
+    ("closest_downstream", 1, {"ignore_upstream": True}, f"(({_YX}) OR Y.s >= X.e)"), ("closest_upstream", 1, {"ignore_downstream": True}, f"(({_YX}) OR Y.e <= X.s)"),
+):
+    _add(_name, _closest(_k, **_more), f"SELECT B.okey, Q.okey_, Q.distance FROM B LEFT JOIN Q ON B.okey = Q.okey AND nth <= {_k} WHERE {_EVEN}", _NEAR.format(hit=_YX, cond=f"{_ODD} AND {_cond}"))
+_add("closest_self", lambda s, d: nearest.closest(orders(s, d).select("chrom", "start", "end", "okey"), tie_breaking_col="okey").select("okey", "okey_", "distance"), "SELECT B.okey, Q.okey_, Q.distance FROM B LEFT JOIN Q ON B.okey = Q.okey AND nth = 1", _NEAR.format(hit=_YX, cond="X.okey <> Y.okey"))
+_ORDER = "O AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY s, e, okey) AS i, CAST(floor((s + e) / 2) AS BIGINT) AS mid FROM B)"
+_add("pair_by_distance", lambda s, d: nearest.pair_by_distance(orders(s, d).repartition(1).sortWithinPartitions("okey"), 100, 2000, 0, 3).select("okey_1", "okey_2"), "SELECT X.okey AS okey_1, Y.okey AS okey_2 FROM O X JOIN O Y ON X.chrom = Y.chrom AND Y.i > X.i AND Y.i - X.i - 1 <= 3 AND Y.mid - X.mid > 100 AND Y.mid - X.mid < 2000", _ORDER)
+
+_add("binnify", lambda s, d: genome.binnify(view(s).groupBy("chrom").agg(F.max("end").alias("end")), 700, rel_ids=True), 'SELECT chrom, b * 700 AS start, least((b + 1) * 700, 120000) AS "end", b AS rel_id FROM (SELECT DISTINCT chrom FROM V), range(0, 172) t(b)')
+_add("chromarms", lambda s, d: genome.make_chromarms(s, view(s).groupBy("chrom").agg(F.max("end").alias("length")), view(s).where("start > 0").select("chrom", F.col("start").alias("mid"))), 'SELECT chrom, CASE WHEN k = 0 THEN 0 ELSE 60000 END AS start, CASE WHEN k = 0 THEN 60000 ELSE 120000 END AS "end", chrom || CASE WHEN k = 0 THEN \'_p\' ELSE \'_q\' END AS name FROM (SELECT DISTINCT chrom FROM V), range(0, 2) t(k)')
+_LETTERS = lambda chars: "(length(text) - length(translate(text, '" + chars + "', '')))"
+_add("seq_gc", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", genome.seq_gc(F.col("text")).alias("gc")), f"SELECT doc_id, CASE WHEN length(text) - {_LETTERS('Nn')} > 0 THEN {_LETTERS('GgCc')} / (length(text) - {_LETTERS('Nn')}) END AS gc FROM documents")
+
+
+def _sequences(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    seqs = docs.select(F.col("doc_id").cast("string").alias("chrom"), F.col("text").alias("seq"))
+    return seqs.select("chrom", F.lit(10).cast("long").alias("start"), F.lit(40).cast("long").alias("end")), seqs
+
+
+_PART = "(SELECT CAST(doc_id AS VARCHAR) AS chrom, substring(text, 11, 30) AS text FROM documents)"
+_add("frac_gc", lambda s, d: genome.frac_gc(*_sequences(s, d)), f"SELECT chrom, CAST(10 AS BIGINT) AS start, CAST(40 AS BIGINT) AS \"end\", CASE WHEN length(text) - {_LETTERS('Nn')} > 0 THEN {_LETTERS('GgCc')} / (length(text) - {_LETTERS('Nn')}) END AS \"GC\" FROM {_PART}")
+_add("frac_mapped", lambda s, d: genome.frac_mapped(*_sequences(s, d)), f"SELECT chrom, CAST(10 AS BIGINT) AS start, CAST(40 AS BIGINT) AS \"end\", CASE WHEN length(text) > 0 THEN 1 - {_LETTERS('Nn')} / length(text) ELSE 0 END AS frac_mapped FROM {_PART}")
+_add("ucsc_names", lambda s, d: orders(s, d).select("okey", ucsc_string(F.col("chrom"), F.col("start"), F.col("end")).alias("name")), "SELECT okey, chrom || ':' || s || '-' || e AS name FROM B")
+_add("sanitize", lambda s, d: sanitize_bedframe(orders(s, d).withColumn("end", F.when(F.col("okey") % 5 == 0, F.lit(None)).otherwise(F.col("end") - 30)), start_exceed_end_action="flip"), "SELECT CASE WHEN okey % 5 = 0 THEN NULL ELSE chrom END AS chrom, CASE WHEN okey % 5 = 0 THEN NULL ELSE least(s, e - 30) END AS start, CASE WHEN okey % 5 = 0 THEN NULL ELSE greatest(s, e - 30) END AS \"end\", okey, strand FROM B")
+
+
+def _flags(s: SparkSession, d: str) -> DataFrame:
+    o, v = orders(s, d), view(s)
+    tagged = ranges.assign_view(o, v)
+    row = (checks.is_bedframe(o), checks.is_cataloged(tagged, v), checks.is_overlapping(o), checks.is_viewframe(v), checks.is_contained(v, v), checks.is_covering(v, v), checks.is_tiling(v.withColumn("view_region", F.col("name")), v), checks.is_covering(o, v))
+    names = ("bedframe", "cataloged", "overlapping", "viewframe", "contained", "covering", "tiling", "orders_covering")
+    return s.createDataFrame([row], ", ".join(f"{n} boolean" for n in names))
+
+
+_add("checks", _flags, "SELECT true AS bedframe, true AS cataloged, (SELECT sum(e - s) FROM B) > (SELECT sum(e - s) FROM M) AS overlapping, true AS viewframe, true AS contained, true AS covering, true AS tiling, false AS orders_covering", _merged("B", "chrom", "s > far"))
