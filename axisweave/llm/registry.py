@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from axisweave.llm import decontaminate, langid, mixing, neardup, quality, sharding, substring, toxicity
+from axisweave.llm import decontaminate, langid, mixing, neardup, quality, sharding, substring, tokenstore, toxicity
 
 _MODULES = {
     "op1_quality_rules": quality,
@@ -12,6 +12,7 @@ _MODULES = {
     "op5_source_mix": mixing,
     "op6_toxicity": toxicity,
     "op7_near_duplicates": neardup,
+    "op8_token_store": tokenstore,
     "op9_sharding": sharding,
     "op10_language_id": langid,
 }
