@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from axisweave.llm import decontaminate, langid, mixing, neardup, quality, sharding, substring, tokenstore, toxicity
+from axisweave.llm import decontaminate, langid, lm, mixing, neardup, quality, sharding, substring, tokenstore, toxicity
 
 _MODULES = {
     "op1_quality_rules": quality,
     "op2_substring_dedup": substring,
+    "op3_lm_scores": lm,
     "op4_decontaminate": decontaminate,
     "op5_source_mix": mixing,
     "op6_toxicity": toxicity,
