@@ -93,7 +93,7 @@ def read_pairix(spark: SparkSession, path, region1, region2=None, columns: list[
 
 def parse_gtf_attributes(attrs: Column, kv_sep: str = "=", item_sep: str = ";", quotechar: str = '"') -> Column:
     """Attributes of a GFF or GTF line as a map; of repeated keys the last counts."""
-    items = F.filter(F.transform(F.split(attrs, re.escape(item_sep), -1), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(attrs, re.escape(item_sep), -1), lambda x: F.trim(x)), lambda x: x != "")
     cut = F.transform(items, lambda x: F.split(x, re.escape(kv_sep), 2))
     value = lambda x: F.regexp_replace(F.trim(F.coalesce(F.get(x, F.lit(1)), F.lit(""))), re.escape(quotechar), "")
     pairs = F.transform(cut, lambda x: F.struct(F.trim(F.get(x, F.lit(0))).alias("key"), value(x).alias("value")))
