@@ -9,10 +9,15 @@ from axisweave.llm import decontaminate, langid, mixing, neardup, sharding
 from axisweave.llm.text import stored
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id and the whole row, out of reach of other columns' names."""
+    return docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids; null ids are kept if ids has one."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids._id), "left_semi")
+    """Rows of docs whose doc_id is among ids; null ids are kept if ids has one. Rows that share an id stay or go together."""
+    ids = ids.select(F.col("doc_id").alias("_kept")).distinct()
+    return _rows(docs).join(ids, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +42,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     take = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("draw"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / (1 << 32)
     times = F.least(F.lit(mixing.MAX_REPEATS), F.floor(F.col("taken") / F.greatest(F.lit(1), F.col("size")) + draw)).cast("int")
-    take = take.select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")
-    df = docs.join(take, docs.doc_id.eqNullSafe(take._id))
-    return df.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    take = take.select(F.col("doc_id").alias("_taken"), times.alias("_times")).where("_times > 0")
+    df = _rows(docs).join(take, F.col("_id").eqNullSafe(F.col("_taken")))
+    return df.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
