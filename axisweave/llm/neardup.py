@@ -19,7 +19,7 @@ from axisweave.llm.vector import mix, shingles, words_of
 #: (1 - (1 - 0.8**4)**14)**2 = 0.9988, one of 0.85 with 0.99996.
 BANDS, ROWS = 14, 4
 #: Rounds in which each document is compared with one other, before all that is left is compared.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _signer(size: int, bands: int, rows: int):
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     Documents are linked if the Jaccard similarity of their sets of `size`-word shingles (A-Z lower-cased)
     is at least percent / 100; every link is confirmed on the full sets. Documents of equal sets share one
-    representative. For three rounds each document is compared with the smallest member of one of its tables
+    representative. For two rounds each document is compared with the smallest member of one of its tables
     that it isn't joined with yet; tables whose members are all joined are done, and in the others all pairs
     between different components follow, so no colliding pair goes unexamined unless it is joined already
     or the sizes of its sets rule it out.
@@ -141,34 +141,33 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         return stored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi"), "texts")
 
-    links = tested = comp = None
+    tested = None
+    label = classes.select("id", F.col("id").alias("c"))
     at = tables.join(classes.select("id", "n"), "id").select("key", "id", "n", F.col("id").alias("c"))
     for turn in range(ROUNDS + 1):
         # tables that hold more than one component, with their smallest member
         split = at.groupBy("key").agg(F.min(F.struct("id", "c", "n")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
         if turn < ROUNDS:
-            pairs = at.join(split, "key").where((F.col("c") != F.col("h.c")) & _sizes("n", "h.n", percent)).select(F.col("h.id").alias("a"), F.col("id").alias("b"))
+            pairs = at.join(split, "key").where((F.col("c") != F.col("h.c")) & _sizes("n", "h.n", percent)).select(F.col("h.id").alias("a"), "c", F.col("h.c").alias("d"), F.col("id").alias("b"))
         else:
             at = stored(at.join(split.select("key"), "key", "left_semi"), "apart")
             right = at.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
-            pairs = at.withColumnRenamed("id", "a").join(right, "key").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("b")) & _sizes("n", "m", percent)).select("a", "b").distinct()
+            pairs = at.withColumnRenamed("id", "a").join(right, "key").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("b")) & _sizes("n", "m", percent)).select("a", "b", "c", "d").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if turn < ROUNDS:
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            pairs = pairs.groupBy("b").agg(F.min(F.struct("a", "c", "d")).alias("p")).select("p.a", "b", "p.c", "p.d")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        found = _confirmed(pairs, texts(pairs), size, percent)
-        links = stored(found if links is None else links.unionByName(found), "links")
-        tested = pairs if tested is None else stored(tested.unionByName(pairs), "tested")
-        comp = components(links).withColumnRenamed("id", "_id")
-        at = stored(at.drop("c").join(comp, F.col("id") == F.col("_id"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "tables")
-    if comp is None:
-        comp = classes.select(F.col("id").alias("_id"), F.col("id").alias("component")).limit(0)
-    comp = comp.withColumnRenamed("_id", "id")
+            continue
+        found = pairs.join(_confirmed(pairs.select("a", "b"), texts(pairs), size, percent), ["a", "b"])
+        to = components(found.select("c", "d"), "c", "d").select(F.col("id").alias("_c"), F.col("component").alias("_to"))
+        move = lambda df, *names: df.join(to, F.col("c") == F.col("_c"), "left").select(*names, F.coalesce("_to", "c").alias("c"))  # noqa: E731, B023
+        label = stored(move(label, "id"), "labels")
+        if turn < ROUNDS:
+            tested = pairs.select("a", "b") if tested is None else stored(tested.unionByName(pairs.select("a", "b")), "tested")
+            at = stored(move(at.join(split.select("key"), "key", "left_semi"), "key", "id", "n"), "tables")
+    comp = label.withColumnRenamed("c", "component")
     named = classes.select("n", "sa", "sb", "id").join(comp, "id", "left").select("n", "sa", "sb", F.coalesce("component", "id").alias("component"))
     out = sig.select("id", "n", "sa", "sb").join(named, ["n", "sa", "sb"], "left")
     comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
