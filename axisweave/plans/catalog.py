@@ -84,7 +84,7 @@ _add("subtract", lambda s, d: algebra.subtract(orders(s, d), lineitems(s, d)), f
 
 _BEST = f"""J AS (SELECT B.okey, V.name, row_number() OVER (PARTITION BY B.okey ORDER BY least(B.e, V.e) - greatest(B.s, V.s) DESC, V.s, V.name) AS k FROM B JOIN V ON {BV}), N AS (SELECT B.*, J.name FROM B LEFT JOIN J ON B.okey = J.okey AND k = 1)"""
 _add("assign_view", lambda s, d: ranges.assign_view(orders(s, d), view(s)).select("okey", "view_region"), "SELECT okey, name AS view_region FROM N", _BEST)
-_add("trim", lambda s, d: ranges.trim(orders(s, d), view(s)).select("okey", "chrom", "start", "end"), 'SELECT okey, V.chrom, least(greatest(N.s, V.s), V.e) AS start, least(greatest(N.e, V.s), V.e) AS "end" FROM N LEFT JOIN V ON N.name = V.name', _BEST)
+_add("trim", lambda s, d: ranges.trim(orders(s, d), view(s)).select("okey", "chrom", "start", "end"), 'SELECT okey, V.chrom, CASE WHEN V.s IS NOT NULL THEN least(greatest(N.s, V.s), V.e) END AS start, CASE WHEN V.s IS NOT NULL THEN least(greatest(N.e, V.s), V.e) END AS "end" FROM N LEFT JOIN V ON N.name = V.name', _BEST)
 _add("sort_bedframe", lambda s, d: ranges.sort_bedframe(orders(s, d), view(s)), 'SELECT chrom, s AS start, e AS "end", okey, strand FROM B')
 
 _NEAR = """P AS (SELECT X.okey, Y.okey AS okey_, CASE WHEN {hit} THEN 0 ELSE greatest(0, X.s - Y.e, Y.s - X.e) + 1 END AS k, greatest(0, X.s - Y.e, Y.s - X.e) AS distance FROM B X JOIN B Y ON X.chrom = Y.chrom AND {cond}),
