@@ -242,22 +242,30 @@ def _end(lex: Lexicon) -> int:
     return int(_numbers(lex, np.array([END_HASH]), np.zeros(1, np.int32))[0][0])
 
 
-def _pieces(at: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Rows whose tokens fit a run, one text at least."""
-    a = 0
-    while a < len(at) - 1:
-        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
-        yield a, min(b, len(at) - 1)
-        a = min(b, len(at) - 1)
+def _pools(col: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """_tokens() of several slices together, about `most` tokens: the more texts run side by side, the better long ones fill the streams."""
+    held: list = []
+    for x in _tokens(col):
+        held.append(x)
+        if sum(len(y[2]) for y in held) >= most:
+            yield _joined(held)
+            held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    h, s = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+    sizes = np.concatenate([np.diff(x[4]) for x in held])
+    return held[0][0], held[-1][1], h, s, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _teach(net: Network, lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> int:
     total, end = 0, _end(lex)
     for batch in batches:
-        for _, _, h, s, at in _tokens(batch.column(0)):
+        for _, _, h, s, at in _pools(batch.column(0)):
             ids, _ = _numbers(lex, h, s)
-            for a, b in _pieces(at):
-                run(net, ids[at[a] : at[b]], at[a : b + 1] - at[a], end, True)
+            run(net, ids, at, end, True)
             total += len(ids)
     return total
 
@@ -315,9 +323,9 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", parts
         share = np.log10(words.tokens + 0.5 * (words.words + 1))
         tail = np.log10(words.tail_n + 0.5 * (words.tail_v + 1))
         for batch in batches:
-            for a, b, h, s, at in _tokens(batch.column(1)):
+            for a, b, h, s, at in _pools(batch.column(1)):
                 ids, place = _numbers(words, h, s)
-                logs = np.concatenate([run(net, ids[at[x] : at[y]], at[x : y + 1] - at[x], end, False) for x, y in _pieces(at)]) / ten
+                logs = run(net, ids, at, end, False) / ten
                 found = place >= 0
                 log_c = np.where(found, np.log10((words.c[place] if len(words.c) else np.zeros(len(place))) + 0.5), 0.0)
                 in_tail = ids >= HEAD_WORDS
