@@ -124,8 +124,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     Documents are linked if the Jaccard similarity of their sets of `size`-word shingles (A-Z lower-cased)
     is at least percent / 100; every link is confirmed on the full sets. Documents of equal sets share one
-    representative. For two rounds each document is compared with the smallest member of one of its tables
-    that it isn't joined with yet; tables whose members are all joined are done, and in the others all pairs
+    representative. For two rounds each document is compared with the first member (the one that meets the
+    most others) of one of its tables that it isn't joined with yet; tables whose members are all joined are done, and in the others all pairs
     between different components follow, so no colliding pair goes unexamined unless it is joined already
     or the sizes of its sets rule it out.
 
@@ -143,12 +143,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     tested = None
     label = classes.select("id", F.col("id").alias("c"))
-    at = tables.join(classes.select("id", "n"), "id").select("key", "id", "n", F.col("id").alias("c"))
+    # documents that meet the most others come first: the origin of a group of copies is nearer to all than they are to each other
+    many = tables.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    degree = tables.join(many, "key").groupBy("id").agg(F.sum("k").alias("k"))
+    at = tables.join(many.select("key"), "key", "left_semi").join(degree, "id").join(classes.select("id", "n"), "id")
+    at = stored(at.select("key", "id", "n", (-F.col("k")).alias("o"), F.col("id").alias("c")), "tables")
     for turn in range(ROUNDS + 1):
-        # tables that hold more than one component, with their smallest member
-        split = at.groupBy("key").agg(F.min(F.struct("id", "c", "n")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
+        # tables that hold more than one component, with their first member
+        split = at.groupBy("key").agg(F.min(F.struct("o", "id", "c", "n")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
         if turn < ROUNDS:
-            pairs = at.join(split, "key").where((F.col("c") != F.col("h.c")) & _sizes("n", "h.n", percent)).select(F.col("h.id").alias("a"), "c", F.col("h.c").alias("d"), F.col("id").alias("b"))
+            pairs = at.join(split, "key").where((F.col("c") != F.col("h.c")) & _sizes("n", "h.n", percent)).select(F.col("h.o").alias("o"), F.col("h.id").alias("a"), "c", F.col("h.c").alias("d"), F.col("id").alias("b"))
         else:
             at = stored(at.join(split.select("key"), "key", "left_semi"), "apart")
             right = at.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
@@ -156,7 +160,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if turn < ROUNDS:
-            pairs = pairs.groupBy("b").agg(F.min(F.struct("a", "c", "d")).alias("p")).select("p.a", "b", "p.c", "p.d")
+            pairs = pairs.groupBy("b").agg(F.min(F.struct("o", "a", "c", "d")).alias("p")).select("p.a", "b", "p.c", "p.d")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             continue
@@ -166,7 +170,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         label = stored(move(label, "id"), "labels")
         if turn < ROUNDS:
             tested = pairs.select("a", "b") if tested is None else stored(tested.unionByName(pairs.select("a", "b")), "tested")
-            at = stored(move(at.join(split.select("key"), "key", "left_semi"), "key", "id", "n"), "tables")
+            at = stored(move(at.join(split.select("key"), "key", "left_semi"), "key", "id", "n", "o"), "tables")
     comp = label.withColumnRenamed("c", "component")
     named = classes.select("n", "sa", "sb", "id").join(comp, "id", "left").select("n", "sa", "sb", F.coalesce("component", "id").alias("component"))
     out = sig.select("id", "n", "sa", "sb").join(named, ["n", "sa", "sb"], "left")
