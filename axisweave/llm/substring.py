@@ -109,9 +109,9 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
     # the plain rows of a class: its first place, how many it has, and its last document
     first = F.min(F.struct("id", "at", "n", "sig")).alias("r")
     classes = stored(units.groupBy("e").agg(first, F.max("id").alias("last")).select("e", "last", "r.*"), "paragraph-classes")
-    keys = classes.select("e", F.posexplode("sig").alias("band", "h"))
-    shared = keys.groupBy("band", "h").agg(F.min("e").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    pairs = stored(keys.join(shared, ["band", "h"]).where("e <> a").select("a", F.col("e").alias("b")).distinct(), "paragraph-pairs")
+    keys = classes.select("e", F.explode(F.transform("sig", lambda h, i: h.bitwiseOR(F.shiftleft(i.cast("long"), 32)))).alias("h"))
+    shared = keys.groupBy("h").agg(F.min("e").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
+    pairs = stored(keys.join(shared, "h").where("e <> a").select("a", F.col("e").alias("b")).distinct(), "paragraph-pairs")
     place = classes.select("e", "id", "at", "n")
     near = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
     place = stored(place.join(near, "e", "left_semi"), "paragraph-places")
