@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from axisweave.llm.text import bounded_broadcast, stored
 MEAN, LEAST, MOST, SEEN = 512, 128, 2048, 16
 END = 2
 #: Byte-sized pieces of text that a worker keeps the ids of, and rows of a broadcast table, at most.
-CACHE, BROADCAST_ROWS = 500_000, 1_000_000
+CACHE, BROADCAST_ROWS = 1_000_000, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -34,11 +36,11 @@ class Encoder:
 
     #: Texts of these characters are cut by the regex below exactly as by the library; others go to it whole.
     PLAIN = r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*"
-    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: Letters and numbers among them.
+    L, N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+    PIECE = rf" ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,11 +48,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit in 16 bits")
-        self.plain, self.piece = regex.compile(self.PLAIN), regex.compile(self.PIECE)
+        self.plain, self.piece = re.compile(self.PLAIN), re.compile(self.PIECE)
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
