@@ -16,7 +16,7 @@ from axisweave.llm.vector import mix, words_of
 #: Head classes of `MEMBERS` frequent words each; classes of all other words, by their ending; units; words of a window; streams side by side.
 HEADS, MEMBERS, TAILS, UNITS, STEPS, STREAMS = 16, 64, 48, 16, 32, 256
 #: Words whose counts are broadcast, at most; rarer words' counts are joined. Documents of the warm start (those of least hash).
-KNOWN_WORDS, WARM_DOCS = 1 << 19, 400
+KNOWN_WORDS, WARM_DOCS = 1 << 16, 400
 HEAD_WORDS = HEADS * MEMBERS
 CLASSES, INPUTS = HEADS + TAILS, HEAD_WORDS + TAILS
 #: The end of a text is a token of its own.
@@ -87,22 +87,23 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, known: int = KNOWN_WORDS) -> Lexicon:
     """Totals over all words and the most frequent ones; at most `known` rows come to the driver."""
-    top = counts.orderBy(F.desc("c"), "h").limit(known).toPandas()
-    head = top.head(HEAD_WORDS)
+    got = counts.orderBy(F.desc("c"), "h").limit(known).toArrow()
+    top = {x: got.column(x).to_numpy() for x in ("h", "c", "shape")}
+    head = {x: v[:HEAD_WORDS] for x, v in top.items()}
     by = counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     n, v = np.zeros(TAILS), np.zeros(TAILS)
     for r in by:
         n[r["shape"]], v[r["shape"]] = r["c"], r["v"]
     tokens, words = int(n.sum()), int(v.sum())
-    np.subtract.at(n, head["shape"].to_numpy(), head["c"].to_numpy())
-    np.subtract.at(v, head["shape"].to_numpy(), 1)
-    number = np.full(len(top), -1, np.int32)
-    number[: len(head)] = np.arange(len(head))
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    np.subtract.at(n, head["shape"], head["c"])
+    np.subtract.at(v, head["shape"], 1)
+    number = np.full(len(top["h"]), -1, np.int32)
+    number[:HEAD_WORDS] = np.arange(len(head["h"]))
+    h = top["h"].astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     head_c = np.zeros(HEAD_WORDS)
-    head_c[: len(head)] = head["c"]
-    return Lexicon(h[order], top["c"].to_numpy(np.int64)[order], number[order], tokens, words, n, v, head_c)
+    head_c[: len(head["c"])] = head["c"]
+    return Lexicon(h[order], top["c"].astype(np.int64)[order], number[order], tokens, words, n, v, head_c)
 
 
 NAMES = ("gate", "cell", "out", "bias", "word", "word_bias")
