@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from axisweave.llm.graph import components
 from axisweave.llm.text import lower_ascii, stored, words
-from axisweave.llm.vector import mix, words_of
+from axisweave.llm.vector import _power, mix, words_of
 
 #: Words of a shingle, similarity in percent, words that a paragraph is extended to, words it has at least, and the wanted recall at that similarity.
 SIZE, PERCENT, TARGET_WORDS, LEAST_WORDS, RECALL = 5, 80, 20, 10, 0.99
@@ -51,7 +51,6 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 if not len(start):
                     continue
                 sh = np.full(n, size, np.uint64)
-                exact = mix(w.hash)
                 for k in range(size):
                     sh[: n - k] = mix(sh[: n - k] * np.uint64(0x2545F4914F6CDD1D) + w.hash[k:])
                 pairs = np.stack([start, to - size + 1], 1).reshape(-1)
@@ -59,12 +58,11 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 for m in muls:
                     h = np.append(mix(sh * m), np.iinfo(np.uint64).max)
                     cols.append((np.minimum.reduceat(h, pairs)[::2] >> np.uint64(32)).astype(np.int64))
-                # the sequence's own hash: shingles weighted by their place
-                place = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+                # the sequence's own hash, by prefix sums as for words
+                power, inverse = _power(n + 1)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash) * power[:n], dtype=np.uint64)])
                 lens = to - start
-                at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-                value = exact[np.repeat(start, lens) + at] * place[at]
-                whole = mix(np.add.reduceat(value, np.cumsum(lens) - lens) + lens.astype(np.uint64))
+                whole = mix((total[to] - total[start]) * inverse[start] + lens.astype(np.uint64))
                 ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
                 first = w.bounds[doc]
                 sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols, 1).reshape(-1)), bands).cast(pa.list_(pa.int64()))
