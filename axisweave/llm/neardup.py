@@ -19,7 +19,7 @@ from axisweave.llm.vector import mix, shingles, words_of
 #: (1 - (1 - 0.8**4)**14)**2 = 0.9988, one of 0.85 with 0.99996.
 BANDS, ROWS = 14, 4
 #: Rounds in which each document is compared with one other, before all that is left is compared.
-ROUNDS = 2
+ROUNDS = 5
 
 
 def _signer(size: int, bands: int, rows: int):
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     Documents are linked if the Jaccard similarity of their sets of `size`-word shingles (A-Z lower-cased)
     is at least percent / 100; every link is confirmed on the full sets. Documents of equal sets share one
-    representative. For two rounds each document is compared with the first member (the one that meets the
+    representative. For five rounds each document is compared with the first member (the one that meets the
     most others) of one of its tables that it isn't joined with yet; tables whose members are all joined are done, and in the others all pairs
     between different components follow, so no colliding pair goes unexamined unless it is joined already
     or the sizes of its sets rule it out.
