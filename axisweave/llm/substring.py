@@ -45,11 +45,15 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 doc = w.doc[start]
                 limit = w.bounds[doc + 1]
                 to = np.minimum(stop[np.minimum(np.searchsorted(stop, start + target), len(stop) - 1)], limit)
-                use = to - start >= max(least, size)
-                use[:-1] &= to[:-1] != to[1:]  # of paragraphs with one end, the shortest that is long enough
-                start, to, doc = start[use], to[use], doc[use]
+                # a text's end belongs to the shortest paragraph that is long enough, even if one ended before
+                use = limit - start >= max(least, size)
+                start, to, doc, limit = start[use], to[use], doc[use], limit[use]
                 if not len(start):
                     continue
+                end = np.append(doc[1:] != doc[:-1], True) & (to < limit)
+                start, to, doc = (np.concatenate([x, y[end]]) for x, y in ((start, start), (to, limit), (doc, doc)))
+                use = to - start >= max(least, size)
+                start, to, doc = start[use], to[use], doc[use]
                 sh = np.full(n, size, np.uint64)
                 for k in range(size):
                     sh[: n - k] = mix(sh[: n - k] * np.uint64(0x2545F4914F6CDD1D) + w.hash[k:])
@@ -75,8 +79,9 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, size
     """id, at (first word), n (words), e (64-bit hash of the words) and sig (band hashes) of every paragraph.
 
     A paragraph starts at a sentence or line and runs on over whole sentences until it has `target` words, so a
-    passage that is pasted into other text shares paragraphs with its other copies whatever surrounds it. Of
-    several with the same end only the shortest is used.
+    passage that is pasted into other text shares paragraphs with its other copies whatever surrounds it. Every start
+    that leaves enough words is used, and the last of them also runs to the text's end, so every word of a text of
+    `least` words or more is in a paragraph.
     """
     bands = bands or tuned_bands(PERCENT / 100, RECALL)
     kind = docs.schema[key].dataType.simpleString()

@@ -106,6 +106,16 @@ def test_substring(spark, docs, odd):
     assert 1 - (1 - 0.8) ** substring.tuned_bands(0.8, 0.99) >= 0.99
 
 
+def test_substring_reaches_the_ends(spark):
+    """Copies that end in short sentences, and short texts of several sentences, are found whole."""
+    r = random.Random(2)
+    sentence = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
+    shapes = [(25, 5), (25, 3, 4), (6, 7), (12, 12), (25, 5, 30), (9, 1), (30, 1, 1)]
+    rows = [(2 * k + copy, text) for k, shape in enumerate(shapes) for text in [" ".join(map(sentence, shape))] for copy in (0, 1)]
+    got = {(x["doc_id"], x["start_word"], x["n_words"], x["removed"]) for x in substring.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2 * k + copy, 0, sum(shape), bool(copy)) for k, shape in enumerate(shapes) for copy in (0, 1)}
+
+
 def test_lm(docs, texts, odd):
     got = {r["doc_id"]: r for r in lm.lm_scores(docs, known=2000, warm_docs=50).collect()}
     tokens = {k: [*WORD.findall(low(t)), None] for k, t in texts.items()}
