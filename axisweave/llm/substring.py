@@ -16,6 +16,8 @@ from axisweave.llm.vector import _power, mix, words_of
 
 #: Words of a shingle, similarity in percent, words that a paragraph is extended to, words it has at least, and the wanted recall at that similarity.
 SIZE, PERCENT, TARGET_WORDS, LEAST_WORDS, RECALL = 5, 80, 20, 10, 0.99
+#: Rounds in which the classes of a band are compared with one of them, before all that is left is compared.
+ROUNDS = 3
 
 
 def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
@@ -62,6 +64,11 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 for m in muls:
                     h = np.append(mix(sh * m), np.iinfo(np.uint64).max)
                     cols.append((np.minimum.reduceat(h, pairs)[::2] >> np.uint64(32)).astype(np.int64))
+                # 128 bits that the shingles set, for a bound on what two paragraphs share
+                bit = np.uint64(1) << (sh & np.uint64(63))
+                for half in (0, 1):
+                    h = np.append(np.where((sh >> np.uint64(6)) & np.uint64(1) == half, bit, np.uint64(0)), np.uint64(0))
+                    cols.append(np.bitwise_or.reduceat(h, pairs)[::2].view(np.int64))
                 # the sequence's own hash, by prefix sums as for words
                 power, inverse = _power(n + 1)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash) * power[:n], dtype=np.uint64)])
@@ -69,14 +76,14 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 whole = mix((total[to] - total[start]) * inverse[start] + lens.astype(np.uint64))
                 ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
                 first = w.bounds[doc]
-                sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols, 1).reshape(-1)), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((start - first).astype(np.int32)), pa.array(lens.astype(np.int32)), pa.array(whole.view(np.int64)), sig], ["id", "at", "n", "e", "sig"])
+                sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols[:bands], 1).reshape(-1)), bands).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((start - first).astype(np.int32)), pa.array(lens.astype(np.int32)), pa.array(whole.view(np.int64)), sig, *map(pa.array, cols[bands:])], ["id", "at", "n", "e", "sig", "b0", "b1"])
 
     return cut
 
 
 def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, size: int = SIZE, target: int = TARGET_WORDS, least: int = LEAST_WORDS, bands: int | None = None) -> DataFrame:
-    """id, at (first word), n (words), e (64-bit hash of the words) and sig (band hashes) of every paragraph.
+    """id, at (first word), n (words), e (64-bit hash of the words), sig (band hashes), b0 and b1 (bits of its shingles) of every paragraph.
 
     A paragraph starts at a sentence or line and runs on over whole sentences until it has `target` words, so a
     passage that is pasted into other text shares paragraphs with its other copies whatever surrounds it. Every start
@@ -86,7 +93,7 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, size
     bands = bands or tuned_bands(PERCENT / 100, RECALL)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull())
-    return rows.mapInArrow(_cutter(bands, size, target, least), f"id {kind}, at int, n int, e long, sig array<long>")
+    return rows.mapInArrow(_cutter(bands, size, target, least), f"id {kind}, at int, n int, e long, sig array<long>, b0 long, b1 long")
 
 
 def _jaccard(a: str, b: str, size: int, percent: int):
@@ -96,12 +103,61 @@ def _jaccard(a: str, b: str, size: int, percent: int):
     return 100 * both >= percent * (F.size(grams(a)) + F.size(grams(b)) - both)
 
 
+def _possible(size: int, percent: int):
+    """Places x and y that don't overlap in one text, and whose bits don't rule out the similarity.
+
+    A bit that only one of them has stands for a shingle that the other lacks, so no pair that is similar enough is left out.
+    """
+    lacks = lambda a, b: sum(F.bit_count(F.col(f"{a}.{h}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{h}")))) for h in ("b0", "b1"))
+    x, y = lacks("x", "y"), lacks("y", "x")
+    both = F.least(F.col("x.n") - x, F.col("y.n") - y) - (size - 1)
+    apart = (F.col("x.id") != F.col("y.id")) | (F.col("x.at") + F.col("x.n") <= F.col("y.at")) | (F.col("y.at") + F.col("y.n") <= F.col("x.at"))
+    return apart & (percent * (x + y) <= (100 - percent) * both)
+
+
+def _linked(classes: DataFrame, full: DataFrame, size: int, percent: int) -> DataFrame:
+    """id (class) and component of the classes that are similar to another one; full has id and w (words) of the texts."""
+    keys = classes.select(F.explode(F.transform("sig", lambda h, i: h.bitwiseOR(F.shiftleft(i.cast("long"), 32)))).alias("h"), "e", F.struct("id", "at", "n", "b0", "b1").alias("x"))
+    shared = keys.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    at = stored(keys.join(shared, "h", "left_semi").withColumn("c", F.col("e")), "paragraph-bands")
+    place = at.select("e", F.col("x.id").alias("id"), F.col("x.at").alias("at"), F.col("x.n").alias("n")).distinct()
+    full = full.join(place.select("id").distinct(), "id", "left_semi")
+    cut = stored(place.join(full, "id").select("e", F.slice("w", F.col("at") + 1, F.col("n")).alias("w")).groupBy("e").agg(F.min("w").alias("w")), "paragraph-words")
+    label = None
+    for turn in range(ROUNDS + 1):
+        # bands that hold more than one component, with another member in front each time
+        head = F.min(F.struct(F.xxhash64("e", F.lit(turn)), F.col("e").alias("f"), F.col("c").alias("d"), F.col("x").alias("y"))).alias("r")
+        split = at.groupBy("h").agg(head, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "r.f", "r.d", "r.y")
+        if turn == ROUNDS:
+            at = stored(at.join(split, "h", "left_semi"), "paragraph-bands")
+            split = at.select("h", F.col("e").alias("f"), F.col("c").alias("d"), F.col("x").alias("y")).withColumnRenamed("h", "g")
+            meet = at.join(split, (F.col("h") == F.col("g")) & (F.col("e") < F.col("f")) & (F.col("c") != F.col("d")) & _possible(size, percent))
+        else:
+            meet = at.join(split, "h").where((F.col("c") != F.col("d")) & _possible(size, percent))
+        pairs = stored(meet.select("e", "c", "f", "d").distinct(), "paragraph-pairs")
+        both = pairs.join(cut.withColumnRenamed("w", "v"), "e").join(cut.select(F.col("e").alias("f"), "w"), "f")
+        links = stored(both.where(_jaccard("v", "w", size, percent)).select("c", "d"), "paragraph-links")
+        if links.isEmpty():
+            continue
+        to = components(links, "c", "d")
+        if label is None:
+            label = to
+        else:
+            old = label.join(to.select(F.col("id").alias("_c"), F.col("component").alias("_to")), F.col("component") == F.col("_c"), "left").select("id", F.coalesce("_to", "component").alias("component"))
+            label = stored(old.unionByName(to.join(label.select("id"), "id", "left_anti")), "paragraph-components")
+        if turn < ROUNDS:
+            move = to.select(F.col("id").alias("_c"), F.col("component").alias("_to"))
+            at = stored(at.join(split, "h", "left_semi").join(move, F.col("c") == F.col("_c"), "left").select("h", "e", "x", F.coalesce("_to", "c").alias("c")), "paragraph-bands")
+    return label if label is not None else classes.select(F.col("e").alias("id"), F.col("e").alias("component")).limit(0)
+
+
 def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """key, start_word, n_words, cluster, removed: the stretches of each text that another document repeats.
 
     Equal paragraphs are one class. Classes that share a band are compared by the exact Jaccard similarity of
-    their shingles, each with the band's first class, unless they are neighbours in one text that overlap; confirmed classes
-    join by connected components, and clusters within a single document are left alone. The first
+    their shingles, unless they are neighbours in one text that overlap: for three rounds with one class of the band, then all
+    pairs that are not joined yet, so no colliding pair goes unexamined unless it is joined or its shingles' bits rule it out.
+    Confirmed classes join by connected components, and clusters within a single document are left alone. The first
     occurrence (smallest key and position) of each cluster stays, all others are marked removed; overlapping
     paragraphs of a text with the same mark are given as one stretch, cluster being that of its first paragraph.
 
@@ -110,22 +166,10 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
     """
     units = paragraphs(docs, text, key, size=size)
     # the plain rows of a class: its first place, how many it has, and its last document
-    first = F.min(F.struct("id", "at", "n", "sig")).alias("r")
+    first = F.min(F.struct("id", "at", "n", "sig", "b0", "b1")).alias("r")
     classes = stored(units.groupBy("e").agg(first, F.max("id").alias("last")).select("e", "last", "r.*"), "paragraph-classes")
-    keys = classes.select("e", F.explode(F.transform("sig", lambda h, i: h.bitwiseOR(F.shiftleft(i.cast("long"), 32)))).alias("h"))
-    shared = keys.groupBy("h").agg(F.min("e").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
-    pairs = stored(keys.join(shared, "h").where("e <> a").select("a", F.col("e").alias("b")).distinct(), "paragraph-pairs")
-    place = classes.select("e", "id", "at", "n")
-    near = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
-    place = stored(place.join(near, "e", "left_semi"), "paragraph-places")
-    full = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    full = full.join(place.select("id").distinct(), "id", "left_semi").select("id", words(lower_ascii(F.col("text"))).alias("w"))
-    cut = stored(place.join(full, "id").select("e", F.struct("id", "at").alias("p"), F.slice("w", F.col("at") + 1, F.col("n")).alias("w")).groupBy("e").agg(F.min("w").alias("w"), F.min("p").alias("p")), "paragraph-words")
-    side = lambda e, w, p: cut.select(F.col("e").alias(e), F.col("w").alias(w), F.col("p").alias(p))
-    both = pairs.join(side("a", "x", "p"), "a").join(side("b", "y", "q"), "b")
-    apart = (F.col("p.id") != F.col("q.id")) | (F.col("p.at") + F.size("x") <= F.col("q.at")) | (F.col("q.at") + F.size("y") <= F.col("p.at"))
-    links = stored(both.where(apart & _jaccard("x", "y", size, percent)).select("a", "b"), "paragraph-links")
-    comp = components(links)
+    full = docs.select(F.col(key).alias("id"), words(lower_ascii(F.col(text).cast("string"))).alias("w"))
+    comp = _linked(classes, full, size, percent)
     dup = classes.select("e", "last", "id", "at").join(comp.withColumnRenamed("id", "e"), "e", "left").where("last <> id or component is not null")
     dup = dup.withColumn("cluster", F.coalesce("component", "e"))
     keep = dup.groupBy("cluster").agg(F.min(F.struct("id", "at")).alias("keep"), F.max("last").alias("last")).where("last <> keep.id")

@@ -116,6 +116,26 @@ def test_substring_reaches_the_ends(spark):
     assert got == {(2 * k + copy, 0, sum(shape), bool(copy)) for k, shape in enumerate(shapes) for copy in (0, 1)}
 
 
+def test_substring_compares_all_of_a_band(spark):
+    """Near copies are found although their bands' first class shares only a frequent phrase with them."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    some = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    # a phrase of small hashes, so that the paragraphs with it share all bands
+    phrases = [some(10) for _ in range(30_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(phrases))), pa.array(phrases)], ["id", "text"])
+    found = next(substring._cutter(3, 5, 20, 10)(iter([batch])))
+    sig = np.array(found.column("sig").to_pylist())
+    phrase = phrases[found.column("id")[int(np.argmin((sig & 0xFFFFFFFF).max(axis=1)))].as_py()]
+    rows = [(k, f"{phrase} {some(30)}.") for k in range(60)]
+    for k in range(8):
+        text = some(30)
+        rows += [(100 + 2 * k, f"{phrase} {text} {some(1)}."), (101 + 2 * k, f"{phrase} {text} {some(1)}.")]
+    got = {(x["doc_id"], x["removed"]) for x in substring.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(100 + k, bool(k % 2)) for k in range(16)}
+
+
 def test_lm(docs, texts, odd):
     got = {r["doc_id"]: r for r in lm.lm_scores(docs, known=2000, warm_docs=50).collect()}
     tokens = {k: [*WORD.findall(low(t)), None] for k, t in texts.items()}
