@@ -18,6 +18,8 @@ from axisweave.llm.vector import _power, mix, words_of
 SIZE, PERCENT, TARGET_WORDS, LEAST_WORDS, RECALL = 5, 80, 20, 10, 0.99
 #: Rounds in which the classes of a band are compared with one of them, before all that is left is compared.
 ROUNDS = 3
+#: A shared passage of this many words holds a common paragraph; where stops don't see to it, cuts do: the words whose hash is the least of this many.
+PASSAGE_WORDS, NEAR_WORDS = 50, 10
 
 
 def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
@@ -25,6 +27,38 @@ def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows) - 1e-9))
 
 
+def _least(h: np.ndarray, at: np.ndarray, near: int) -> np.ndarray:
+    """Place of the least of the `near` hashes from each place on, and of equal ones the last."""
+    best = at.copy()
+    for k in range(1, near):
+        best = np.where(h[at + k] <= h[best], at + k, best)
+    return best
+
+
+def _unstopped(w, stop: np.ndarray, target: int, passage: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of paragraphs between content-defined cuts, one for each passage that no paragraph of sentences lies in.
+
+    A cut is where the hash of a word and the next is the least of `near` in a row. The paragraph runs from the first such
+    place of the passage to the next cut `target` words on, which is less than `near` further. All of this depends on
+    the passage's words alone, so each copy of the passage has the paragraph.
+    """
+    n, none = len(w.hash), np.zeros(0, np.int64)
+    x = np.arange(max(0, n - passage + 1))
+    x = x[w.doc[x] == w.doc[x + passage - 1]]
+    # the first paragraph of sentences whose edges, with the words on both sides, lie in the passage
+    first = np.searchsorted(stop, x + 1)
+    first = stop[np.minimum(first, len(stop) - 1)]
+    end = stop[np.minimum(np.searchsorted(stop, first + target), len(stop) - 1)]
+    x = x[(first <= x) | (end < first + target) | (end >= x + passage)]
+    if not len(x):
+        return none, none
+    h = mix(w.hash[:-1] * np.uint64(0x2545F4914F6CDD1D) + w.hash[1:])
+    rows = np.arange(max(0, n - near))
+    cut = np.unique(_least(h, rows[w.doc[rows] == w.doc[rows + near]], near))
+    start = np.unique(_least(h, x, near))
+    return start, cut[np.searchsorted(cut, start + target)]
+
+
 def _cutter(bands: int, size: int, target: int, least: int):
     rng = np.random.default_rng(11)
     muls = rng.integers(1, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,6 +77,7 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 last[:-1] |= (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
                 last[-1] = True
                 stop = np.flatnonzero(last) + 1
+                more = _unstopped(w, stop, target, PASSAGE_WORDS, NEAR_WORDS)
                 start = np.concatenate([[0], stop[:-1]])
                 doc = w.doc[start]
                 limit = w.bounds[doc + 1]
@@ -55,7 +90,8 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 end = np.append(doc[1:] != doc[:-1], True) & (to < limit)
                 start, to, doc = (np.concatenate([x, y[end]]) for x, y in ((start, start), (to, limit), (doc, doc)))
                 use = to - start >= max(least, size)
-                start, to, doc = start[use], to[use], doc[use]
+                start, to = np.concatenate([start[use], more[0]]), np.concatenate([to[use], more[1]])
+                doc = w.doc[start]
                 sh = np.full(n, size, np.uint64)
                 for k in range(size):
                     sh[: n - k] = mix(sh[: n - k] * np.uint64(0x2545F4914F6CDD1D) + w.hash[k:])
@@ -88,7 +124,8 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, size
     A paragraph starts at a sentence or line and runs on over whole sentences until it has `target` words, so a
     passage that is pasted into other text shares paragraphs with its other copies whatever surrounds it. Every start
     that leaves enough words is used, and the last of them also runs to the text's end, so every word of a text of
-    `least` words or more is in a paragraph.
+    `least` words or more is in a paragraph. Where 50 words in a row have no paragraph of sentences inside, one between
+    content-defined cuts is added, so that a passage of 50 words shares one with its copies whatever its stops.
     """
     bands = bands or tuned_bands(PERCENT / 100, RECALL)
     kind = docs.schema[key].dataType.simpleString()
@@ -158,7 +195,7 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
     their shingles, unless they are neighbours in one text that overlap: for three rounds with one class of the band, then all
     pairs that are not joined yet, so no colliding pair goes unexamined unless it is joined or its shingles' bits rule it out.
     Confirmed classes join by connected components, and clusters within a single document are left alone. The first
-    occurrence (smallest key and position) of each cluster stays, all others are marked removed; overlapping
+    occurrence (smallest key and position) of each cluster stays, with what overlaps it, all others are marked removed; overlapping
     paragraphs of a text with the same mark are given as one stretch, cluster being that of its first paragraph.
 
     Null keys, null and empty texts and texts of fewer than ten words have no paragraphs. Equal keys count as one
@@ -173,8 +210,13 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
     dup = classes.select("e", "last", "id", "at").join(comp.withColumnRenamed("id", "e"), "e", "left").where("last <> id or component is not null")
     dup = dup.withColumn("cluster", F.coalesce("component", "e"))
     keep = dup.groupBy("cluster").agg(F.min(F.struct("id", "at")).alias("keep"), F.max("last").alias("last")).where("last <> keep.id")
-    dup = stored(dup.join(keep, "cluster").select("e", "cluster", F.col("keep.id").alias("kid"), F.col("keep.at").alias("kat")), "paragraph-clusters")
-    hits = units.select("id", "at", "n", "e").join(dup, "e").select("id", "at", "n", "cluster", ((F.col("id") != F.col("kid")) | (F.col("at") != F.col("kat"))).alias("removed"))
+    dup = stored(dup.join(keep, "cluster").select("e", "cluster", F.col("keep.id").alias("kid")), "paragraph-clusters")
+    hits = units.select("id", "at", "n", "e").join(dup, "e").select("id", "at", "n", "cluster", "kid").repartition("id")
+    # what overlaps the first occurrence in its own text is part of it
+    same = Window.partitionBy("id", "cluster").orderBy("at", "n")
+    hits = hits.withColumn("far", F.max(F.col("at") + F.col("n")).over(same.rowsBetween(Window.unboundedPreceding, -1)))
+    hits = hits.withColumn("again", F.max(F.coalesce(F.col("far") <= F.col("at"), F.lit(False))).over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = hits.select("id", "at", "n", "cluster", ((F.col("id") != F.col("kid")) | F.col("again")).alias("removed"))
     own = Window.partitionBy("id", "removed").orderBy("at", "n")
     hits = hits.withColumn("far", F.max(F.col("at") + F.col("n")).over(own.rowsBetween(Window.unboundedPreceding, -1)))
     hits = hits.withColumn("span", F.sum((F.coalesce("far", F.lit(-1)) < F.col("at")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))

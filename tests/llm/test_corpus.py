@@ -136,6 +136,18 @@ def test_substring_compares_all_of_a_band(spark):
     assert got == {(100 + k, bool(k % 2)) for k in range(16)}
 
 
+def test_substring_without_stops(spark):
+    """Every pasted passage of 50 words is found, whatever stops it and the texts around it have."""
+    r = random.Random(4)
+    some = lambda n, stop=0: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) + "." * (r.random() < stop) for _ in range(n))
+    rows = []
+    for k, inner in enumerate([0, 0, 0, 0.02, 0.02, 0.04, 0.04, 0.04, 0.08, 0.08] * 4):
+        passage = some(50, inner)
+        rows += [(2 * k + copy, f"{some(r.randrange(60), around)} {passage} {some(r.randrange(60), around)}") for copy, around in enumerate(r.choices([0, 0.05, 0.2], k=2))]
+    got = substring.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["removed"]) for x in got} == {(k, bool(k % 2)) for k in range(len(rows))}
+
+
 def test_lm(docs, texts, odd):
     got = {r["doc_id"]: r for r in lm.lm_scores(docs, known=2000, warm_docs=50).collect()}
     tokens = {k: [*WORD.findall(low(t)), None] for k, t in texts.items()}
