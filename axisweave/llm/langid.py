@@ -14,8 +14,10 @@ from axisweave.llm.vector import _LOWER, slices, text_bytes
 
 #: Buckets of hashed byte trigrams; weight of a trigram's evidence (neighbours overlap); pseudo-counts of a host's parent and of declared values.
 BUCKETS, TEMPER, HOST_PRIOR, EVIDENCE_PRIOR = 8192, 0.3, 20.0, 1.0
-#: A candidate language is declared by this share of the rows at least, so there are 200 at most.
-MIN_SHARE = 0.005
+#: A candidate language is declared by this many rows at least.
+MIN_ROWS = 5
+#: Part of any language's trigrams that may be anything (names, numbers, code), and prior of a text in none of the languages, whose trigrams are all alike.
+ANY, OTHER_PRIOR = 0.2, 0.01
 #: A document is rejected if no language reaches this posterior.
 MIN_POSTERIOR = 0.5
 
@@ -57,13 +59,13 @@ def trigram_counts(df: DataFrame) -> DataFrame:
 
 
 def text_model(counts: DataFrame, langs: list[str]) -> np.ndarray:
-    """log P(bucket | language), a row a language; what comes to the driver is at most languages times BUCKETS sums."""
+    """log P(bucket | language), a row a language, never below that of a uniform bucket times ANY; what comes to the driver is at most languages times BUCKETS sums."""
     table = np.full((len(langs), BUCKETS), 0.5)
     at = {x: k for k, x in enumerate(langs)}
     pdf = counts.where(F.col("lang").isin(langs)).toPandas() if langs else None
     if pdf is not None and len(pdf):
         np.add.at(table, (pdf["lang"].map(at).to_numpy(), pdf["bucket"].to_numpy()), pdf["n"].to_numpy())
-    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    return np.log((1 - ANY) * table / table.sum(axis=1, keepdims=True) + ANY / BUCKETS).astype(np.float32)
 
 
 def text_scores(df: DataFrame, model: np.ndarray) -> DataFrame:
@@ -113,7 +115,7 @@ def host_priors(df: DataFrame, size: int) -> DataFrame:
 
 
 def _evidence(df: DataFrame, name: str, size: int) -> DataFrame:
-    """Value of column `name` and an array of log P(value | language), smoothed by the value's share of all rows."""
+    """Value of column `name`, an array of log P(value | language), smoothed by the value's share of all rows, and log of that share."""
     c = df.where(F.col(name).isNotNull() & F.col("best").isNotNull()).groupBy(name, "best").agg(F.count("*").alias("c"))
     by = c.groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct("best", "c"))).alias("by"), F.sum("c").alias("n"))
     langs = c.groupBy("best").agg(F.sum("c").alias("c"))
@@ -121,15 +123,16 @@ def _evidence(df: DataFrame, name: str, size: int) -> DataFrame:
     by = by.join(F.broadcast(totals))  # one row
     of = lambda m, k: F.coalesce(F.element_at(m, k), F.lit(0))
     p = lambda k: (of(F.col("by"), k) + EVIDENCE_PRIOR * F.col("n") / F.col("all")) / (of(F.col("totals"), k) + EVIDENCE_PRIOR)
-    return by.select(F.col(name).alias(f"_{name}"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.log(p(k))).alias(f"{name}_ev"))
+    return by.select(F.col(name).alias(f"_{name}"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.log(p(k))).alias(f"{name}_ev"), F.log(F.col("n") / F.col("all")).alias(f"{name}_any"))
 
 
 def identify(df: DataFrame, extra: DataFrame | None = None, *, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """id, declared, text_language, language, posterior and kept for every row.
 
     df: id, text, declared (language code) and host; extra: id, declared, host and suffix known from elsewhere (a page of
-    the document), one row an id, which take precedence. Languages are those that enough rows declare; the text
-    model is counted over all rows that declare one. Posterior: host prior times text likelihood (tempered) times
+    the document), one row an id, which take precedence. Languages are those that five rows declare; the text
+    model is counted over all rows that declare one. A text whose trigrams are likelier to be drawn evenly than from any
+    language has no text_language and counts in no prior. Posterior, over the languages and one that is none of them: host prior times text likelihood (tempered) times
     P(declared | language) times P(suffix | language), each left out where it is missing. A text of fewer than three bytes
     has no text evidence and is rejected, as is one whose best posterior is too small. Ties go to the first language in
     alphabetical order. Null keys keep their row; without any declared language all rows are rejected.
@@ -137,8 +140,7 @@ def identify(df: DataFrame, extra: DataFrame | None = None, *, min_posterior: fl
     kind = df.schema["id"].dataType
     df = df.select("id", F.lower(F.substring_index(F.col("declared"), "-", 1)).alias("declared"), F.col("host").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     found = df.groupBy("declared").count().where(F.col("declared").isNotNull() & (F.trim("declared") != ""))
-    total = df.count()
-    langs = sorted(r[0] for r in found.where(F.col("count") >= MIN_SHARE * total).collect())
+    langs = sorted(r[0] for r in found.where(F.col("count") >= MIN_ROWS).collect())
     scored = text_scores(df, text_model(trigram_counts(df.withColumnRenamed("declared", "lang")), langs))
     if extra is not None:
         more = extra.select(F.col("id").cast(kind).alias("_id"), F.col("declared").alias("d2"), F.col("host").alias("h2"), "suffix")
@@ -150,7 +152,8 @@ def identify(df: DataFrame, extra: DataFrame | None = None, *, min_posterior: fl
         none = F.lit(None).cast("string")
         return scored.select("id", "declared", none.alias("text_language"), none.alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
     size = len(langs)
-    best = F.when(F.col("n") > 0, _arg_max("ll"))
+    even = F.col("n") * F.lit(-float(np.log(BUCKETS)))
+    best = F.when((F.col("n") > 0) & (F.array_max("ll") >= even), _arg_max("ll"))
     scored = scored.withColumn("best", best)
     out = scored
     p = host_priors(scored, size)
@@ -159,9 +162,10 @@ def identify(df: DataFrame, extra: DataFrame | None = None, *, min_posterior: fl
         e = _evidence(scored, name, size)
         out = out.join(e, F.col(name) == F.col(f"_{name}"), "left").drop(f"_{name}")
     at = lambda c, k: F.coalesce(F.get(c, k), F.lit(0.0))
-    log = F.transform("ll", lambda x, k: F.lit(TEMPER) * x + F.log(F.get("prior", k)) + at("declared_ev", k) + at("suffix_ev", k))
+    log = F.transform("ll", lambda x, k: F.lit(TEMPER) * x + F.log((1 - OTHER_PRIOR) * F.get("prior", k)) + at("declared_ev", k) + at("suffix_ev", k))
+    other = TEMPER * even + float(np.log(OTHER_PRIOR)) + F.coalesce("declared_any", F.lit(0.0)) + F.coalesce("suffix_any", F.lit(0.0))
     out = out.withColumn("log", log).withColumn("top", F.array_max("log"))
-    out = out.withColumn("mass", F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
+    out = out.withColumn("mass", F.aggregate("log", F.exp(other - F.col("top")), lambda a, x: a + F.exp(x - F.col("top"))))
     names = F.array(*[F.lit(x) for x in langs])
     posterior = 1 / F.col("mass")
     return out.select("id", "declared", F.get(names, F.col("best")).alias("text_language"), F.get(names, _arg_max("log")).alias("language"), posterior.alias("posterior"), ((F.col("n") > 0) & (posterior >= min_posterior)).alias("kept"))

@@ -386,3 +386,18 @@ def test_text_outweighs_wrong_declaration(spark, docs):
     wrong = docs.where("lang = 'fr'").limit(1).select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.lit("de").alias("lang"), F.lit(None).cast("string").alias("source"), "n_chars")
     got = langid.documents_language(docs.unionByName(wrong)).where("doc_id >= 1000000").first()
     assert got["language"] == "fr" and got["text_language"] == "fr"
+
+
+def test_rare_and_unknown_languages(spark):
+    """A language of 0.1% of the rows is identified; texts in none of the languages are rejected whatever they declare."""
+    r = random.Random(5)
+    lexicon = {x: ["".join(r.choice(letters) for _ in range(r.randrange(2, 8))) for _ in range(60)] for x, letters in (("en", "etaoinshrd"), ("de", "enirstadhul"), ("fi", "aitneslokuäy"))}
+    text = lambda x, n: " ".join(r.choice(lexicon[x]) for _ in range(n))
+    rows = [(k, text(x, 40), x) for k, x in enumerate(["fi"] * 6 + ["en"] * 4000 + ["de"] * 1994)]
+    rows += [(10_000 + k, "".join(r.choice("bcdfghjklmpqvwxyz    ") for _ in range(100)), r.choice(["en", "de", None])) for k in range(40)]
+    rows += [(20_000, "Съешь же ещё этих мягких французских булок, да выпей чаю", "de"), (20_001, text("fi", 40), None), (20_002, text("fi", 40), "en")]
+    docs = spark.createDataFrame([(k, t, x, "s") for k, t, x in rows], "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: (x["language"], x["kept"]) for x in langid.documents_language(docs).collect()}
+    assert all(got[k] == (x, True) for k, _, x in rows[:6000])
+    assert got[20_001] == got[20_002] == ("fi", True)
+    assert not any(kept for k, (_, kept) in got.items() if 10_000 <= k <= 20_000)
