@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: Sainte-Laguë quotas of equal-token blocks, per shard."""
+"""Mixing sources to target weights: Sainte-Laguë quotas over the whole mix, spread over shards."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from axisweave.llm.text import WORD, stored
 
-#: Repeats of a source at most, shards of every source's stream at least, words of a block, blocks of all sources in a shard at most, and buckets of the seeded order.
+#: Repeats of a source at most, shards of every source's stream at least, words of a run at most, runs of all sources in a shard at most, and buckets of the seeded order.
 MAX_REPEATS, SHARDS, BLOCK, SHARD_BLOCKS, BUCKETS = 3, 16, 64, 1 << 20, 256
 SEED = "mix"
 
@@ -43,32 +43,34 @@ def source_targets(sized: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
     return by.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
-def quotas(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+def quotas(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK, max_repeats: int | None = None) -> DataFrame:
     """source, shard, begin, length (its words of the source's stream) and seats (blocks it takes), by Sainte-Laguë.
 
-    A shard holds the same part of every source's stream. Its seats, one for each `block` words of its
-    target, go to the highest quotients target / (2k - 1). Only quotients near each source's share
-    can be the last to win: the divisor method's total at the standard divisor is off by half the number
-    of sources at most, so a source's seats lie within its share of that many, and the rest is certain.
-    A source never takes more seats than max_repeats times its part has room for, rounding included.
+    The whole mix's seats, one for each `block` words of the targets, go to the highest quotients target / (2k - 1).
+    Only quotients near each source's share can be the last to win: the divisor method's total at the standard
+    divisor is off by half the number of sources at most, so a source's seats lie within its share of that many, and the rest
+    is certain. A source never takes more than max_repeats times its words. A shard holds the same part of every source's
+    stream and the same part of its seats, what one shard's rounding leaves being carried to the next.
     """
-    s = targets.withColumn("_n", F.count("*").over(Window.partitionBy())).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    edge = lambda k: _div(F.col("source_size") * k, shards)
-    s = s.withColumn("begin", edge(F.col("shard"))).withColumn("length", edge(F.col("shard") + 1) - F.col("begin"))
-    part = F.when(F.col("source_size") > 0, F.col("target") * F.col("length") / F.col("source_size")).otherwise(F.lit(0.0))
-    here = Window.partitionBy("shard")
-    s = s.withColumn("part", part).withColumn("all", F.sum("part").over(here))
+    every = Window.partitionBy()
+    s = targets.withColumn("_n", F.count("*").over(every)).withColumn("part", F.when(F.col("source_size") > 0, F.col("target")).otherwise(F.lit(0.0))).withColumn("all", F.sum("part").over(every))
     s = s.withColumn("n", F.round(F.col("all") / block).cast("long")).withColumn("share", F.when(F.col("all") > 0, F.col("part") / F.col("all")).otherwise(F.lit(0.0)))
     slack = F.col("share") * F.col("_n") / 2 + 1
     s = s.withColumn("sure", F.greatest(F.lit(0).cast("long"), F.floor(F.col("share") * F.col("n") - slack).cast("long")))
-    s = s.withColumn("most", F.ceil(F.col("share") * F.col("n") + slack).cast("long"))
+    s = s.withColumn("most", F.ceil(F.col("share") * F.col("n") + slack).cast("long")).withColumn("given", F.sum("sure").over(every))
     open_ = s.where("part > 0").withColumn("k", F.explode(F.expr("sequence(sure + 1, most)"))).withColumn("quotient", F.col("part") / (2 * F.col("k") - 1))
-    best = Window.partitionBy("shard").orderBy(F.col("quotient").desc(), F.col("source").asc_nulls_last(), "k")
-    sure = s.groupBy("shard").agg(F.sum("sure").alias("given"))
-    won = open_.withColumn("rank", F.row_number().over(best)).join(sure, "shard").where(F.col("rank") <= F.col("n") - F.col("given"))
-    won = won.groupBy(F.col("shard").alias("_shard"), F.col("source").alias("_source")).agg(F.count("*").alias("more"))
-    got = s.join(won, (s.shard == won._shard) & s.source.eqNullSafe(won._source), "left")
-    return got.select("source", "shard", "begin", "length", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("seats"))
+    best = Window.partitionBy().orderBy(F.col("quotient").desc(), F.col("source").asc_nulls_last(), "k")
+    won = open_.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("n") - F.col("given"))
+    won = won.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("more"))
+    got = s.join(won, s.source.eqNullSafe(won._source), "left").withColumn("all_seats", F.col("sure") + F.coalesce("more", F.lit(0)))
+    if max_repeats is not None:
+        got = got.withColumn("all_seats", F.least("all_seats", _div(max_repeats * F.col("source_size"), block)))
+    got = got.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    edge = lambda k: _div(F.col("source_size") * k, shards)
+    wide = lambda c: c.cast("decimal(19,0)")
+    upto = lambda x: F.when(F.col("source_size") > 0, _div(wide(F.col("all_seats")) * wide(x), wide(F.col("source_size")))).otherwise(F.lit(0)).cast("long")
+    got = got.withColumn("begin", edge(F.col("shard"))).withColumn("end", edge(F.col("shard") + 1))
+    return got.select("source", "shard", "begin", (F.col("end") - F.col("begin")).alias("length"), (upto(F.col("end")) - upto(F.col("begin"))).alias("seats"))
 
 
 def _phase(source: Column, shard: Column) -> Column:
@@ -80,10 +82,10 @@ def _phase(source: Column, shard: Column) -> Column:
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", max_repeats: int = MAX_REPEATS, shards: int | None = None, block: int = BLOCK) -> DataFrame:
     """key, size, source_size, target and taken of every row.
 
-    Each source's texts are laid end to end in seeded order and the stream is cut into shards and blocks.
-    A shard's seats are spread over its blocks: each is taken seats div blocks times, and a seeded, even
-    selection of them once more. taken is what falls on the row's words, so no row exceeds max_repeats
-    times its size, and a source's total differs from its target by less than a block a shard or so.
+    Each source's texts are laid end to end in seeded order and the stream is cut into shards. Words are apportioned
+    once over the whole mix: a shard is taken as many whole times as its seats allow, and a seeded, even
+    selection of runs of `block` words or fewer once more. taken is what falls on the row's words, so no row exceeds max_repeats
+    times its size, and a source's total differs from its target by the rounding of whole words alone, however small it is.
 
     Null texts have size 0, null sources are one source, rows without words take nothing. Rows that are
     equal in key and size may be dealt either way between themselves. Reruns agree.
@@ -94,21 +96,20 @@ def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str
     targets = stored(source_targets(sized, max_repeats), "targets")
     total = targets.agg(F.sum("source_size")).first()[0] or 0
     shards = shards or max(SHARDS, total // (block * SHARD_BLOCKS) + 1)
-    part = quotas(targets, shards, block)
-    # words taken from a stream before position x, within a shard: whole blocks first, then a part of one
-    blocks = F.ceil(F.col("length") / block).cast("long")
-    part = part.withColumn("blocks", blocks).withColumn("seats", F.least("seats", max_repeats * F.col("blocks")))
-    part = part.withColumn("each", F.when(F.col("blocks") > 0, _div(F.col("seats"), F.col("blocks"))).otherwise(F.lit(0)).cast("long"))
-    part = part.withColumn("extra", F.col("seats") - F.col("each") * F.col("blocks")).withColumn("phase", _phase(F.col("source"), F.col("shard")))
-
-    def chosen(j: Column) -> Column:
-        """Blocks before the j-th that are taken once more."""
-        return F.when(F.col("blocks") > 0, _div(j * F.col("extra") * (1 << 16) + F.col("phase") * F.col("blocks"), F.col("blocks") * (1 << 16))).otherwise(F.lit(0)).cast("long")
+    part = quotas(targets, shards, 1, max_repeats)
+    # words taken from a stream before position x, within a shard: whole times first, then a run in each of equal cells
+    part = part.withColumn("each", F.when(F.col("length") > 0, _div(F.col("seats"), F.col("length"))).otherwise(F.lit(0)).cast("long"))
+    part = part.withColumn("extra", F.col("seats") - F.col("each") * F.col("length")).withColumn("phase", _phase(F.col("source"), F.col("shard")))
+    part = part.withColumn("cells", F.ceil(F.col("extra") / block).cast("long"))
 
     def before(x: Column) -> Column:
-        j = _div(x, block)
-        rest = x - j * block
-        return F.col("each") * x + chosen(j) * block + (chosen(j + 1) - chosen(j)) * rest
+        cells, length = (F.greatest(F.lit(1).cast("long"), F.col(c)) for c in ("cells", "length"))
+        cell = F.least(cells - 1, _div((x + 1) * cells - 1, length))
+        begin, end = (_div(length * k, cells) for k in (cell, cell + 1))
+        past, upto = (_div(F.col("extra") * c, length) for c in (begin, end))
+        skip = _div((end - begin - upto + past) * F.col("phase"), 1 << 16)
+        run = past + F.least(upto - past, F.greatest(F.lit(0).cast("long"), x - begin - skip))
+        return F.col("each") * x + F.when(F.col("cells") > 0, run).otherwise(F.lit(0).cast("long"))
 
     part = part.withColumn("sum", before(F.col("length")))
     past = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,7 +130,7 @@ def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str
 
     def upto(df: DataFrame, x: str, name: str) -> DataFrame:
         """Add the words taken before position x of the row's stream."""
-        p = part.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "begin", "length", "blocks", "each", "extra", "phase", "past")
+        p = part.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "begin", "length", "cells", "each", "extra", "phase", "past")
         df = df.withColumn("s", shard_of(F.col(x)))
         df = df.join(p, df.source.eqNullSafe(p._source) & (df.s == p._shard), "left")
         return df.withColumn(name, F.col("past") + before(F.col(x) - F.col("begin"))).drop(*p.columns, "s")

@@ -256,6 +256,26 @@ def test_mixing(docs, odd):
     assert mixing.mix(odd).where("doc_id = 1").first()["taken"] == 0
 
 
+def test_small_sources_reach_their_targets(spark):
+    """Every source takes its own target, a capped source of a few words among large ones too, in many shards."""
+    size = {"a": 7, "b": 160, "c": 500, "d": 1, "e": 60_000, "f": 40_000, "g": 90_000}
+    rows, k = [], 0
+    for name, n in size.items():
+        while n:
+            part = min(n, 40 if n < 1000 else 700)
+            rows.append((k, " ".join(["w"] * part), name))
+            k, n = k + 1, n - part
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for shards in (None, 75):
+        got = mixing.mix(docs, shards=shards).join(docs.select("doc_id", "source"), "doc_id").collect()
+        taken, target = Counter(), {r["source"]: r["target"] for r in got}
+        for r in got:
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+        assert target["b"] == 480 and target["d"] == 3
+        assert all(abs(taken[s] - target[s]) <= 1 for s in size), (taken, target)
+
+
 def test_sainte_lague(spark):
     t = spark.createDataFrame([("a", 5300, 5300.0), ("b", 2400, 2400.0), ("c", 2300, 2300.0), ("d", 9, 9.0)], "source string, source_size long, target double")
     got = {r["source"]: r["seats"] for r in mixing.quotas(t, 1, 100).collect()}
