@@ -40,12 +40,15 @@ class Encoder:
     L, N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
     PIECE = rf" ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        #: Texts with an added token's content go to the library whole, unless it is encoded literally.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if not (literal and t.special)]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit in 16 bits")
         self.plain, self.piece = re.compile(self.PLAIN), re.compile(self.PIECE)
@@ -56,7 +59,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        cut = [self.piece.findall(t) if self.plain.fullmatch(t) else None for t in texts]
+        cut = [self.piece.findall(t) if self.plain.fullmatch(t) and not (self.added and self.added.search(t)) else None for t in texts]
         new = list({p for c in cut if c is not None for p in c if p not in self.known})
         if len(self.known) + len(new) > CACHE:
             self.known = {}
@@ -65,10 +68,10 @@ class Encoder:
         return [b"".join([self.known[p] for p in c]) if c is not None else self._ids([t])[0] for t, c in zip(texts, cut)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = True) -> Encoder:
     """This process's encoder; a worker keeps it from task to task."""
-    held = sys.__dict__.setdefault("_axisweave_encoders", {})
-    return held.setdefault(path, None) or held.__setitem__(path, Encoder(path)) or held[path]
+    held, name = sys.__dict__.setdefault("_axisweave_encoders", {}), (path, literal)
+    return held.setdefault(name, None) or held.__setitem__(name, Encoder(path, literal)) or held[name]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -106,9 +109,9 @@ def merkle(leaves: list[bytes]) -> bytes:
 _CHUNKED = "n long, recipe array<binary>, root binary, payloads array<binary>"
 
 
-def _writer(path: str, end: int):
+def _writer(path: str, end: int, literal: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, literal)
         for batch in batches:
             texts, at = batch.column(1), 0
             while at < len(batch):
@@ -166,7 +169,7 @@ def _remove(spark, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def write_store(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end: int = END) -> DataFrame:
+def write_store(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end: int = END, literal: bool = True) -> DataFrame:
     """Encode every text and write the store; the table has a row a document.
 
     Columns: row, id, n (ids, the end id included), recipe (digests of its chunks), root, payloads (its chunks as 16-bit ids,
@@ -174,11 +177,12 @@ def write_store(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tok
     The owner of a chunk is its first place by row, so each unique chunk is stored once. Encoded rows are written first,
     ownership is settled on the digests alone, and the final files follow in one pass; payloads are never shuffled unless the
     list of repeated chunks exceeds its broadcast bound. The first files are then removed. Null texts are empty: the end id alone.
+    With `literal` a special token's content in a text is encoded as any other text, without it as the library's default, the token's id.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(_writer(tokenizer or default_tokenizer(), end), f"id {kind}, {_CHUNKED}").withColumn("row", F.monotonically_increasing_id())
+    made = rows.mapInArrow(_writer(tokenizer or default_tokenizer(), end, literal), f"id {kind}, {_CHUNKED}").withColumn("row", F.monotonically_increasing_id())
     first = stored(made, "encoded")
     chunk = first.select("row", F.posexplode("recipe").alias("pos", "d"))
     owner = chunk.groupBy("d").agg(F.min(F.struct("row", "pos")).alias("o"), F.count("*").alias("c")).where("c > 1").select("d", "o")
@@ -230,6 +234,6 @@ def read_store(store: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op8: all documents, written and read back."""
-    store = write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op8: all documents, with the library's own handling of special tokens, written and read back."""
+    store = write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), literal=False)
     return read_store(store).withColumnRenamed("id", "doc_id")

@@ -362,6 +362,21 @@ def test_token_store(spark, docs, texts, odd):
     assert tokenstore.read_store(tokenstore.write_store(odd.limit(0))).isEmpty()
 
 
+def test_token_store_query_keeps_the_tokenizers_default(spark, tmp_path):
+    """Ids of texts that contain special tokens are those of the library without any switch."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenstore.default_tokenizer())
+    names = [t.content for t in tok.get_added_tokens_decoder().values()]
+    rows = [(0, "x <|endoftext|> y"), (1, "plain text"), *((2 + k, f"it's{x}{x} {x}\n日本 {x}") for k, x in enumerate(names)), (900, "x <|ENDOFTEXT|> y"), (901, "<|endoftext")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, at = sorted(tuple(r) for r in tokenstore.query(spark, str(tmp_path)).collect()), 0
+    for (k, t), r in zip(rows, got, strict=True):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert r == (k, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_chunks_follow_content():
     ids = np.random.default_rng(2).integers(0, 50_000, 20_000)
     a, b = tokenstore.cuts(ids), tokenstore.cuts(ids[777:])
