@@ -99,7 +99,7 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 cols = []
                 for m in muls:
                     h = np.append(mix(sh * m), np.iinfo(np.uint64).max)
-                    cols.append((np.minimum.reduceat(h, pairs)[::2] >> np.uint64(32)).astype(np.int64))
+                    cols.append((np.minimum.reduceat(h, pairs)[::2] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 # 128 bits that the shingles set, for a bound on what two paragraphs share
                 bit = np.uint64(1) << (sh & np.uint64(63))
                 for half in (0, 1):
@@ -112,7 +112,7 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 whole = mix((total[to] - total[start]) * inverse[start] + lens.astype(np.uint64))
                 ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
                 first = w.bounds[doc]
-                sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols[:bands], 1).reshape(-1)), bands).cast(pa.list_(pa.int64()))
+                sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols[:bands], 1).reshape(-1)), bands).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array((start - first).astype(np.int32)), pa.array(lens.astype(np.int32)), pa.array(whole.view(np.int64)), sig, *map(pa.array, cols[bands:])], ["id", "at", "n", "e", "sig", "b0", "b1"])
 
     return cut
@@ -130,7 +130,7 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, size
     bands = bands or tuned_bands(PERCENT / 100, RECALL)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull())
-    return rows.mapInArrow(_cutter(bands, size, target, least), f"id {kind}, at int, n int, e long, sig array<long>, b0 long, b1 long")
+    return rows.mapInArrow(_cutter(bands, size, target, least), f"id {kind}, at int, n int, e long, sig array<int>, b0 long, b1 long")
 
 
 def _jaccard(a: str, b: str, size: int, percent: int):
@@ -154,9 +154,12 @@ def _possible(size: int, percent: int):
 
 def _linked(classes: DataFrame, full: DataFrame, size: int, percent: int) -> DataFrame:
     """id (class) and component of the classes that are similar to another one; full has id and w (words) of the texts."""
-    keys = classes.select(F.explode(F.transform("sig", lambda h, i: h.bitwiseOR(F.shiftleft(i.cast("long"), 32)))).alias("h"), "e", F.struct("id", "at", "n", "b0", "b1").alias("x"))
-    shared = keys.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    at = stored(keys.join(shared, "h", "left_semi").withColumn("c", F.col("e")), "paragraph-bands")
+    keys = classes.select(F.explode(F.transform("sig", lambda h, i: h.cast("long").bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.shiftleft(i.cast("long"), 32)))).alias("h"), "e", "id", "at", "n")
+    # bands of neighbours in one text that all overlap have no pair to compare
+    shared = keys.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("at").alias("last"), F.min(F.col("at") + F.col("n")).alias("first"))
+    shared = shared.where("k > 1 and (lo <> hi or first <= last)").select("h")
+    member = stored(keys.select("h", "e").join(shared, "h", "left_semi"), "paragraph-keys")
+    at = stored(member.join(classes.select("e", F.struct("id", "at", "n", "b0", "b1").alias("x")), "e").withColumn("c", F.col("e")), "paragraph-bands")
     place = at.select("e", F.col("x.id").alias("id"), F.col("x.at").alias("at"), F.col("x.n").alias("n")).distinct()
     full = full.join(place.select("id").distinct(), "id", "left_semi")
     cut = stored(place.join(full, "id").select("e", F.slice("w", F.col("at") + 1, F.col("n")).alias("w")).groupBy("e").agg(F.min("w").alias("w")), "paragraph-words")
