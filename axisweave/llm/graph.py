@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.llm.text import stored
+from axisweave.llm.text import dropped, stored
 
 
 def _roots(parent: DataFrame) -> DataFrame:
     """id and root of a forest given as id and root (a smaller id each): pointers are doubled until none changes."""
-    parent = stored(parent, "parents")
+    parent = old = stored(parent, "parents")
     while True:
         up = parent.select(F.col("id").alias("_at"), F.col("root").alias("_up"))
         new = parent.join(up, F.col("root") == F.col("_at"), "left").select("id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
         new = stored(new, "parents")
-        parent = new.drop("_moved")
+        dropped(old)
+        parent, old = new.drop("_moved"), new
         if new.where("_moved").isEmpty():
             return parent
 
@@ -31,6 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     label = None
     while not e.isEmpty():
+        first = e
         root = _roots(e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")))
         to = root.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
         if label is None:
@@ -42,7 +44,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             label = stored(label.join(to, F.col("component") == F.col("_id"), "left").select("id", F.coalesce("_root", "component").alias("component")), "components")
         e = e.join(to, F.col("u") == F.col("_id"), "left").select(F.coalesce("_root", "u").alias("u"), "v")
         e = e.join(to, F.col("v") == F.col("_id"), "left").select("u", F.coalesce("_root", "v").alias("v")).where("u <> v")
-        e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        was, e = first, stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        dropped(was)
     if label is None:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return label

@@ -11,28 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisweave.llm.graph import components
-from axisweave.llm.text import stored
+from axisweave.llm.text import dropped, stored
 from axisweave.llm.vector import mix, shingles, words_of
 
 #: Bands of each of the two collections, and MinHashes of a band: 2 * 14 * 4 MinHashes serve 14 * 14
 #: tables of eight MinHashes each. A pair of similarity 0.8 meets in a table with probability
 #: (1 - (1 - 0.8**4)**14)**2 = 0.9988, one of 0.85 with 0.99996.
 BANDS, ROWS = 14, 4
-#: Rounds in which each document is compared with one other, before all that is left is compared.
-ROUNDS = 5
+#: Rounds in which each document is compared with one other, before the exact search for what is left.
+ROUNDS = 3
 
 
 def _signer(size: int, bands: int, rows: int):
     rng = np.random.default_rng(20_240_229)
-    mul = rng.integers(1, 1 << 63, 2 * bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, 2 * bands * rows, dtype=np.uint64)
-
-    def minima(s: np.ndarray) -> np.ndarray:
-        out = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(s), 4096):
-            x = s[at : at + 4096, None] * mul + add
-            x ^= x >> np.uint64(29)
-            np.minimum(out, x.min(axis=0), out=out)
+    mul = rng.integers(1, 1 << 31, 2 * bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 1 << 32, 2 * bands * rows, dtype=np.uint32)
+
+    def minima(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """MinHashes of the 32-bit shingles s, a row for each stretch that begins at `at`."""
+        out = np.empty((len(at), len(mul)), np.uint32)
+        for k, (m, a) in enumerate(zip(mul, add)):
+            x = s * m + a
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            x ^= x >> np.uint32(13)
+            out[:, k] = np.minimum.reduceat(x, at)
         return out
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,15 +43,21 @@ def _signer(size: int, bands: int, rows: int):
             n, a, b = (np.zeros(len(batch), np.int64) for _ in range(3))
             sides = np.zeros((len(batch), 2 * bands), np.int64)
             for at, _, w in words_of(batch.column(1), lower=True):
-                for k, (x, y) in enumerate(zip(w.bounds[:-1], w.bounds[1:]), at):
-                    if (s := shingles(w.hash[x:y], size)).size:
-                        n[k] = len(s)
-                        a[k] = mix(s).sum(dtype=np.uint64).view(np.int64)
-                        b[k] = mix(s ^ np.uint64(0xA5A5F00DC0FFEE11)).sum(dtype=np.uint64).view(np.int64)
-                        m, h = minima(s).reshape(2 * bands, rows), np.zeros(2 * bands, np.uint64)
-                        for r in range(rows):
-                            h = mix(h * np.uint64(0x2545F4914F6CDD1D) + m[:, r])
-                        sides[k] = h.view(np.int64)
+                sets = [shingles(w.hash[x:y], size) for x, y in zip(w.bounds[:-1], w.bounds[1:])]
+                rowed = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
+                if not len(rowed):
+                    continue
+                every = np.concatenate([sets[k] for k in rowed])
+                lens = np.array([len(sets[k]) for k in rowed])
+                begin = np.cumsum(lens) - lens
+                n[at + rowed] = lens
+                a[at + rowed] = np.add.reduceat(mix(every), begin).view(np.int64)
+                b[at + rowed] = np.add.reduceat(mix(every ^ np.uint64(0xA5A5F00DC0FFEE11)), begin).view(np.int64)
+                low = minima((every >> np.uint64(32)).astype(np.uint32), begin).reshape(len(rowed), 2 * bands, rows)
+                h = np.zeros((len(rowed), 2 * bands), np.uint64)
+                for r in range(rows):
+                    h = mix(h * np.uint64(0x2545F4914F6CDD1D) + low[:, :, r])
+                sides[at + rowed] = h.view(np.int64)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).reshape(-1)), bands).cast(pa.list_(pa.int64())) for x in (sides[:, :bands], sides[:, bands:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b), *lists], ["id", "n", "sa", "sb", "left", "right"])
 
@@ -62,6 +71,20 @@ def signatures(docs: DataFrame, text: str, key: str, size: int, bands: int, rows
     return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_signer(size, bands, rows), schema)
 
 
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """id and s (hashes of the distinct shingles) of docs with columns id and text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in words_of(batch.column(1), lower=True):
+                made = [shingles(w.hash[x:y], size) for x, y in zip(w.bounds[:-1], w.bounds[1:])]
+                at = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(made).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["id", "s"])
+
+    return docs.select("id", "text").mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, s array<long>")
+
+
 def _tables(reps: DataFrame) -> DataFrame:
     """key, id of every table in which a set meets another.
 
@@ -77,41 +100,16 @@ def _tables(reps: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], "id").select(F.xxhash64("left_i", "left_h", "right_i", "right_h").alias("key"), "id")
 
 
-def _verifier(size: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets: list[dict] = []
-            for text, name in ((1, 0), (3, 2)):
-                ids, found, fresh = batch.column(name).to_pylist(), {}, []
-                hold = batch.column(text)
-                sizes = {}
-                for k, x in enumerate(ids):
-                    mark = (x, len(hold[k].as_buffer()) if hold[k].is_valid else -1)
-                    if mark not in sizes:
-                        sizes[mark] = len(fresh)
-                        fresh.append(k)
-                    found[k] = sizes[mark]
-                made = []
-                for _, _, w in words_of(hold.take(pa.array(fresh, pa.int64())), lower=True):
-                    made += [shingles(w.hash[x:y], size) for x, y in zip(w.bounds[:-1], w.bounds[1:])]
-                sets.append({k: made[i] for k, i in found.items()})
-            ok = []
-            for k in range(len(batch)):
-                x, y = sets[0][k], sets[1][k]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    return verify
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs a, b whose full shingle sets are similar enough."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", "tb")
-    out = two.mapInArrow(_verifier(size, percent), f"a {kind}, b {kind}, ok boolean")
-    return out.where("ok").select("a", "b").distinct()
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs with the full shingle sets sa and sb of both."""
+    left, right = (sets.select(F.col("id").alias(name), F.col("s").alias(s)) for name, s in ((a, "sa"), (b, "sb")))
+    return pairs.join(right, b).join(left, a)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets are similar enough."""
+    df = _with_sets(pairs, sets).withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return df.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select(*pairs.columns).distinct()
 
 
 def _sizes(m: str, n: str, percent: int):
@@ -119,63 +117,114 @@ def _sizes(m: str, n: str, percent: int):
     return F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n)
 
 
+def _merged(df: DataFrame, to: DataFrame) -> DataFrame:
+    """df with its column c replaced by the component that c has become a part of."""
+    to = to.select(F.col("id").alias("_c"), F.col("component").alias("_to"))
+    return df.join(to, F.col("c") == F.col("_c"), "left").withColumn("c", F.coalesce("_to", "c")).drop("_c", "_to")
+
+
+def _left_over(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of different components c, d that meet in a table of `at` and are similar enough: all of them, without forming all pairs.
+
+    Each set is written as what it adds to the first member (pivot) of its table and what of it it lacks. If A is not similar
+    enough to the pivot, then any B that A is similar enough to shares with A an added or a lacked shingle, for else the two
+    differ by all that both differ from the pivot by, which is too much already; and without a shared added one their
+    added shingles and the difference of their lacked ones must stay within what the similarity allows. So
+    pairs are looked for by shared added shingles, and by lacked ones only among sets of which such a sum is possible.
+    Pairs of sets that both are similar enough to the pivot are in one component through it.
+    """
+    first = at.groupBy("key").agg(F.min(F.struct("o", "id", "c")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", F.col("h.id").alias("a"), F.col("h.c").alias("d"))
+    near = at.join(first, "key").where("id <> a").select("a", "d", F.col("id").alias("b"), "c").distinct()
+    df = _with_sets(near, sets).withColumn("p", F.array_except("sb", "sa")).withColumn("q", F.array_except("sa", "sb"))
+    df = df.withColumn("np", F.size("p").cast("long")).withColumn("nq", F.size("q").cast("long")).withColumn("n", F.size("sb").cast("long")).withColumn("m", F.size("sa").cast("long"))
+    far, near_ = F.lit(100 + percent), F.lit(100 - percent)
+    df = df.withColumn("ok", far * (F.col("np") + F.col("nq")) <= near_ * (F.col("n") + F.col("m")))
+    delta = stored(df.drop("sa", "sb"), "differences")
+    links = delta.where("ok and c <> d").select("a", "b", "c", "d")
+    base = ["a", "b", "c", "np", "nq", "n", "ok"]
+    some = delta.where("not ok").select("a").distinct()
+    each = delta.join(some, "a", "left_semi")
+    added = each.select(*base, F.lit(True).alias("more"), F.explode("p").alias("e"))
+    lacked = each.where(far * F.col("np") <= near_ * (F.col("n") + F.col("m") - F.col("nq"))).select(*base, F.lit(False).alias("more"), F.explode("q").alias("e"))
+    x = added.unionByName(lacked).where("not ok").drop("ok")
+    y = added.unionByName(lacked.where("nq > np"))
+    y = y.select("a", "e", F.col("b").alias("b2"), F.col("c").alias("c2"), F.col("np").alias("np2"), F.col("nq").alias("nq2"), F.col("n").alias("n2"), "ok")
+    total = near_ * (F.col("n") + F.col("n2"))
+    apart = F.abs(F.col("nq") - F.col("nq2"))
+    fits = F.when(F.col("more"), far * (F.abs(F.col("np") - F.col("np2")) + apart) <= total).otherwise(far * (F.col("np") + F.col("np2") + apart) <= total)
+    met = x.join(y, ["a", "e"]).where((F.col("c") != F.col("c2")) & (F.col("ok") | (F.col("b") < F.col("b2"))) & fits)
+    met = met.groupBy("a", "b", "b2", "c", "c2").agg(F.sum(F.col("more").cast("int")).alias("shared"), *[F.first(k).alias(k) for k in ("np", "np2", "nq", "nq2", "n", "n2")])
+    least = F.col("np") + F.col("np2") - 2 * F.col("shared") + apart
+    met = met.where(far * least <= total).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b"), F.when(F.col("b") < F.col("b2"), F.col("c")).otherwise(F.col("c2")).alias("c"), F.when(F.col("b") < F.col("b2"), F.col("c2")).otherwise(F.col("c")).alias("d"))
+    pairs = stored(met.distinct(), "pairs")
+    links = stored(links.unionByName(_confirmed(pairs, sets, percent)), "links")
+    dropped(delta, pairs)
+    return links
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Each row's key, n_shingles, component_id (smallest key reachable over links) and kept (it is its own component's key).
 
     Documents are linked if the Jaccard similarity of their sets of `size`-word shingles (A-Z lower-cased)
     is at least percent / 100; every link is confirmed on the full sets. Documents of equal sets share one
-    representative. For five rounds each document is compared with the first member (the one that meets the
-    most others) of one of its tables that it isn't joined with yet; tables whose members are all joined are done, and in the others all pairs
-    between different components follow, so no colliding pair goes unexamined unless it is joined already
-    or the sizes of its sets rule it out.
+    representative. For three rounds each document is compared with the first member (the one that meets the
+    most others) of one of its tables; those of the member's component then leave the table and the next round
+    takes another first member. At last all colliding pairs between different components that can be similar enough are
+    found exactly (_left_over), so no colliding pair goes unexamined unless it is joined already or ruled out.
 
-    Null and empty texts have no shingles and stay alone. Rows that repeat a key count as one document.
-    A null key has no component and is kept. Other columns are not looked at; an empty table gives no rows.
+    Null and empty texts have no shingles and stay alone. Rows that repeat a key count as one document, which is linked
+    if any of its texts is. A null key has no component and is kept. Other columns are not looked at; an empty table gives no rows.
     """
     sig = stored(signatures(docs, text, key, size, bands, rows), "signatures")
     whole = sig.where("n > 0 and id is not null")
     classes = whole.groupBy("n", "sa", "sb").agg(F.min(F.struct("id", "left", "right")).alias("r"))
     classes = stored(classes.select("n", "sa", "sb", "r.*"), "classes")
     tables = stored(_tables(classes), "tables")
-    def texts(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        return stored(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi"), "texts")
-
-    tested = None
-    label = classes.select("id", F.col("id").alias("c"))
     # documents that meet the most others come first: the origin of a group of copies is nearer to all than they are to each other
     many = tables.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     degree = tables.join(many, "key").groupBy("id").agg(F.sum("k").alias("k"))
-    at = tables.join(many.select("key"), "key", "left_semi").join(degree, "id").join(classes.select("id", "n"), "id")
-    at = stored(at.select("key", "id", "n", (-F.col("k")).alias("o"), F.col("id").alias("c")), "tables")
+    sized = classes.groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("n0"))
+    at = tables.join(many.select("key"), "key", "left_semi").join(degree, "id").join(sized, "id")
+    every = stored(at.select("key", "id", "n", "n0", (-F.col("k")).alias("o"), F.col("id").alias("c")), "tables")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(every.select("id").distinct(), "id", "left_semi")
+    sets = stored(shingle_sets(texts, size), "sets")
+    dropped(tables)
+    label = classes.select("id", F.col("id").alias("c")).distinct()
+    at = every
     for turn in range(ROUNDS + 1):
-        # tables that hold more than one component, with their first member
-        split = at.groupBy("key").agg(F.min(F.struct("o", "id", "c", "n")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
         if turn < ROUNDS:
-            pairs = at.join(split, "key").where((F.col("c") != F.col("h.c")) & _sizes("n", "h.n", percent)).select(F.col("h.o").alias("o"), F.col("h.id").alias("a"), "c", F.col("h.c").alias("d"), F.col("id").alias("b"))
+            head = at.groupBy("key").agg(F.min(F.struct("o", "id", "c", "n", "n0")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
+            fits = (F.col("c") != F.col("h.c")) & (F.lit(100) * F.least("n", "h.n") >= F.lit(percent) * F.greatest("n0", "h.n0"))
+            meet = at.join(head, "key").where(fits).groupBy(F.col("id").alias("b")).agg(F.min(F.struct("h.o", F.col("h.id").alias("a"), "c", F.col("h.c").alias("d"))).alias("p"))
+            pairs = stored(meet.select("p.a", "b", "p.c", "p.d"), "pairs")
+            if pairs.isEmpty():
+                continue
+            links = stored(_confirmed(pairs, sets, percent), "links")
+            dropped(pairs)
         else:
-            at = stored(at.join(split.select("key"), "key", "left_semi"), "apart")
-            right = at.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
-            pairs = at.withColumnRenamed("id", "a").join(right, "key").where((F.col("c") != F.col("d")) & (F.col("a") < F.col("b")) & _sizes("n", "m", percent)).select("a", "b", "c", "d").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if turn < ROUNDS:
-            pairs = pairs.groupBy("b").agg(F.min(F.struct("o", "a", "c", "d")).alias("p")).select("p.a", "b", "p.c", "p.d")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = pairs.join(_confirmed(pairs.select("a", "b"), texts(pairs), size, percent), ["a", "b"])
-        to = components(found.select("c", "d"), "c", "d").select(F.col("id").alias("_c"), F.col("component").alias("_to"))
-        move = lambda df, *names: df.join(to, F.col("c") == F.col("_c"), "left").select(*names, F.coalesce("_to", "c").alias("c"))  # noqa: E731, B023
-        label = stored(move(label, "id"), "labels")
+            links = _left_over(every, sets, percent)
+        to = components(links, "c", "d")
+        was, label = label, stored(_merged(label, to), "labels")
+        dropped(was)
         if turn < ROUNDS:
-            tested = pairs.select("a", "b") if tested is None else stored(tested.unionByName(pairs.select("a", "b")), "tested")
-            at = stored(move(at.join(split.select("key"), "key", "left_semi"), "key", "id", "n", "o"), "tables")
-    comp = label.withColumnRenamed("c", "component")
-    named = classes.select("n", "sa", "sb", "id").join(comp, "id", "left").select("n", "sa", "sb", F.coalesce("component", "id").alias("component"))
+            was, every = every, stored(_merged(every, to), "tables")
+            # the first member's component leaves its table
+            gone = head.select("key", F.col("h.c").alias("c"))
+            left = stored(_merged(at.join(head.select("key"), "key", "left_semi"), to).join(_merged(gone, to), ["key", "c"], "left_anti"), "tables")
+            dropped(was, at)
+            at = left
+        dropped(to, links)
+    named = classes.select("n", "sa", "sb", "id").join(label.withColumnRenamed("c", "component"), "id", "left").select("n", "sa", "sb", F.coalesce("component", "id").alias("component"))
     out = sig.select("id", "n", "sa", "sb").join(named, ["n", "sa", "sb"], "left")
+    # the texts of a repeated key may lie in different components: they are one document
+    again = out.groupBy("id").agg(F.count_distinct("component").alias("k"), F.min("component").alias("lo")).where("k > 1 and id is not null")
+    if not again.isEmpty():
+        both = out.join(again.select("id"), "id", "left_semi").join(again.select("id", "lo"), "id").select("component", "lo")
+        out = _merged(out.withColumnRenamed("component", "c"), components(both, "component", "lo")).withColumnRenamed("c", "component")
     comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept"))
+    out = stored(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept")), "near-duplicates")
+    dropped(sig, classes, every, at, sets, label)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
