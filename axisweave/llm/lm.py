@@ -15,8 +15,10 @@ from axisweave.llm.vector import mix, words_of
 
 #: Head classes of `MEMBERS` frequent words each; classes of all other words, by their ending; units; words of a window; streams side by side.
 HEADS, MEMBERS, TAILS, UNITS, STEPS, STREAMS = 16, 64, 48, 16, 32, 256
-#: Words whose counts are broadcast, at most; rarer words' counts are joined. Documents of the warm start (those of least hash).
-KNOWN_WORDS, WARM_DOCS = 1 << 16, 400
+#: Words whose counts are broadcast, at most; rarer words' counts are joined.
+KNOWN_WORDS = 1 << 16
+#: Tokens that the warm start and a training group have about, tokens of a pool that is laid into streams, and of a block that is scored at once.
+WARM_TOKENS, GROUP_TOKENS, POOL_TOKENS, BLOCK = 1 << 19, 1 << 21, 1 << 18, 1 << 15
 HEAD_WORDS = HEADS * MEMBERS
 CLASSES, INPUTS = HEADS + TAILS, HEAD_WORDS + TAILS
 #: The end of a text is a token of its own.
@@ -84,6 +86,11 @@ class Lexicon:
         at = np.minimum(np.searchsorted(self.h, hashes), len(self.h) - 1)
         return np.where(self.h[at] == hashes, at, -1)
 
+    def heads(self) -> Lexicon:
+        """The part that training needs: words with a head number."""
+        own = self.head >= 0
+        return Lexicon(self.h[own], self.c[own], self.head[own], self.tokens, self.words, self.tail_n, self.tail_v, self.head_c)
+
 
 def lexicon(counts: DataFrame, known: int = KNOWN_WORDS) -> Lexicon:
     """Totals over all words and the most frequent ones; at most `known` rows come to the driver."""
@@ -129,6 +136,35 @@ def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e / total, (top + np.log(total))[:, 0]
 
 
+def _emitted(p: dict[str, np.ndarray], hr: np.ndarray, yr: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log probabilities of targets yr in states hr, and with grad (filled with sums) the derivative by the states."""
+    cls = np.where(yr < HEAD_WORDS, yr // MEMBERS, yr - HEAD_WORDS + HEADS)
+    z = hr @ p["out"] + p["bias"]
+    prob, norm = _softmax(z)
+    rows = np.arange(len(yr))
+    logp = z[rows, cls] - norm
+    order = np.argsort(cls, kind="stable")
+    edge = np.searchsorted(cls[order], np.arange(HEADS + 1))
+    dh = None
+    if grad is not None:
+        prob[rows, cls] -= 1
+        grad |= {"out": hr.T @ prob, "bias": prob.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
+        dh = prob @ p["out"].T
+    for k in range(HEADS):
+        at = order[edge[k] : edge[k + 1]]
+        if len(at):
+            zk = hr[at] @ p["word"][k] + p["word_bias"][k]
+            pk, nk = _softmax(zk)
+            member, own = yr[at] % MEMBERS, np.arange(len(at))
+            logp[at] += zk[own, member] - nk
+            if grad is not None:
+                pk[own, member] -= 1
+                grad["word"][k] = hr[at].T @ pk
+                grad["word_bias"][k] = pk.sum(0)
+                dh[at] += pk @ p["word"][k].T
+    return logp, dh
+
+
 class Network:
     """h_t = (1 - g_t) h_{t-1} + g_t c_t, where gate g and candidate c follow from the token read; then class and word-in-class softmaxes."""
 
@@ -136,14 +172,17 @@ class Network:
         self.p, self.rate = p, rate
         self.seen = {k: np.full_like(v, 1e-6) for k, v in p.items()}
 
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Gate and candidate of every token that can be read."""
+        return 1 / (1 + np.exp(-self.p["gate"])), np.tanh(self.p["cell"])
+
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probabilities (steps, streams) of the targets y (head number, or HEAD_WORDS + tail class; -1: none) and the last state.
 
         x: tokens read; fresh: 1 where a text begins and the carried state is dropped.
         """
         p, (steps, m) = self.p, x.shape
-        g = 1 / (1 + np.exp(-p["gate"][x]))
-        c = np.tanh(p["cell"][x])
+        g, c = (t[x] for t in self.gates())
         hold = (1 - g) * (1 - fresh)[:, :, None]
         add = g * c
         hs = np.empty((steps + 1, m, UNITS), np.float32)
@@ -151,31 +190,8 @@ class Network:
         for t in range(steps):
             hs[t + 1] = hold[t] * hs[t] + add[t]
         real = np.flatnonzero(y.reshape(-1) >= 0)
-        yr = y.reshape(-1)[real]
-        hr = hs[1:].reshape(-1, UNITS)[real]
-        cls = np.where(yr < HEAD_WORDS, yr // MEMBERS, yr - HEAD_WORDS + HEADS)
-        z = hr @ p["out"] + p["bias"]
-        prob, norm = _softmax(z)
-        rows = np.arange(len(real))
-        logp = z[rows, cls] - norm
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(HEADS + 1))
-        if learn:
-            prob[rows, cls] -= 1
-            grad = {"out": hr.T @ prob, "bias": prob.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
-            dh = prob @ p["out"].T
-        for k in range(HEADS):
-            at = order[edge[k] : edge[k + 1]]
-            if len(at):
-                zk = hr[at] @ p["word"][k] + p["word_bias"][k]
-                pk, nk = _softmax(zk)
-                member, own = yr[at] % MEMBERS, np.arange(len(at))
-                logp[at] += zk[own, member] - nk
-                if learn:
-                    pk[own, member] -= 1
-                    grad["word"][k] = hr[at].T @ pk
-                    grad["word_bias"][k] = pk.sum(0)
-                    dh[at] += pk @ p["word"][k].T
+        grad: dict | None = {} if learn else None
+        logp, dh = _emitted(p, hs[1:].reshape(-1, UNITS)[real], y.reshape(-1)[real], grad)
         out = np.zeros(steps * m)
         out[real] = logp
         if learn and len(real):
@@ -199,37 +215,61 @@ class Network:
         return out.reshape(steps, m), hs[-1]
 
 
-def run(net: Network, ids: np.ndarray, at: np.ndarray, end_id: int, learn: bool) -> np.ndarray:
-    """Log probability of every token. Texts are laid into parallel streams, longest first, and read in windows; the state is carried from window to window to the end of each text."""
-    n = np.diff(at)
-    out = np.zeros(len(ids))
+def _scan(hold: np.ndarray, add: np.ndarray, h: np.ndarray, steps: int = 64) -> np.ndarray:
+    """All states of h_t = hold_t h_{t-1} + add_t: stretches of `steps` from a state of zero side by side, then what each stretch is handed on."""
+    n = len(hold)
+    wide = -(-n // steps)
+    hs, pr = (np.zeros((wide * steps, UNITS), np.float32) for _ in range(2))
+    hs[:n], pr[:n] = add, hold
+    hs, pr = hs.reshape(wide, steps, UNITS), pr.reshape(wide, steps, UNITS)
+    for t in range(1, steps):
+        hs[:, t] += pr[:, t] * hs[:, t - 1]
+        pr[:, t] *= pr[:, t - 1]
+    carried = np.empty((wide, UNITS), np.float32)
+    for k in range(wide):
+        carried[k] = h
+        h = hs[k, -1] + pr[k, -1] * h
+    hs += pr * carried[:, None]
+    return hs.reshape(-1, UNITS)[:n]
+
+
+def _read(ids: np.ndarray, first: np.ndarray, end_id: int) -> np.ndarray:
+    """The token read before each token: the one before it in its text, the end at a text's beginning."""
+    x = np.empty_like(ids)
+    x[1:] = ids[:-1]
+    x[:1] = end_id
+    x[first] = end_id
+    return x
+
+
+def log_probs(net: Network, ids: np.ndarray, first: np.ndarray, end_id: int) -> np.ndarray:
+    """Log probability of every token of texts laid end to end (first: where a text begins). The state is carried from window to window to each text's end."""
+    g, c = net.gates()
+    keep, add = (1 - g).astype(np.float32), (g * c).astype(np.float32)
+    out, x, h = np.zeros(len(ids)), _read(ids, first, end_id), np.zeros(UNITS, np.float32)
+    for at in range(0, len(ids), BLOCK):
+        w = slice(at, at + BLOCK)
+        hold = keep[x[w]]
+        hold[first[w]] = 0
+        hs = _scan(hold, add[x[w]], h)
+        h = hs[-1]
+        out[w], _ = _emitted(net.p, hs, ids[w])
+    return out
+
+
+def learn_pool(net: Network, ids: np.ndarray, first: np.ndarray, end_id: int) -> None:
+    """One pass of truncated backpropagation: the tokens are cut into equal streams side by side, which are read in windows with the state carried on."""
     if not len(ids):
-        return out
-    m = int(np.clip(len(ids) // max(n.max(), STEPS), 1, STREAMS))
-    order = np.argsort(-n, kind="stable")
-    fill = np.zeros(m, np.int64)
-    place, start = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-    for lo in range(0, len(order), m):
-        part = order[lo : lo + m]
-        free = np.argsort(fill, kind="stable")[: len(part)]
-        place[part], start[part] = free, fill[free]
-        fill[free] += n[part]
-    long = -(-int(fill.max()) // STEPS) * STEPS
-    row = np.repeat(start, n) + np.arange(len(ids)) - np.repeat(at[:-1], n)
-    col = np.repeat(place, n)
-    y = np.full((long, m), -1, np.int32)
-    y[row, col] = ids
-    x = np.full((long, m), end_id, np.int32)
-    x[1:] = np.where(y[:-1] >= 0, y[:-1], end_id)
-    fresh = np.zeros((long, m), np.float32)
-    fresh[start[n > 0], place[n > 0]] = 1
-    logs = np.empty((long, m))
+        return
+    m = int(np.clip(len(ids) // STEPS, 1, STREAMS))
+    long = -(-len(ids) // (m * STEPS)) * STEPS
+    x, y, fresh = np.full(m * long, end_id, np.int32), np.full(m * long, -1, np.int32), np.zeros(m * long, np.float32)
+    x[: len(ids)], y[: len(ids)], fresh[: len(ids)] = _read(ids, first, end_id), ids, first
+    x, y, fresh = (v.reshape(m, long).T for v in (x, y, fresh))
     h = np.zeros((m, UNITS), np.float32)
     for t in range(0, long, STEPS):
         w = slice(t, t + STEPS)
-        logs[w], h = net.window(x[w], y[w], fresh[w], h, learn)
-    out[:] = logs[row, col]
-    return out
+        _, h = net.window(np.ascontiguousarray(x[w]), np.ascontiguousarray(y[w]), fresh[w], h, True)
 
 
 def _numbers(lex: Lexicon, hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +283,8 @@ def _end(lex: Lexicon) -> int:
     return int(_numbers(lex, np.array([END_HASH]), np.zeros(1, np.int32))[0][0])
 
 
-def _pools(col: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """_tokens() of several slices together, about `most` tokens: the more texts run side by side, the better long ones fill the streams."""
+def _pools(col: pa.Array, most: int = POOL_TOKENS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """_tokens() of several slices together, about `most` tokens."""
     held: list = []
     for x in _tokens(col):
         held.append(x)
@@ -261,45 +301,80 @@ def _joined(held: list) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     return held[0][0], held[-1][1], h, s, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _teach(net: Network, lex: Lexicon, batches: Iterator[pa.RecordBatch]) -> int:
-    total, end = 0, _end(lex)
-    for batch in batches:
-        for _, _, h, s, at in _pools(batch.column(0)):
-            ids, _ = _numbers(lex, h, s)
-            run(net, ids, at, end, True)
-            total += len(ids)
-    return total
-
+def _pass(texts: DataFrame, groups: int, parts: int, held, rate: float) -> np.ndarray | None:
+    """Weights (flat) after each group of texts has been learnt from, averaged by tokens; None without texts.
 
-def train(texts: DataFrame, lex: Lexicon, *, warm_docs: int = WARM_DOCS) -> dict[str, np.ndarray]:
-    """Weights after a warm start on a few texts on the driver and one pass over all texts.
-
-    In the pass each task starts from the warm weights, reads all its texts and gives back its weights times its tokens;
-    Spark sums them by place, so the driver gets one value a weight however many tasks there were.
+    texts: text and r (a hash of the row). Which group a row is in and the order within it depend on the row alone, and a group's
+    tokens are cut into pools of equal size, so the weights are the same however the input is split. held: broadcast start weights and lexicon.
     """
-    p = initial(lex)
-    warm = texts.orderBy(F.xxhash64("text"), "text").limit(warm_docs).select("text").toArrow()
-    _teach(Network(p), lex, iter(warm.to_batches(max_chunksize=4096)))
-    held = texts.sparkSession.sparkContext.broadcast((p, lex.__dict__))
+    rows = texts.select(F.pmod("r", F.lit(groups)).cast("int").alias("g"), "r", "text").repartition(parts, "g").sortWithinPartitions("g", "r", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, d = held.value
-        net, words = Network({k: v.copy() for k, v in start.items()}, 0.03), Lexicon(**d)
-        total = _teach(net, words, batches)
-        if total:
+        lex, now, net, total, ids, first = Lexicon(**d), None, None, 0, [], []
+        end = _end(lex)
+
+        def taught(least: int) -> None:
+            nonlocal ids, first, total
+            i, f = np.concatenate(ids), np.concatenate(first)
+            upto = len(i) // least * least if least else len(i)
+            for at in range(0, upto, POOL_TOKENS):
+                learn_pool(net, i[at : min(at + POOL_TOKENS, upto)], f[at : min(at + POOL_TOKENS, upto)], end)
+            total += upto
+            ids, first = [i[upto:]], [f[upto:]]
+
+        def ended() -> pa.RecordBatch:
+            nonlocal ids, first
+            taught(0)
             flat = np.concatenate([net.p[k].reshape(-1) for k in NAMES]).astype(np.float64) * total
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, total))], ["i", "v"])
+            ids, first = [], []
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, total))], ["i", "v"])
 
-    sums = texts.select("text").mapInArrow(learn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
-    if len(sums) and sums[-1] > 0:
-        flat, at = sums[:-1] / sums[-1], 0
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            for a, b, h, s, at in _tokens(batch.column(1)):
+                every, _ = _numbers(lex, h, s)
+                begins = np.zeros(len(every), bool)
+                begins[at[:-1]] = True
+                edge = [0, *(np.flatnonzero(np.diff(group[a:b])) + 1).tolist(), b - a]
+                for lo, hi in zip(edge[:-1], edge[1:]):
+                    if group[a + lo] != now:
+                        if now is not None:
+                            yield ended()
+                        now, net, total = group[a + lo], Network({k: v.copy() for k, v in start.items()}, rate), 0
+                    ids.append(every[at[lo] : at[hi]])
+                    first.append(begins[at[lo] : at[hi]])
+                    if sum(map(len, ids)) >= POOL_TOKENS:
+                        taught(POOL_TOKENS)
+        if now is not None:
+            yield ended()
+
+    sums = rows.select("g", "text").mapInArrow(learn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
+    return sums[:-1] / sums[-1] if len(sums) and sums[-1] > 0 else None
+
+
+def train(texts: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
+    """Weights after a warm start on one group of about WARM_TOKENS tokens and a pass over all texts in parallel groups of about GROUP_TOKENS.
+
+    Columns text and r (a hash of the row). Both passes run on the executors, text by text; the driver gets one value a weight however much there is to learn from.
+    """
+    p, sc = initial(lex), texts.sparkSession.sparkContext
+    groups = max(1, round(lex.tokens / GROUP_TOKENS))
+    part = max(1, lex.tokens // WARM_TOKENS)
+    warm = texts.where(F.pmod(F.xxhash64("r"), F.lit(part)) == 0)
+    for rows, n, rate in ((warm, 1, 0.05), (texts, groups, 0.03)):
+        flat = _pass(rows, n, n, sc.broadcast((p, lex.heads().__dict__)), rate)
+        if flat is None:
+            continue
+        at, new = 0, {}
         for k in NAMES:
-            p[k] = flat[at : at + p[k].size].reshape(p[k].shape).astype(np.float32)
+            new[k] = flat[at : at + p[k].size].reshape(p[k].shape).astype(np.float32)
             at += p[k].size
+        p = new
     return p
 
 
-def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", parts: int = 5, known: int = KNOWN_WORDS, warm_docs: int = WARM_DOCS) -> DataFrame:
+def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", parts: int = 5, known: int = KNOWN_WORDS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     Counts, network and scores all cover whole texts; nothing is learnt from rows whose crc32 of the key is 1 modulo `parts`.
@@ -307,14 +382,16 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", parts
     class, the unseen word being one of them. Counts of the most frequent words travel with the network; the counts of
     all others are joined to what each text has of them. A null text is the end alone, a null key is learnt from and not held out;
     equal keys are scored row by row. Without anything to learn from every token is unseen. An empty table gives no rows.
+    Scores don't depend on how the input is split into files and tasks.
     """
     kind = docs.schema[key].dataType.simpleString()
     out = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == 1, F.lit(False))
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    learnt = docs.where(~out).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    words = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    learnt = docs.where(~out).select(words.alias("text"), F.xxhash64(F.lit("learn"), F.col(key).cast("string"), words).alias("r"))
     counts = stored(word_counts(learnt), "word-counts")
     lex = lexicon(counts, known)
-    weights = train(learnt, lex, warm_docs=warm_docs)
+    weights = train(learnt, lex)
     held = docs.sparkSession.sparkContext.broadcast((weights, lex.__dict__))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +403,9 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", parts
         for batch in batches:
             for a, b, h, s, at in _pools(batch.column(1)):
                 ids, place = _numbers(words, h, s)
-                logs = run(net, ids, at, end, False) / ten
+                first = np.zeros(len(ids), bool)
+                first[at[:-1]] = True
+                logs = log_probs(net, ids, first, end) / ten
                 found = place >= 0
                 log_c = np.where(found, np.log10((words.c[place] if len(words.c) else np.zeros(len(place))) + 0.5), 0.0)
                 in_tail = ids >= HEAD_WORDS

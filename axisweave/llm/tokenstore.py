@@ -11,17 +11,20 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisweave.llm.text import bounded_broadcast, stored
+from axisweave.llm.text import bounded_broadcast, dropped, stored
 
 #: Mean ids of a chunk (a power of two), least and most ids, and ids that the rolling hash sees.
 MEAN, LEAST, MOST, SEEN = 512, 128, 2048, 16
 END = 2
 #: Byte-sized pieces of text that a worker keeps the ids of, and rows of a broadcast table, at most.
 CACHE, BROADCAST_ROWS = 1_000_000, 1_000_000
+#: Documents under one node of the manifest's lowest level.
+SEGMENT = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -130,7 +133,7 @@ def _writer(path: str, end: int, literal: bool):
                     roots.append(merkle(names))
                     payloads.append(data)
                 lists = [pa.array(x, pa.list_(pa.binary())) for x in (recipes, payloads)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n, pa.int64()), lists[0], pa.array(roots, pa.binary()), lists[1]], ["id", "n", "recipe", "root", "payloads"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(n, pa.int64()), lists[0], pa.array(roots, pa.binary()), lists[1]], ["id", "tie", "n", "recipe", "root", "payloads"])
                 at += len(part)
 
     return write
@@ -164,56 +167,68 @@ def _reader(keep: list[str]):
     return read
 
 
-def _remove(spark, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def write_store(docs: DataFrame, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end: int = END, literal: bool = True) -> DataFrame:
-    """Encode every text and write the store; the table has a row a document.
+    """Encode every text and write the store, a row a document in ascending order of key (then of the text's hash).
 
-    Columns: row, id, n (ids, the end id included), recipe (digests of its chunks), root, payloads (its chunks as 16-bit ids,
-    null where another document or an earlier place owns the chunk), borrowed (true if a chunk is another document's).
-    The owner of a chunk is its first place by row, so each unique chunk is stored once. Encoded rows are written first,
-    ownership is settled on the digests alone, and the final files follow in one pass; payloads are never shuffled unless the
-    list of repeated chunks exceeds its broadcast bound. The first files are then removed. Null texts are empty: the end id alone.
+    Columns: part (number of the file) and at (place in it), id, n (ids, the end id included), recipe (digests of its chunks), root,
+    payloads (its chunks as 16-bit ids, null where an earlier place owns the chunk), borrowed (true if a chunk is another document's).
+    The owner of a chunk is its first place in the store's order, so each unique chunk is stored once. Encoded rows are written first,
+    ownership is settled on the digests alone, and the final files follow in one sorted pass.
     With `literal` a special token's content in a text is encoded as any other text, without it as the library's default, the token's id.
+
+    Null and empty texts are the end id alone; null keys come first; rows that repeat a key stand side by side, repeated rows share
+    all their chunks. Other columns are not looked at; an empty table gives an empty store.
     """
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(_writer(tokenizer or default_tokenizer(), end, literal), f"id {kind}, {_CHUNKED}").withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    made = rows.mapInArrow(_writer(tokenizer or default_tokenizer(), end, literal), f"id {kind}, tie long, {_CHUNKED}").withColumn("row", F.monotonically_increasing_id())
     first = stored(made, "encoded")
-    chunk = first.select("row", F.posexplode("recipe").alias("pos", "d"))
-    owner = chunk.groupBy("d").agg(F.min(F.struct("row", "pos")).alias("o"), F.count("*").alias("c")).where("c > 1").select("d", "o")
-    repeat = chunk.join(owner, "d").where((F.col("row") != F.col("o.row")) | (F.col("pos") != F.col("o.pos")))
-    repeat = repeat.groupBy("row").agg(F.collect_list("pos").alias("_gone"), F.max(F.col("row") != F.col("o.row")).alias("borrowed"))
-    repeat = stored(repeat, "repeats")
-    repeat = bounded_broadcast(repeat, repeat.count(), BROADCAST_ROWS)
+    chunk = first.select("id", "tie", "row", F.posexplode("recipe").alias("pos", "d"))
+    owner = chunk.groupBy("d").agg(F.min(F.struct("id", "tie", "row", "pos")).alias("o"), F.count("*").alias("c")).where("c > 1").select("d", F.col("o.row").alias("o"), F.col("o.pos").alias("p"))
+    repeat = chunk.join(owner, "d").where((F.col("row") != F.col("o")) | (F.col("pos") != F.col("p")))
+    repeat = stored(repeat.groupBy("row").agg(F.collect_list("pos").alias("_gone"), F.max(F.col("row") != F.col("o")).alias("borrowed")), "repeats")
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    store = first.join(repeat, "row", "left").withColumn("payloads", F.transform("payloads", lambda p, i: F.when(~F.array_contains(gone, i), p)))
-    store = stored(store.select("row", "id", "n", "recipe", "root", "payloads", F.coalesce("borrowed", F.lit(False)).alias("borrowed")), "store")
-    for f in {os.path.dirname(x) for x in first.inputFiles()}:
-        _remove(spark, f)
+    store = first.join(bounded_broadcast(repeat, repeat.count(), BROADCAST_ROWS), "row", "left").withColumn("payloads", F.transform("payloads", lambda p, i: F.when(~F.array_contains(gone, i), p)))
+    store = store.select("id", "tie", "row", "n", "recipe", "root", "payloads", F.coalesce("borrowed", F.lit(False)).alias("borrowed"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    store = store.repartitionByRange(parts, "id", "tie", "row").sortWithinPartitions("id", "tie", "row").withColumn("_m", F.monotonically_increasing_id())
+    store = store.select(F.shiftright("_m", 33).cast("int").alias("part"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("at"), "id", "n", "recipe", "root", "payloads", "borrowed")
+    store = stored(store, "store")
+    dropped(first, repeat)
     return store
 
 
 def manifest(store: DataFrame) -> DataFrame:
-    """part and root: a Merkle root over the document roots of each file of the store, in order of row."""
-    roots = store.select(F.input_file_name().alias("part"), "row", "root").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("row", "root"))).alias("r"))
-    return roots.select("part", F.sha2(F.aggregate("r", F.lit(b""), lambda a, x: F.concat(a, x["root"])), 256).alias("root"))
+    """part, segment, docs, ids and root of every SEGMENT documents of a file in order: the Merkle root over their documents' roots."""
+
+    @F.pandas_udf("binary")
+    def over(roots: pd.Series) -> pd.Series:
+        return roots.map(lambda x: merkle(list(x)))
+
+    rows = store.select("part", F.floor(F.col("at") / SEGMENT).alias("segment"), "at", "root", "n")
+    by = rows.groupBy("part", "segment").agg(F.count("*").alias("docs"), F.sum("n").alias("ids"), F.sort_array(F.collect_list(F.struct("at", "root"))).alias("r"))
+    return by.select("part", "segment", "docs", "ids", over(F.transform("r", lambda x: x["root"])).alias("root"))
+
+
+def manifest_root(tree: DataFrame) -> bytes:
+    """The store's Merkle root: over its files, and in each file over its segments; one digest a SEGMENT of documents comes to the driver."""
+    files: dict[int, list[bytes]] = {}
+    for r in tree.select("part", "segment", "root").orderBy("part", "segment").toLocalIterator():
+        files.setdefault(r["part"], []).append(bytes(r["root"]))
+    return merkle([merkle(x) for _, x in sorted(files.items())])
 
 
-def read_store(store: DataFrame) -> DataFrame:
+def read_store(store: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """id, start, n_tokens and ids_crc32 of every document, rebuilt from its recipe and verified.
 
-    A document that owns all its chunks is rebuilt inside its row. Of the others each distinct recipe is rebuilt once, from
-    the chunks that it names, and its figures joined to the rows that have it. start counts the ids of the documents before it
-    in order of id (then of row).
+    Every chunk is held against its digest, every recipe against its root, and all roots against the manifest `tree` if it is given;
+    what does not match raises an error. A document that owns all its chunks is rebuilt inside its row. Of the others each distinct
+    recipe is rebuilt once, from the chunks that it names, and its figures joined to the rows that have it.
+    start counts the ids of the documents before it in the files, which are in ascending order of id. An empty store gives no rows.
     """
-    whole = store.where("not borrowed").withColumn("names", F.col("recipe")).select("row", "id", "recipe", "root", "payloads", "names")
+    whole = store.where("not borrowed").withColumn("names", F.col("recipe")).select("part", "at", "id", "recipe", "root", "payloads", "names")
     kind = store.schema["id"].dataType.simpleString()
-    own = whole.mapInArrow(_reader(["row", "id"]), f"row long, id {kind}, n long, crc long")
+    own = whole.mapInArrow(_reader(["part", "at", "id", "root"]), f"part int, at long, id {kind}, root binary, n long, crc long")
     parts = store.where("borrowed")
     lists = stored(parts.groupBy("root").agg(F.min("recipe").alias("recipe")), "recipes")
     need = lists.select("root", F.explode(F.array_distinct("recipe")).alias("d"))
@@ -221,19 +236,21 @@ def read_store(store: DataFrame) -> DataFrame:
     have = store.select(F.explode(F.arrays_zip(F.col("recipe").alias("d"), F.col("payloads").alias("p"))).alias("x")).select("x.d", "x.p").where("p is not null").join(wanted, "d", "left_semi")
     got = need.join(have, "d").groupBy("root").agg(F.collect_list("d").alias("names"), F.collect_list("p").alias("payloads"))
     built = lists.join(got, "root").mapInArrow(_reader(["root"]), "root binary, n long, crc long")
-    rest = parts.select("row", "id", "root").join(built, "root").select("row", "id", "n", "crc")
-    every = own.unionByName(rest)
-    parts_n = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = every.repartitionByRange(parts_n, "id", "row").sortWithinPartitions("id", "row").withColumn("part", F.spark_partition_id())
-    every = stored(every, "read")
-    inside = Window.partitionBy("part").orderBy("id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = every.groupBy("part").agg(F.sum("n").alias("s")).select("part", F.coalesce(F.sum("s").over(past), F.lit(0)).alias("base"))
+    rest = parts.select("part", "at", "id", "root").join(built, "root").select("part", "at", "id", "root", "n", "crc")
+    every = stored(own.unionByName(rest).withColumn("segment", F.floor(F.col("at") / SEGMENT)), "read")
+    dropped(lists)
+    if tree is not None:
+        found = manifest(every).select("part", "segment", "docs", "ids", "root")
+        if manifest_root(found) != manifest_root(tree) or not found.exceptAll(tree.select(*found.columns)).isEmpty():
+            raise ValueError("the store does not match its manifest")
+    past = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    sums = every.groupBy("part", "segment").agg(F.sum("n").alias("s")).select("part", "segment", F.coalesce(F.sum("s").over(past), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part", "segment").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("base")
-    return every.join(F.broadcast(sums), "part").select("id", start.alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return every.join(sums, ["part", "segment"]).select("id", start.alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op8: all documents, with the library's own handling of special tokens, written and read back."""
+    """op8: all documents, with the library's own handling of special tokens, written with a manifest, read back and verified."""
     store = write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), literal=False)
-    return read_store(store).withColumnRenamed("id", "doc_id")
+    return read_store(store, stored(manifest(store), "manifest")).withColumnRenamed("id", "doc_id")

@@ -149,7 +149,7 @@ def test_substring_without_stops(spark):
 
 
 def test_lm(docs, texts, odd):
-    got = {r["doc_id"]: r for r in lm.lm_scores(docs, known=2000, warm_docs=50).collect()}
+    got = {r["doc_id"]: r for r in lm.lm_scores(docs, known=2000).collect()}
     tokens = {k: [*WORD.findall(low(t)), None] for k, t in texts.items()}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
     c = Counter(x for k, v in tokens.items() if not held[k] for x in v)
@@ -166,6 +166,22 @@ def test_lm(docs, texts, odd):
     assert lm.lm_scores(odd.limit(0)).isEmpty()
 
 
+def test_lm_does_not_depend_on_the_split(docs):
+    got = [{r["doc_id"]: r["score"] for r in lm.lm_scores(docs.repartition(n)).collect()} for n in (2, 7)]
+    assert got[0].keys() == got[1].keys() and all(abs(got[1][k] - v) < 1e-5 * abs(v) for k, v in got[0].items())
+
+
+def test_lm_scan():
+    """States of stretches side by side are those of one step after another."""
+    rng = np.random.default_rng(1)
+    hold, add = rng.random((1000, lm.UNITS), np.float32), rng.random((1000, lm.UNITS), np.float32)
+    h = want = rng.random(lm.UNITS, np.float32)
+    got = lm._scan(hold, add, h)
+    for t in range(1000):
+        want = hold[t] * want + add[t]
+        assert np.allclose(got[t], want, rtol=1e-4)
+
+
 def test_lm_gradient():
     """The backward pass against differences of the forward pass, and probabilities that sum to one."""
     rng = np.random.default_rng(0)
@@ -288,7 +304,7 @@ def test_sainte_lague(spark):
 def test_toxicity(spark, odd):
     big = "/root/testdata/sf0.01"
     d, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
-    got = toxicity.toxicity(d, labels).join(labels, "doc_id")
+    got = toxicity.toxicity(d, labels).join(labels, "doc_id").where("held_out")
     n = {tuple(r)[:2]: r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
     assert n[(0, 0)] > 0 and n.get((0, 1), 0) == 0 and n[(1, 1)] >= 0.45 * (n[(1, 1)] + n.get((1, 0), 0))
     some = toxicity.toxicity(odd, labels).collect()
@@ -309,6 +325,18 @@ def test_interactions_beat_weights():
     assert p[y == 1].min() > 0.8 and p[y == 0].max() < 0.3
 
 
+def test_interactions_without_marginal_signal():
+    """Terms that alone tell nothing of the label are kept for what their pair tells."""
+    r = np.random.default_rng(5)
+    x, noise = (r.random((4000, 2)) < 0.5).astype(int), r.integers(100, 200, (4000, 5))
+    rows = [np.unique([30, *n] + [10] * a + [20] * b) for (a, b), n in zip(x, noise)]
+    y = (x[:, 0] ^ x[:, 1]).astype(float)
+    m = toxicity.fit(rows, y)
+    at = np.concatenate([[0], np.cumsum([len(v) for v in rows])])
+    p = 1 / (1 + np.exp(-m.raw(np.concatenate(rows), at)))
+    assert p[y == 1].mean() > 0.8 and p[y == 0].mean() < 0.2
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(docs, texts, size):
     sets = {}
@@ -356,7 +384,14 @@ def test_token_store(spark, docs, texts, odd):
         at += len(ids)
     names = store.select(F.explode(F.arrays_zip(F.col("recipe").alias("d"), F.col("payloads").alias("p"))).alias("x")).where("x.p is not null").select("x.d")
     assert names.count() == names.distinct().count()
-    assert tokenstore.manifest(store).count() > 0
+    # written in ascending order, and any change shows
+    mixed = tokenstore.write_store(both.repartition(3))
+    order = [r["id"] for r in mixed.orderBy("part", "at").select("id").collect()]
+    assert order == sorted(order) and sorted(tuple(r) for r in tokenstore.read_store(mixed, tokenstore.manifest(mixed)).collect()) == got
+    tree = tokenstore.manifest(mixed)
+    assert len(tokenstore.manifest_root(tree)) == 16
+    with pytest.raises(ValueError):
+        tokenstore.read_store(mixed.where("id <> 1002"), tree)
     some = tokenstore.read_store(tokenstore.write_store(odd)).collect()
     assert len(some) == odd.count() and {r["n_tokens"] for r in some if r["id"] in (1, 2)} == {1}
     assert tokenstore.read_store(tokenstore.write_store(odd.limit(0))).isEmpty()
@@ -397,6 +432,32 @@ def test_sharding(docs, odd):
     assert sharding.shard(odd.limit(0)).isEmpty()
 
 
+def test_sharding_cuts_fewer_links_than_a_hash_deal(spark):
+    """Labels move on the real tables, and linked documents end together far more often than if they were dealt by hash."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    base = docs.select("doc_id", F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(1), "text").alias("g2"), sharding.sentence_hashes(F.col("text")).alias("sentences"))
+    _, blocks, links = sharding.document_links(base, docs.count(), 40)
+    at = sharding.shard(docs).select("doc_id", F.col("shard").alias("label"))
+    node = blocks.where("block = 0").join(base.select("doc_id", "g1", "g2"), ["g1", "g2"]).select("id", "doc_id")
+    placed = node.join(at, "doc_id").groupBy("id").agg(F.min("label").alias("label"))
+    dealt = placed.select("id", F.pmod(F.xxhash64("id"), F.lit(40)).alias("label"))
+    kept, hashed = (sharding.cut_links(links, x).first() for x in (placed, dealt))
+    assert kept["all"] == hashed["all"] > 50 and kept["cut"] < 0.25 * hashed["cut"]
+
+
+def test_propagation_by_hand(spark):
+    """Two cliques of four meet under a quota that holds one each; a brute-force count of cut links agrees."""
+    ids = list(range(8))
+    nodes = spark.createDataFrame([(i, 1) for i in ids], "id long, weight long")
+    links = spark.createDataFrame([(i, i // 4) for i in ids], "id long, hub long")
+    load = spark.createDataFrame([(k, 40) for k in range(2)], "label int, weight long")
+    got = {r["id"]: r["label"] for r in sharding.propagate(nodes, links, 2, 4, load).collect()}
+    cut = sum(4 - max(Counter(got[i] for i in ids if i // 4 == h).values()) for h in (0, 1))
+    placed = spark.createDataFrame(list(got.items()), "id long, label int")
+    assert tuple(sharding.cut_links(links, placed).first()) == (6, cut) and cut == 0
+    assert tuple(sharding.cut_links(links.limit(0), placed).first()) == (0, 0)
+
+
 def test_sharding_keeps_copies(spark):
     rows = [(i, f"group {i % 40}") for i in range(800)] + [(1000 + i, "hot") for i in range(400)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=6).collect()
