@@ -144,3 +144,29 @@ def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: all documents, mixed by source."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The query by brute force: seats by ranking all quotients, and every word of every stream by itself.
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+tot AS (SELECT sum(source_size)::BIGINT AS total FROM src),
+cap AS (SELECT a.source, {MAX_REPEATS} * a.source_size / a.w AS ratio, (SELECT (total - coalesce(sum({MAX_REPEATS} * b.source_size) FILTER ({MAX_REPEATS} * b.source_size / b.w < {MAX_REPEATS} * a.source_size / a.w), 0)) / sum(b.w) FILTER ({MAX_REPEATS} * b.source_size / b.w >= {MAX_REPEATS} * a.source_size / a.w) FROM src b, tot GROUP BY total) AS level FROM src a),
+lev AS (SELECT min_by(level, ratio) AS level FROM cap WHERE level <= ratio),
+tar AS (SELECT source, source_size, CASE WHEN level IS NULL THEN ({MAX_REPEATS} * source_size)::DOUBLE ELSE least(({MAX_REPEATS} * source_size)::DOUBLE, level * w) END AS target FROM src, lev),
+quo AS (SELECT source, target / (2 * k - 1) AS q, k FROM (SELECT source, target, unnest(range(1, ceil(target)::BIGINT + 10)) AS k FROM tar WHERE source_size > 0)),
+won AS (SELECT source, count(*) AS seats FROM (SELECT source FROM quo ORDER BY q DESC, source NULLS LAST, k LIMIT (SELECT round(sum(target))::BIGINT FROM tar WHERE source_size > 0)) GROUP BY source),
+shd AS (SELECT greatest({SHARDS}, total // ({BLOCK} * {SHARD_BLOCKS}) + 1) AS shards FROM tot),
+par AS (SELECT t.source, t.source_size, k, t.source_size * k // shards AS b, t.source_size * (k + 1) // shards AS e, least(coalesce(won.seats, 0), {MAX_REPEATS} * t.source_size) AS seats FROM tar t LEFT JOIN won ON t.source IS NOT DISTINCT FROM won.source, shd, unnest(range(0, shards)) AS u(k)),
+quota AS (SELECT source, k, b, e - b AS length, seats * e // source_size - seats * b // source_size AS n, ('0x' || substr(md5('{SEED}|' || coalesce(source, chr(0)) || '|' || k::VARCHAR), 1, 4))::BIGINT AS phase FROM par WHERE e > b),
+cells AS (SELECT *, n // length AS each, n % length AS extra, (n % length + {BLOCK} - 1) // {BLOCK} AS cells FROM quota),
+word AS (SELECT *, CASE WHEN cells > 0 THEN ((x + 1) * cells - 1) // length END AS c FROM (SELECT *, unnest(range(0, length)) AS x FROM cells)),
+edge AS (SELECT *, length * c // cells AS cb, length * (c + 1) // cells AS ce FROM word),
+run AS (SELECT *, extra * ce // length - extra * cb // length AS r FROM edge),
+took AS (SELECT source, b + x AS pos, each + CASE WHEN cells > 0 AND x - cb >= (ce - cb - r) * phase // 65536 AND x - cb < (ce - cb - r) * phase // 65536 + r THEN 1 ELSE 0 END AS t FROM run),
+place AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(h, 1, 8))::BIGINT % {BUCKETS}, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d),
+docword AS (SELECT doc_id, source, unnest(range(pos, pos + size)) AS pos FROM place),
+taken AS (SELECT w.doc_id, sum(t)::BIGINT AS taken FROM docword w JOIN took ON w.source IS NOT DISTINCT FROM took.source AND w.pos = took.pos GROUP BY w.doc_id)
+SELECT d.doc_id, d.size, tar.source_size, tar.target, coalesce(taken.taken, 0)::BIGINT AS taken
+FROM d LEFT JOIN tar ON d.source IS NOT DISTINCT FROM tar.source LEFT JOIN taken USING (doc_id)
+"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisweave.llm.graph import components
-from axisweave.llm.text import dropped, stored
+from axisweave.llm.text import LOWER, UPPER, WORD, dropped, stored
 from axisweave.llm.vector import mix, shingles, words_of
 
 #: Bands of each of the two collections, and MinHashes of a band: 2 * 14 * 4 MinHashes serve 14 * 14
@@ -230,3 +230,18 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: two-word shingles over all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
+
+
+#: The query by brute force: all pairs of different sets that share a shingle, and the smallest id reachable from each.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM d),
+c AS (SELECT min(doc_id) AS id, s FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM c),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT id, id AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON c.id = m.id
+"""

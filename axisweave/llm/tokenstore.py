@@ -56,19 +56,34 @@ class Encoder:
             raise ValueError("ids don't fit in 16 bits")
         self.plain, self.piece = re.compile(self.PLAIN), re.compile(self.PIECE)
         self.known: dict[str, bytes] = {}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces. Those without white space inside go to the library as lines of one text: a line's end is a piece of its own, whose id parts them again."""
+        lines = [p for p in pieces if not p.isspace()]
+        rest = [p for p in pieces if p.isspace()]
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u2") if lines else np.zeros(0, "<u2")
+        edge = np.flatnonzero(ids == self.line)
+        if len(edge) != max(0, len(lines) - 1):
+            return self._ids(lines + rest)
+        raw, at = ids.tobytes(), [-2, *(edge * 2).tolist(), len(ids) * 2]
+        found = [raw[a + 2 : b] for a, b in zip(at[:-1], at[1:])] if lines else []
+        return found + self._ids(rest)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         cut = [self.piece.findall(t) if self.plain.fullmatch(t) and not (self.added and self.added.search(t)) else None for t in texts]
-        new = list({p for c in cut if c is not None for p in c if p not in self.known})
+        used = set().union(*(c for c in cut if c is not None))
+        new = used.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({p for c in cut if c is not None for p in c})
-        self.known.update(zip(new, self._ids(new)))
-        return [b"".join([self.known[p] for p in c]) if c is not None else self._ids([t])[0] for t, c in zip(texts, cut)]
+            self.known, new = {}, used
+        new = sorted(new, key=str.isspace)  # white space last, as _pieces gives it
+        self.known.update(zip(new, self._pieces(new)))
+        of = self.known.__getitem__
+        return [b"".join(map(of, c)) if c is not None else self._ids([t])[0] for t, c in zip(texts, cut)]
 
 
 def encoder(path: str, literal: bool = True) -> Encoder:
