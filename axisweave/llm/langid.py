@@ -98,15 +98,15 @@ def host_priors(df: DataFrame, size: int) -> DataFrame:
     """host and prior (P(language) by language number), from columns host and best.
 
     A host's counts are smoothed towards its parent domain's, those towards the next parent's, up to all rows. Counts
-    are grouped sums; a host's chain has five levels at most.
+    are grouped sums; a host's chain has a level for each of its labels.
     """
     parts = F.split(F.coalesce("host", F.lit("")), r"\.", -1)
-    depth = F.least(F.size(parts), F.lit(4))
+    depth = F.size(parts)
     chain = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice(parts, -k, k), ".")))
     hosts = df.groupBy("host", "best").agg(F.count("*").alias("c")).where("best is not null")
-    node = hosts.select("best", "c", F.explode(F.array_distinct(F.concat(chain, F.array(F.coalesce("host", F.lit("")))))).alias("node")).groupBy("node", "best").agg(F.sum("c").alias("c"))
+    node = hosts.select("best", "c", F.explode(F.array_distinct(chain)).alias("node")).groupBy("node", "best").agg(F.sum("c").alias("c"))
     node = node.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("best", "c"))).alias("by"), F.sum("c").alias("all"))
-    step = df.select("host").distinct().select("host", F.posexplode(F.array_distinct(F.concat(chain, F.array(F.coalesce("host", F.lit("")))))).alias("level", "node"))
+    step = df.select("host").distinct().select("host", F.posexplode(F.array_distinct(chain)).alias("level", "node"))
     step = step.join(node, "node", "left").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("level", F.coalesce("all", F.lit(0)).alias("all"), F.map_entries("by").alias("by")))).alias("steps"))
     start = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.lit(1.0 / size))
     got = lambda s, k: F.coalesce(F.element_at(F.map_from_entries(s["by"]), k), F.lit(0))

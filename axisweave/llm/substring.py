@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisweave.llm.graph import components
-from axisweave.llm.text import lower_ascii, stored, words
+from axisweave.llm.text import dropped, stored
 from axisweave.llm.vector import _power, mix, words_of
 
 #: Words of a shingle, similarity in percent, words that a paragraph is extended to, words it has at least, and the wanted recall at that similarity.
 SIZE, PERCENT, TARGET_WORDS, LEAST_WORDS, RECALL = 5, 80, 20, 10, 0.99
+#: MinHashes of a band: two leave paragraphs apart that share but a phrase, and cost few bands more at the wanted recall.
+ROWS = 2
 #: Rounds in which the classes of a band are compared with one of them, before all that is left is compared.
 ROUNDS = 3
 #: A shared passage of this many words holds a common paragraph; where stops don't see to it, cuts do: the words whose hash is the least of this many.
 PASSAGE_WORDS, NEAR_WORDS = 50, 10
 
 
-def tuned_bands(similarity: float, recall: float, rows: int = 1) -> int:
-    """Bands that find a pair of this similarity with this probability. Random paragraphs share no 5-word shingle, so one row a band is selective enough."""
+def tuned_bands(similarity: float, recall: float, rows: int = ROWS) -> int:
+    """Bands of `rows` MinHashes that find a pair of this similarity with this probability."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows) - 1e-9))
 
 
@@ -59,9 +61,26 @@ def _unstopped(w, stop: np.ndarray, target: int, passage: int, near: int) -> tup
     return start, cut[np.searchsorted(cut, start + target)]
 
 
-def _cutter(bands: int, size: int, target: int, least: int):
+def _shingle_hashes(w, size: int) -> np.ndarray:
+    """Hash of the `size` words from each word on; those that run beyond the words' end are not used."""
+    n = len(w.hash)
+    sh = np.full(n, size, np.uint64)
+    for k in range(size):
+        sh[: n - k] = mix(sh[: n - k] * np.uint64(0x2545F4914F6CDD1D) + w.hash[k:])
+    return sh
+
+
+def _sequence_hashes(w, start: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Hashes of sequences of words, by prefix sums as for words."""
+    n = len(w.hash)
+    power, inverse = _power(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash) * power[:n], dtype=np.uint64)])
+    return mix((total[to] - total[start]) * inverse[start] + (to - start).astype(np.uint64))
+
+
+def _cutter(bands: int, size: int, target: int, least: int, rows: int = ROWS):
     rng = np.random.default_rng(11)
-    muls = rng.integers(1, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    muls = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     ends_sentence = np.zeros(256, bool)
     ends_sentence[[ord("."), ord("!"), ord("?")]] = True
 
@@ -92,27 +111,25 @@ def _cutter(bands: int, size: int, target: int, least: int):
                 use = to - start >= max(least, size)
                 start, to = np.concatenate([start[use], more[0]]), np.concatenate([to[use], more[1]])
                 doc = w.doc[start]
-                sh = np.full(n, size, np.uint64)
-                for k in range(size):
-                    sh[: n - k] = mix(sh[: n - k] * np.uint64(0x2545F4914F6CDD1D) + w.hash[k:])
+                sh = _shingle_hashes(w, size)
                 pairs = np.stack([start, to - size + 1], 1).reshape(-1)
                 cols = []
-                for m in muls:
-                    h = np.append(mix(sh * m), np.iinfo(np.uint64).max)
-                    cols.append((np.minimum.reduceat(h, pairs)[::2] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                for band in range(bands):
+                    key = np.full(len(start), band, np.uint64)
+                    for m in muls[band * rows : band * rows + rows]:
+                        h = np.append(mix(sh * m), np.iinfo(np.uint64).max)
+                        key = mix(key * np.uint64(0x2545F4914F6CDD1D) + np.minimum.reduceat(h, pairs)[::2])
+                    cols.append(key.view(np.int64))
                 # 128 bits that the shingles set, for a bound on what two paragraphs share
                 bit = np.uint64(1) << (sh & np.uint64(63))
                 for half in (0, 1):
                     h = np.append(np.where((sh >> np.uint64(6)) & np.uint64(1) == half, bit, np.uint64(0)), np.uint64(0))
                     cols.append(np.bitwise_or.reduceat(h, pairs)[::2].view(np.int64))
-                # the sequence's own hash, by prefix sums as for words
-                power, inverse = _power(n + 1)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash) * power[:n], dtype=np.uint64)])
                 lens = to - start
-                whole = mix((total[to] - total[start]) * inverse[start] + lens.astype(np.uint64))
+                whole = _sequence_hashes(w, start, to)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
                 first = w.bounds[doc]
-                sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols[:bands], 1).reshape(-1)), bands).cast(pa.list_(pa.int32()))
+                sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols[:bands], 1).reshape(-1)), bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array((start - first).astype(np.int32)), pa.array(lens.astype(np.int32)), pa.array(whole.view(np.int64)), sig, *map(pa.array, cols[bands:])], ["id", "at", "n", "e", "sig", "b0", "b1"])
 
     return cut
@@ -130,14 +147,28 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, size
     bands = bands or tuned_bands(PERCENT / 100, RECALL)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull())
-    return rows.mapInArrow(_cutter(bands, size, target, least), f"id {kind}, at int, n int, e long, sig array<int>, b0 long, b1 long")
+    return rows.mapInArrow(_cutter(bands, size, target, least), f"id {kind}, at int, n int, e long, sig array<long>, b0 long, b1 long")
+
+
+def _sets(place: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """e and s (hashes of the distinct shingles) of the paragraphs place (e, id, at, n); docs: id, text. Each text is read once for all of its paragraphs."""
+    own = place.groupBy("id").agg(F.collect_list(F.struct("at", "n", "e")).alias("p"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for paras, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                start, to, e = (np.array(x, np.int64) for x in zip(*((p["at"], p["at"] + p["n"], p["e"]) for p in paras)))
+                for _, _, w in words_of(pa.array([text.as_py()], pa.string()), lower=True):
+                    use = to <= len(w.hash)  # of the texts of a repeated key, the one that has the paragraph
+                    use[use] = _sequence_hashes(w, start[use], to[use]).view(np.int64) == e[use]
+                    if use.any():
+                        sh = _shingle_hashes(w, size)
+                        made = [np.unique(sh[x : y - size + 1]) for x, y in zip(start[use], to[use])]
+                        edge = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(e[use]), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(made).view(np.int64)))], ["e", "s"])
 
+    return own.join(docs, "id").select("p", "text").mapInArrow(sets, "e long, s array<long>")
 
-def _jaccard(a: str, b: str, size: int, percent: int):
-    """True if the shingle sets of two arrays of words are similar enough."""
-    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1)), lambda i: F.array_join(F.slice(w, i, size), " ")))
-    both = F.size(F.array_intersect(grams(a), grams(b)))
-    return 100 * both >= percent * (F.size(grams(a)) + F.size(grams(b)) - both)
 
 
 def _possible(size: int, percent: int):
@@ -152,31 +183,35 @@ def _possible(size: int, percent: int):
     return apart & (percent * (x + y) <= (100 - percent) * both)
 
 
-def _linked(classes: DataFrame, full: DataFrame, size: int, percent: int) -> DataFrame:
-    """id (class) and component of the classes that are similar to another one; full has id and w (words) of the texts."""
-    keys = classes.select(F.explode(F.transform("sig", lambda h, i: h.cast("long").bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.shiftleft(i.cast("long"), 32)))).alias("h"), "e", "id", "at", "n")
+def _linked(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """id (class) and component of the classes that are similar to another one; docs has id and text."""
+    keys = classes.select(F.explode("sig").alias("h"), "e", "id", "at", "n")
     # bands of neighbours in one text that all overlap have no pair to compare
     shared = keys.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("at").alias("last"), F.min(F.col("at") + F.col("n")).alias("first"))
-    shared = shared.where("k > 1 and (lo <> hi or first <= last)").select("h")
+    shared = stored(shared.where("k > 1 and (lo <> hi or first <= last)").select("h"), "paragraph-bands")
     member = stored(keys.select("h", "e").join(shared, "h", "left_semi"), "paragraph-keys")
-    at = stored(member.join(classes.select("e", F.struct("id", "at", "n", "b0", "b1").alias("x")), "e").withColumn("c", F.col("e")), "paragraph-bands")
+    at = stored(member.join(classes.select("e", F.struct("id", "at", "n", "b0", "b1").alias("x")), "e").withColumn("c", F.col("e")), "paragraph-members")
+    dropped(shared, member)
     place = at.select("e", F.col("x.id").alias("id"), F.col("x.at").alias("at"), F.col("x.n").alias("n")).distinct()
-    full = full.join(place.select("id").distinct(), "id", "left_semi")
-    cut = stored(place.join(full, "id").select("e", F.slice("w", F.col("at") + 1, F.col("n")).alias("w")).groupBy("e").agg(F.min("w").alias("w")), "paragraph-words")
+    sets = None
     label = None
     for turn in range(ROUNDS + 1):
         # bands that hold more than one component, with another member in front each time
         head = F.min(F.struct(F.xxhash64("e", F.lit(turn)), F.col("e").alias("f"), F.col("c").alias("d"), F.col("x").alias("y"))).alias("r")
         split = at.groupBy("h").agg(head, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "r.f", "r.d", "r.y")
+        was = at
         if turn == ROUNDS:
-            at = stored(at.join(split, "h", "left_semi"), "paragraph-bands")
+            at = stored(at.join(split, "h", "left_semi"), "paragraph-members")
             split = at.select("h", F.col("e").alias("f"), F.col("c").alias("d"), F.col("x").alias("y")).withColumnRenamed("h", "g")
             meet = at.join(split, (F.col("h") == F.col("g")) & (F.col("e") < F.col("f")) & (F.col("c") != F.col("d")) & _possible(size, percent))
         else:
             meet = at.join(split, "h").where((F.col("c") != F.col("d")) & _possible(size, percent))
         pairs = stored(meet.select("e", "c", "f", "d").distinct(), "paragraph-pairs")
-        both = pairs.join(cut.withColumnRenamed("w", "v"), "e").join(cut.select(F.col("e").alias("f"), "w"), "f")
-        links = stored(both.where(_jaccard("v", "w", size, percent)).select("c", "d"), "paragraph-links")
+        if sets is None:
+            sets = stored(_sets(place, docs, size), "paragraph-sets")
+        both = pairs.join(sets.withColumnRenamed("s", "v"), "e").join(sets.select(F.col("e").alias("f"), "s"), "f").withColumn("n", F.size(F.array_intersect("v", "s")))
+        links = stored(both.where(100 * F.col("n") >= percent * (F.size("v") + F.size("s") - F.col("n"))).select("c", "d"), "paragraph-links")
+        dropped(pairs)
         if links.isEmpty():
             continue
         to = components(links, "c", "d")
@@ -187,7 +222,9 @@ def _linked(classes: DataFrame, full: DataFrame, size: int, percent: int) -> Dat
             label = stored(old.unionByName(to.join(label.select("id"), "id", "left_anti")), "paragraph-components")
         if turn < ROUNDS:
             move = to.select(F.col("id").alias("_c"), F.col("component").alias("_to"))
-            at = stored(at.join(split, "h", "left_semi").join(move, F.col("c") == F.col("_c"), "left").select("h", "e", "x", F.coalesce("_to", "c").alias("c")), "paragraph-bands")
+            at = stored(at.join(split, "h", "left_semi").join(move, F.col("c") == F.col("_c"), "left").select("h", "e", "x", F.coalesce("_to", "c").alias("c")), "paragraph-members")
+            dropped(was)
+    dropped(at, sets)
     return label if label is not None else classes.select(F.col("e").alias("id"), F.col("e").alias("component")).limit(0)
 
 
@@ -208,8 +245,7 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
     # the plain rows of a class: its first place, how many it has, and its last document
     first = F.min(F.struct("id", "at", "n", "sig", "b0", "b1")).alias("r")
     classes = stored(units.groupBy("e").agg(first, F.max("id").alias("last")).select("e", "last", "r.*"), "paragraph-classes")
-    full = docs.select(F.col(key).alias("id"), words(lower_ascii(F.col(text).cast("string"))).alias("w"))
-    comp = _linked(classes, full, size, percent)
+    comp = _linked(classes, docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null"), size, percent)
     dup = classes.select("e", "last", "id", "at").join(comp.withColumnRenamed("id", "e"), "e", "left").where("last <> id or component is not null")
     dup = dup.withColumn("cluster", F.coalesce("component", "e"))
     keep = dup.groupBy("cluster").agg(F.min(F.struct("id", "at")).alias("keep"), F.max("last").alias("last")).where("last <> keep.id")

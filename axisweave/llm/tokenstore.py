@@ -21,8 +21,8 @@ from axisweave.llm.text import bounded_broadcast, dropped, stored
 #: Mean ids of a chunk (a power of two), least and most ids, and ids that the rolling hash sees.
 MEAN, LEAST, MOST, SEEN = 512, 128, 2048, 16
 END = 2
-#: Byte-sized pieces of text that a worker keeps the ids of, and rows of a broadcast table, at most.
-CACHE, BROADCAST_ROWS = 1_000_000, 1_000_000
+#: Pieces of text in each of the two generations that a worker keeps the ids of, and rows of a broadcast table, at most.
+CACHE, BROADCAST_ROWS = 600_000, 1_000_000
 #: Documents under one node of the manifest's lowest level.
 SEGMENT = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -56,6 +56,7 @@ class Encoder:
             raise ValueError("ids don't fit in 16 bits")
         self.plain, self.piece = re.compile(self.PLAIN), re.compile(self.PIECE)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -79,7 +80,11 @@ class Encoder:
         used = set().union(*(c for c in cut if c is not None))
         new = used.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, used
+            self.known, self.older, new = {}, self.known, used
+        if self.older:  # what is still in use moves to the newer generation
+            again = new.intersection(self.older)
+            self.known.update({p: self.older[p] for p in again})
+            new = new.difference(again)
         new = sorted(new, key=str.isspace)  # white space last, as _pieces gives it
         self.known.update(zip(new, self._pieces(new)))
         of = self.known.__getitem__
