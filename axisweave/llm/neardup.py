@@ -18,8 +18,10 @@ from axisweave.llm.vector import mix, shingles, words_of
 #: tables of eight MinHashes each. A pair of similarity 0.8 meets in a table with probability
 #: (1 - (1 - 0.8**4)**14)**2 = 0.9988, one of 0.85 with 0.99996.
 BANDS, ROWS = 14, 4
-#: Rounds in which each document is compared with one other, before the exact search for what is left.
+#: Rounds in which each document is compared with the first of each of its tables, before the exact search for what is left.
 ROUNDS = 3
+#: Rounds of the exact search in which sets with common additions are brought together before their pairs are formed.
+FAMILIES = 2
 
 
 def _signer(size: int, bands: int, rows: int):
@@ -123,7 +125,7 @@ def _merged(df: DataFrame, to: DataFrame) -> DataFrame:
     return df.join(to, F.col("c") == F.col("_c"), "left").withColumn("c", F.coalesce("_to", "c")).drop("_c", "_to")
 
 
-def _left_over(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _left_over(at: DataFrame, sets: DataFrame, percent: int, apart=None) -> DataFrame:
     """Pairs a, b of different components c, d that meet in a table of `at` and are similar enough: all of them, without forming all pairs.
 
     Each set is written as what it adds to the first member (pivot) of its table and what of it it lacks. If A is not similar
@@ -131,35 +133,120 @@ def _left_over(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     differ by all that both differ from the pivot by, which is too much already; and without a shared added one their
     added shingles and the difference of their lacked ones must stay within what the similarity allows. So
     pairs are looked for by shared added shingles, and by lacked ones only among sets of which such a sum is possible.
-    Pairs of sets that both are similar enough to the pivot are in one component through it.
+    Pairs of sets that both are similar enough to the pivot are in one component through it. Where `apart` (of two columns x)
+    forbids some pairs, sets that are similar to the pivot but must not be linked with it are compared with all of the table.
     """
-    first = at.groupBy("key").agg(F.min(F.struct("o", "id", "c")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", F.col("h.id").alias("a"), F.col("h.c").alias("d"))
-    near = at.join(first, "key").where("id <> a").select("a", "d", F.col("id").alias("b"), "c").distinct()
+    more = ["x"] if apart else []
+    first = at.groupBy("key").agg(F.min(F.struct("o", "id", "c", *more)).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi")
+    first = first.select("key", F.col("h.id").alias("a"), F.col("h.c").alias("d"), *[F.col("h.x").alias("xa") for _ in more])
+    near = at.join(first, "key").where("id <> a").select("a", "d", F.col("id").alias("b"), "c", *[F.col("xa") for _ in more], *more).distinct()
     df = _with_sets(near, sets).withColumn("p", F.array_except("sb", "sa")).withColumn("q", F.array_except("sa", "sb"))
     df = df.withColumn("np", F.size("p").cast("long")).withColumn("nq", F.size("q").cast("long")).withColumn("n", F.size("sb").cast("long")).withColumn("m", F.size("sa").cast("long"))
     far, near_ = F.lit(100 + percent), F.lit(100 - percent)
     df = df.withColumn("ok", far * (F.col("np") + F.col("nq")) <= near_ * (F.col("n") + F.col("m")))
     delta = stored(df.drop("sa", "sb"), "differences")
-    links = delta.where("ok and c <> d").select("a", "b", "c", "d")
-    base = ["a", "b", "c", "np", "nq", "n", "ok"]
+    links = stored(delta.where("ok and c <> d").where(apart(F.col("xa"), F.col("x")) if apart else F.lit(True)).select("a", "b", "c", "d"), "links")
     some = delta.where("not ok").select("a").distinct()
-    each = delta.join(some, "a", "left_semi")
+    each = delta.join(some, "a", "left_semi").select("a", "b", "c", "np", "nq", "n", "m", "ok", "p", "q", *more)
+    if apart:  # sets similar to the pivot that must not be linked with it, and the members of their tables
+        held = at.join(first.select("key", "a"), "key").select("key", "a", "id", "c", "n", "x")
+        close = delta.where("ok").where(~apart(F.col("xa"), F.col("x"))).select("a", F.col("b").alias("id")).distinct()
+        close = held.join(close, ["a", "id"], "left_semi")
+        held = stored(held.join(close.select("key").distinct(), "key", "left_semi").join(close.select("key", "id", F.lit(True).alias("close")), ["key", "id"], "left"), "close")
+
+    def against_close() -> DataFrame:
+        other = held.select("key", F.col("id").alias("f"), F.col("c").alias("d"), F.col("n").alias("n2"), F.col("x").alias("xa"))
+        both = held.where("close").join(other, "key").where((F.col("c") != F.col("d")) & apart(F.col("x"), F.col("xa")) & _sizes("n", "n2", percent))
+        return both.select(F.col("id").alias("b"), "f", "c", "d")
+
+    # families of sets with common differences come together first: each set is compared with the one that leads most of its added and
+    # lacked shingles, which is the one nearest to the pivot that has the shingle added or lacking, and in later rounds any
+    for turn in range(FAMILIES):
+        to = components(links, "c", "d")
+        was, each = each, stored(_merged(each, to), "differences")
+        dropped(was)
+        if apart:
+            was, held = held, stored(_merged(held, to), "close")
+            dropped(was)
+        dropped(to)
+        added = each.select("a", "b", "c", "n", "ok", *more, (F.col("np") + F.col("nq")).alias("far"), F.explode(F.concat("p", "q")).alias("e"))
+        order = F.lit(0).cast("long") if turn else F.col("far")
+        lead = added.groupBy("a", "e").agg(F.min(F.struct(order.alias("far"), F.xxhash64("b", F.lit(turn)).alias("o"), F.col("b").alias("f"), F.col("c").alias("d"), F.col("n").alias("n2"), *[F.col("x").alias("xa") for _ in more])).alias("h"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+        led = added.where("not ok").drop("far").join(lead.select("a", "e", "h.f", "h.d", "h.n2", *[F.col("h.xa") for _ in more]), ["a", "e"]).where((F.col("c") != F.col("d")) & _sizes("n", "n2", percent))
+        led = led.where(apart(F.col("x"), F.col("xa"))) if apart else led
+        led = led.groupBy("b", "f", "c", "d").count().groupBy("b").agg(F.max(F.struct("count", "f", "c", "d")).alias("r"))
+        led = led.select(F.col("r.f").alias("a"), "b", "r.c", "r.d")
+        if apart:  # with one member of each component at first
+            one = against_close().groupBy("b", "c", "d").agg(F.min(F.struct(F.xxhash64("f", F.lit(turn)), "f"))["f"].alias("a"))
+            led = led.unionByName(one.select("a", "b", "c", "d"))
+        pairs = stored(led, "pairs")
+        was, links = links, stored(links.unionByName(_confirmed(pairs, sets, percent)), "links")
+        dropped(pairs, was)
+    to = components(links, "c", "d")
+    was, each = each, stored(_merged(each, to), "differences")
+    dropped(was)
+    if apart:
+        was, held = held, stored(_merged(held, to), "close")
+        dropped(was)
+    dropped(to)
+    base = ["a", "b", "c", "np", "nq", "n", "ok", *more]
     added = each.select(*base, F.lit(True).alias("more"), F.explode("p").alias("e"))
     lacked = each.where(far * F.col("np") <= near_ * (F.col("n") + F.col("m") - F.col("nq"))).select(*base, F.lit(False).alias("more"), F.explode("q").alias("e"))
     x = added.unionByName(lacked).where("not ok").drop("ok")
     y = added.unionByName(lacked.where("nq > np"))
-    y = y.select("a", "e", F.col("b").alias("b2"), F.col("c").alias("c2"), F.col("np").alias("np2"), F.col("nq").alias("nq2"), F.col("n").alias("n2"), "ok")
+    y = y.select("a", "e", F.col("b").alias("b2"), F.col("c").alias("c2"), F.col("np").alias("np2"), F.col("nq").alias("nq2"), F.col("n").alias("n2"), "ok", *[F.col("x").alias("x2") for _ in more])
     total = near_ * (F.col("n") + F.col("n2"))
-    apart = F.abs(F.col("nq") - F.col("nq2"))
-    fits = F.when(F.col("more"), far * (F.abs(F.col("np") - F.col("np2")) + apart) <= total).otherwise(far * (F.col("np") + F.col("np2") + apart) <= total)
+    gap = F.abs(F.col("nq") - F.col("nq2"))
+    fits = F.when(F.col("more"), far * (F.abs(F.col("np") - F.col("np2")) + gap) <= total).otherwise(far * (F.col("np") + F.col("np2") + gap) <= total)
+    fits = fits & apart(F.col("x"), F.col("x2")) if apart else fits
     met = x.join(y, ["a", "e"]).where((F.col("c") != F.col("c2")) & (F.col("ok") | (F.col("b") < F.col("b2"))) & fits)
     met = met.groupBy("a", "b", "b2", "c", "c2").agg(F.sum(F.col("more").cast("int")).alias("shared"), *[F.first(k).alias(k) for k in ("np", "np2", "nq", "nq2", "n", "n2")])
-    least = F.col("np") + F.col("np2") - 2 * F.col("shared") + apart
+    least = F.col("np") + F.col("np2") - 2 * F.col("shared") + gap
     met = met.where(far * least <= total).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b"), F.when(F.col("b") < F.col("b2"), F.col("c")).otherwise(F.col("c2")).alias("c"), F.when(F.col("b") < F.col("b2"), F.col("c2")).otherwise(F.col("c")).alias("d"))
+    if apart:
+        met = met.unionByName(against_close().select(F.col("f").alias("a"), "b", F.col("d").alias("c"), F.col("c").alias("d")))
     pairs = stored(met.distinct(), "pairs")
-    links = stored(links.unionByName(_confirmed(pairs, sets, percent)), "links")
-    dropped(delta, pairs)
-    return links
+    found = stored(links.unionByName(_confirmed(pairs, sets, percent)), "links")
+    dropped(delta, each, pairs, links, held if apart else None)
+    return found
+
+
+def link_sets(every: DataFrame, sets: DataFrame, percent: int, apart=None, rounds: int = ROUNDS) -> DataFrame:
+    """id and c (component) of every id of the tables after linking all that meet in a table and whose sets are similar enough.
+
+    every: stored rows key (table), id, n and n0 (largest and smallest size of the id's sets), o (order: the first of a table is compared
+    with the others first), c (= id), with `apart` also x, on which it decides which pairs may be linked. For some rounds each id
+    is compared with the first members of its tables; those of a first member's component then leave its table and the next round takes
+    another first member. What is left is found by _left_over. The tables are removed.
+    """
+    more = ["x"] if apart else []
+    label = stored(every.select("id", "c").distinct(), "labels")
+    at = every
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            head = at.groupBy("key").agg(F.min(F.struct("o", "id", "c", "n", "n0", *more)).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
+            fits = (F.col("c") != F.col("h.c")) & (F.lit(100) * F.least("n", "h.n") >= F.lit(percent) * F.greatest("n0", "h.n0"))
+            fits = fits & apart(F.col("x"), F.col("h.x")) if apart else fits
+            pairs = stored(at.join(head, "key").where(fits).select(F.col("h.id").alias("a"), F.col("id").alias("b"), "c", F.col("h.c").alias("d")).distinct(), "pairs")
+            if pairs.isEmpty():
+                continue
+            links = stored(_confirmed(pairs, sets, percent), "links")
+            dropped(pairs)
+        else:
+            links = _left_over(every, sets, percent, apart)
+        to = components(links, "c", "d")
+        was, label = label, stored(_merged(label, to), "labels")
+        dropped(was)
+        if turn < rounds:
+            was, every = every, stored(_merged(every, to), "tables")
+            # the first member's component leaves its table
+            gone = head.select("key", F.col("h.c").alias("c"))
+            left = stored(_merged(at.join(head.select("key"), "key", "left_semi"), to).join(_merged(gone, to), ["key", "c"], "left_anti"), "tables")
+            dropped(was, at)
+            at = left
+        dropped(to, links)
+    dropped(every, at)
+    return label
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -167,8 +254,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     Documents are linked if the Jaccard similarity of their sets of `size`-word shingles (A-Z lower-cased)
     is at least percent / 100; every link is confirmed on the full sets. Documents of equal sets share one
-    representative. For three rounds each document is compared with the first member (the one that meets the
-    most others) of one of its tables; those of the member's component then leave the table and the next round
+    representative. For three rounds each document is compared with the first members (those that meet the
+    most others) of its tables; those of a first member's component then leave its table and the next round
     takes another first member. At last all colliding pairs between different components that can be similar enough are
     found exactly (_left_over), so no colliding pair goes unexamined unless it is joined already or ruled out.
 
@@ -189,31 +276,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(every.select("id").distinct(), "id", "left_semi")
     sets = stored(shingle_sets(texts, size), "sets")
     dropped(tables)
-    label = classes.select("id", F.col("id").alias("c")).distinct()
-    at = every
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            head = at.groupBy("key").agg(F.min(F.struct("o", "id", "c", "n", "n0")).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
-            fits = (F.col("c") != F.col("h.c")) & (F.lit(100) * F.least("n", "h.n") >= F.lit(percent) * F.greatest("n0", "h.n0"))
-            meet = at.join(head, "key").where(fits).groupBy(F.col("id").alias("b")).agg(F.min(F.struct("h.o", F.col("h.id").alias("a"), "c", F.col("h.c").alias("d"))).alias("p"))
-            pairs = stored(meet.select("p.a", "b", "p.c", "p.d"), "pairs")
-            if pairs.isEmpty():
-                continue
-            links = stored(_confirmed(pairs, sets, percent), "links")
-            dropped(pairs)
-        else:
-            links = _left_over(every, sets, percent)
-        to = components(links, "c", "d")
-        was, label = label, stored(_merged(label, to), "labels")
-        dropped(was)
-        if turn < ROUNDS:
-            was, every = every, stored(_merged(every, to), "tables")
-            # the first member's component leaves its table
-            gone = head.select("key", F.col("h.c").alias("c"))
-            left = stored(_merged(at.join(head.select("key"), "key", "left_semi"), to).join(_merged(gone, to), ["key", "c"], "left_anti"), "tables")
-            dropped(was, at)
-            at = left
-        dropped(to, links)
+    label = link_sets(every, sets, percent)
     named = classes.select("n", "sa", "sb", "id").join(label.withColumnRenamed("c", "component"), "id", "left").select("n", "sa", "sb", F.coalesce("component", "id").alias("component"))
     out = sig.select("id", "n", "sa", "sb").join(named, ["n", "sa", "sb"], "left")
     # the texts of a repeated key may lie in different components: they are one document
@@ -223,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         out = _merged(out.withColumnRenamed("component", "c"), components(both, "component", "lo")).withColumnRenamed("c", "component")
     comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = stored(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(True)).alias("kept")), "near-duplicates")
-    dropped(sig, classes, every, at, sets, label)
+    dropped(sig, classes, sets, label)
     return out
 
 

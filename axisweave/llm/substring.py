@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisweave.llm.graph import components
+from axisweave.llm.neardup import link_sets
 from axisweave.llm.text import dropped, stored
 from axisweave.llm.vector import _power, mix, words_of
 
@@ -18,8 +18,6 @@ from axisweave.llm.vector import _power, mix, words_of
 SIZE, PERCENT, TARGET_WORDS, LEAST_WORDS, RECALL = 5, 80, 20, 10, 0.99
 #: MinHashes of a band: two leave paragraphs apart that share but a phrase, and cost few bands more at the wanted recall.
 ROWS = 2
-#: Rounds in which the classes of a band are compared with one of them, before all that is left is compared.
-ROUNDS = 3
 #: A shared passage of this many words holds a common paragraph; where stops don't see to it, cuts do: the words whose hash is the least of this many.
 PASSAGE_WORDS, NEAR_WORDS = 50, 10
 
@@ -120,23 +118,18 @@ def _cutter(bands: int, size: int, target: int, least: int, rows: int = ROWS):
                         h = np.append(mix(sh * m), np.iinfo(np.uint64).max)
                         key = mix(key * np.uint64(0x2545F4914F6CDD1D) + np.minimum.reduceat(h, pairs)[::2])
                     cols.append(key.view(np.int64))
-                # 128 bits that the shingles set, for a bound on what two paragraphs share
-                bit = np.uint64(1) << (sh & np.uint64(63))
-                for half in (0, 1):
-                    h = np.append(np.where((sh >> np.uint64(6)) & np.uint64(1) == half, bit, np.uint64(0)), np.uint64(0))
-                    cols.append(np.bitwise_or.reduceat(h, pairs)[::2].view(np.int64))
                 lens = to - start
                 whole = _sequence_hashes(w, start, to)
                 ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
                 first = w.bounds[doc]
-                sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols[:bands], 1).reshape(-1)), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((start - first).astype(np.int32)), pa.array(lens.astype(np.int32)), pa.array(whole.view(np.int64)), sig, *map(pa.array, cols[bands:])], ["id", "at", "n", "e", "sig", "b0", "b1"])
+                sig = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(cols, 1).reshape(-1)), bands).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array((start - first).astype(np.int32)), pa.array(lens.astype(np.int32)), pa.array(whole.view(np.int64)), sig], ["id", "at", "n", "e", "sig"])
 
     return cut
 
 
 def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, size: int = SIZE, target: int = TARGET_WORDS, least: int = LEAST_WORDS, bands: int | None = None) -> DataFrame:
-    """id, at (first word), n (words), e (64-bit hash of the words), sig (band hashes), b0 and b1 (bits of its shingles) of every paragraph.
+    """id, at (first word), n (words), e (64-bit hash of the words) and sig (band hashes) of every paragraph.
 
     A paragraph starts at a sentence or line and runs on over whole sentences until it has `target` words, so a
     passage that is pasted into other text shares paragraphs with its other copies whatever surrounds it. Every start
@@ -147,7 +140,7 @@ def paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", *, size
     bands = bands or tuned_bands(PERCENT / 100, RECALL)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull())
-    return rows.mapInArrow(_cutter(bands, size, target, least), f"id {kind}, at int, n int, e long, sig array<long>, b0 long, b1 long")
+    return rows.mapInArrow(_cutter(bands, size, target, least), f"id {kind}, at int, n int, e long, sig array<long>")
 
 
 def _sets(place: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -171,69 +164,38 @@ def _sets(place: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 
 
-def _possible(size: int, percent: int):
-    """Places x and y that don't overlap in one text, and whose bits don't rule out the similarity.
-
-    A bit that only one of them has stands for a shingle that the other lacks, so no pair that is similar enough is left out.
-    """
-    lacks = lambda a, b: sum(F.bit_count(F.col(f"{a}.{h}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{h}")))) for h in ("b0", "b1"))
-    x, y = lacks("x", "y"), lacks("y", "x")
-    both = F.least(F.col("x.n") - x, F.col("y.n") - y) - (size - 1)
-    apart = (F.col("x.id") != F.col("y.id")) | (F.col("x.at") + F.col("x.n") <= F.col("y.at")) | (F.col("y.at") + F.col("y.n") <= F.col("x.at"))
-    return apart & (percent * (x + y) <= (100 - percent) * both)
+def _apart(x, y):
+    """Places x and y (id, at, n) don't overlap in one text."""
+    return (x["id"] != y["id"]) | (x["at"] + x["n"] <= y["at"]) | (y["at"] + y["n"] <= x["at"])
 
 
 def _linked(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """id (class) and component of the classes that are similar to another one; docs has id and text."""
+    """id (class) and component of the classes that share a band with another one; docs has id and text."""
     keys = classes.select(F.explode("sig").alias("h"), "e", "id", "at", "n")
     # bands of neighbours in one text that all overlap have no pair to compare
     shared = keys.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("at").alias("last"), F.min(F.col("at") + F.col("n")).alias("first"))
-    shared = stored(shared.where("k > 1 and (lo <> hi or first <= last)").select("h"), "paragraph-bands")
-    member = stored(keys.select("h", "e").join(shared, "h", "left_semi"), "paragraph-keys")
-    at = stored(member.join(classes.select("e", F.struct("id", "at", "n", "b0", "b1").alias("x")), "e").withColumn("c", F.col("e")), "paragraph-members")
-    dropped(shared, member)
-    place = at.select("e", F.col("x.id").alias("id"), F.col("x.at").alias("at"), F.col("x.n").alias("n")).distinct()
-    sets = None
-    label = None
-    for turn in range(ROUNDS + 1):
-        # bands that hold more than one component, with another member in front each time
-        head = F.min(F.struct(F.xxhash64("e", F.lit(turn)), F.col("e").alias("f"), F.col("c").alias("d"), F.col("x").alias("y"))).alias("r")
-        split = at.groupBy("h").agg(head, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "r.f", "r.d", "r.y")
-        was = at
-        if turn == ROUNDS:
-            at = stored(at.join(split, "h", "left_semi"), "paragraph-members")
-            split = at.select("h", F.col("e").alias("f"), F.col("c").alias("d"), F.col("x").alias("y")).withColumnRenamed("h", "g")
-            meet = at.join(split, (F.col("h") == F.col("g")) & (F.col("e") < F.col("f")) & (F.col("c") != F.col("d")) & _possible(size, percent))
-        else:
-            meet = at.join(split, "h").where((F.col("c") != F.col("d")) & _possible(size, percent))
-        pairs = stored(meet.select("e", "c", "f", "d").distinct(), "paragraph-pairs")
-        if sets is None:
-            sets = stored(_sets(place, docs, size), "paragraph-sets")
-        both = pairs.join(sets.withColumnRenamed("s", "v"), "e").join(sets.select(F.col("e").alias("f"), "s"), "f").withColumn("n", F.size(F.array_intersect("v", "s")))
-        links = stored(both.where(100 * F.col("n") >= percent * (F.size("v") + F.size("s") - F.col("n"))).select("c", "d"), "paragraph-links")
-        dropped(pairs)
-        if links.isEmpty():
-            continue
-        to = components(links, "c", "d")
-        if label is None:
-            label = to
-        else:
-            old = label.join(to.select(F.col("id").alias("_c"), F.col("component").alias("_to")), F.col("component") == F.col("_c"), "left").select("id", F.coalesce("_to", "component").alias("component"))
-            label = stored(old.unionByName(to.join(label.select("id"), "id", "left_anti")), "paragraph-components")
-        if turn < ROUNDS:
-            move = to.select(F.col("id").alias("_c"), F.col("component").alias("_to"))
-            at = stored(at.join(split, "h", "left_semi").join(move, F.col("c") == F.col("_c"), "left").select("h", "e", "x", F.coalesce("_to", "c").alias("c")), "paragraph-members")
-            dropped(was)
-    dropped(at, sets)
-    return label if label is not None else classes.select(F.col("e").alias("id"), F.col("e").alias("component")).limit(0)
+    shared = stored(shared.where("k > 1 and (lo <> hi or first <= last)").select("h", "k"), "paragraph-bands")
+    member = stored(keys.select("h", "e").join(shared, "h"), "paragraph-keys")
+    # paragraphs that meet the most others come first
+    place = classes.join(member.groupBy("e").agg(F.sum("k").alias("k")), "e").select("e", "id", "at", "n", "k")
+    place = stored(place, "paragraph-places")
+    sets = stored(_sets(place.select("e", "id", "at", "n"), docs, size), "paragraph-sets")
+    sizes = sets.groupBy(F.col("e").alias("id")).agg(F.max(F.size("s")).cast("long").alias("size"), F.min(F.size("s")).cast("long").alias("n0"))
+    who = place.select("e", F.struct("id", "at", "n").alias("x"), (-F.col("k")).alias("o")).join(sizes, F.col("e") == F.col("id")).drop("id")
+    every = member.select("h", "e").join(who, "e").select(F.col("h").alias("key"), F.col("e").alias("id"), F.col("size").alias("n"), "n0", "o", F.col("e").alias("c"), "x")
+    every = stored(every, "paragraph-members")
+    dropped(shared, member, place)
+    label = link_sets(every, sets.withColumnRenamed("e", "id"), percent, _apart)
+    dropped(sets)
+    return label.withColumnRenamed("c", "component")
 
 
 def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """key, start_word, n_words, cluster, removed: the stretches of each text that another document repeats.
 
-    Equal paragraphs are one class. Classes that share a band are compared by the exact Jaccard similarity of
-    their shingles, unless they are neighbours in one text that overlap: for three rounds with one class of the band, then all
-    pairs that are not joined yet, so no colliding pair goes unexamined unless it is joined or its shingles' bits rule it out.
+    Equal paragraphs are one class. Classes that share a band are linked by the exact Jaccard similarity of
+    their shingles, unless they are neighbours in one text that overlap (neardup.link_sets): rounds of one comparison, then all
+    pairs that are not joined yet and can be similar enough, so no colliding pair goes unexamined unless it is joined or ruled out.
     Confirmed classes join by connected components, and clusters within a single document are left alone. The first
     occurrence (smallest key and position) of each cluster stays, with what overlaps it, all others are marked removed; overlapping
     paragraphs of a text with the same mark are given as one stretch, cluster being that of its first paragraph.
@@ -243,7 +205,7 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
     """
     units = paragraphs(docs, text, key, size=size)
     # the plain rows of a class: its first place, how many it has, and its last document
-    first = F.min(F.struct("id", "at", "n", "sig", "b0", "b1")).alias("r")
+    first = F.min(F.struct("id", "at", "n", "sig")).alias("r")
     classes = stored(units.groupBy("e").agg(first, F.max("id").alias("last")).select("e", "last", "r.*"), "paragraph-classes")
     comp = _linked(classes, docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null"), size, percent)
     dup = classes.select("e", "last", "id", "at").join(comp.withColumnRenamed("id", "e"), "e", "left").where("last <> id or component is not null")
