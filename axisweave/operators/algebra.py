@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisweave.config import interval_cols
-from axisweave.operators.islands import _islands
-from axisweave.operators.joins import pairs, wide_end
+from axisweave.config import IntervalCols, interval_cols
+from axisweave.operators.joins import met
 from axisweave.operators.ranges import LAST
+from axisweave.operators.running import running
 from axisweave.storage import numbered
 
 
@@ -20,18 +20,19 @@ def complement(df: DataFrame, view_df: DataFrame | None = None, view_name_col: s
         view = view.select("_vc", F.lit(0).cast("long").alias("_lo"), F.lit(LAST).alias("_hi"), F.col("_vc").alias("view_region"))
     else:
         view = view_df.select(F.col(v.chrom).alias("_vc"), F.col(v.start).alias("_lo"), F.col(v.end).alias("_hi"), F.col(view_name_col).alias("view_region"))
-    s, e = F.col(c.start), F.col(c.end)
-    met = df.select(*c).join(view, (F.col(c.chrom) == F.col("_vc")) & (s < wide_end(F.col("_lo"), F.col("_hi"))) & (F.col("_lo") < wide_end(s, e)))
-    met = met.select("view_region", "_vc", "_lo", "_hi", F.greatest(s, "_lo").alias("start"), F.least(e, "_hi").alias("end"))
     keys = ["view_region", "_vc", "_lo", "_hi"]
-    flat = interval_cols(("_vc", "start", "end"))
-    merged = _islands(met, flat, keys[:1] + keys[2:], 0, []).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    merged = merged.where("end > _lo and start < _hi")
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    near = merged.select(*keys, F.coalesce(F.lag("end").over(w), F.col("_lo")).alias("a"), F.col("start").alias("b"), F.col("end").alias("z"), F.lead("start").over(w).isNull().alias("last"), F.lag("end").over(w).isNull().alias("head"))
-    gaps = near.where("not head or b > a").select(*keys, F.col("a").alias("start"), F.col("b").alias("end"))
-    tail = near.where("last and z < _hi").select(*keys, F.col("z").alias("start"), F.col("_hi").alias("end"))
-    free = view.join(merged.select("view_region").distinct(), "view_region", "left_anti").select(*keys, F.col("_lo").alias("start"), F.col("_hi").alias("end"))
+    if view_df is None:
+        rows = df.select(F.col(c.chrom).alias("_vc"), F.col(c.start).alias("start"), F.col(c.end).alias("end")).where(F.col("_vc").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("end") >= 0))
+        rows = rows.select(F.col("_vc").alias("view_region"), "_vc", F.lit(0).cast("long").alias("_lo"), F.lit(LAST).alias("_hi"), F.greatest("start", F.lit(0)).alias("start"), "end")
+    else:
+        names = IntervalCols("_vc", "_lo", "_hi")
+        rows = met(df.select(*c), view, c, names, [], [], [F.struct(*keys).alias("_v")]).select("_v.*", F.greatest("_s1", "_s2").alias("start"), F.least("_e1", "_e2").alias("end"))
+    # a gap lies before each row that starts beyond all earlier ends; points cut a gap in two
+    rows = running(rows, keys, "start", [F.col("start"), F.col("end")], {"_far": (F.col("end"), "max")}, upto=-1)
+    gaps = rows.where((F.col("_far").isNull() & (F.col("start") > F.col("_lo"))) | (F.col("start") > F.col("_far"))).select(*keys, F.coalesce("_far", "_lo").alias("start"), F.col("start").alias("end"))
+    ends = rows.groupBy(*keys).agg(F.max("end").alias("z"))
+    tail = ends.where("z < _hi").select(*keys, F.col("z").alias("start"), F.col("_hi").alias("end"))
+    free = view.join(ends.select("view_region"), "view_region", "left_anti").select(*keys, F.col("_lo").alias("start"), F.col("_hi").alias("end"))
     out = gaps.unionByName(tail).unionByName(free)
     return out.select(F.col("_vc").alias(c.chrom), F.col("start").alias(c.start), F.col("end").alias(c.end), "view_region")
 
@@ -40,18 +41,23 @@ def subtract(df1: DataFrame, df2: DataFrame, return_index: bool = False, suffixe
     """df1 without what df2 covers: one row for each piece left, with the other columns of df1; points of df2 cut. Null rows and what lies below 0 go. return_index adds index and sub_index_."""
     c1, c2 = interval_cols(cols1), interval_cols(cols2)
     sx, sy = suffixes
-    a = numbered(df1)
+    a = numbered(df1) if return_index else df1
     chroms = a.select(F.col(c1.chrom).alias("chrom")).unionByName(df2.select(F.col(c2.chrom).alias("chrom"))).where("chrom is not null").distinct()
     view = chroms.select("chrom", F.lit(0).cast("long").alias("start"), F.lit(LAST).alias("end"), F.col("chrom").alias("name"))
     holes = df2.select(F.col(c2.chrom).alias("chrom"), F.col(c2.start).alias("start"), F.col(c2.end).alias("end"))
-    plain = interval_cols(("chrom", "start", "end"))
-    free = numbered(complement(holes, view, cols=plain, cols_view=plain))
-    p = pairs(a, free, c1, plain, [])
-    y = free.select(F.col("_rid").alias("r2"), F.col("start").alias("_s2"), F.col("end").alias("_e2"))
-    out = a.join(p, a["_rid"] == p["r1"]).join(y, "r2")
-    out = out.withColumns({c1.start: F.greatest(F.col(c1.start), F.col("_s2")), c1.end: F.least(F.col(c1.end), F.col("_e2"))})
+    plain = IntervalCols("chrom", "start", "end")
+    free = _gaps(holes, view)
+    out = met(a, free, c1, plain, [], [F.struct(*[F.col(f"`{c}`") for c in a.columns]).alias("_x")], []).select("_x.*", F.greatest("_s1", "_s2").alias("_gs"), F.least("_e1", "_e2").alias("_ge"))
+    out = out.withColumns({c1.start: F.col("_gs"), c1.end: F.col("_ge")})
     keep = [F.col(f"`{c}`").alias(f"{c}{sx}") for c in df1.columns]
     if return_index:
         nth = F.row_number().over(Window.partitionBy("_rid").orderBy(c1.start, c1.end)) - 1
         keep = [F.col("_rid").alias(f"index{sx}"), *keep, nth.cast("long").alias("sub_index_")]
     return out.select(*keep)
+
+
+def _gaps(holes: DataFrame, view: DataFrame) -> DataFrame:
+    """chrom, start, end of what holes leave open of whole axes; axes that only the view names are open throughout."""
+    found = complement(holes).select("chrom", "start", "end")
+    whole = view.join(holes.where("chrom is not null and start is not null and end is not null and end >= 0").select("chrom").distinct(), "chrom", "left_anti")
+    return found.join(whole.select("chrom"), "chrom", "left_anti").unionByName(whole.select("chrom", "start", "end"))

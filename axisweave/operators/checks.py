@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisweave.config import interval_cols
-from axisweave.operators.joins import wide_end
+from axisweave.operators.joins import met, setdiff
 
 
 def _fail(raise_errors: bool, kind: type[Exception], text: str) -> bool:
@@ -79,13 +79,13 @@ def is_contained(df: DataFrame, view_df: DataFrame, raise_errors: bool = False,
     """Every row lies within the regions that it overlaps (and overlaps one), or with df_view_col within its region."""
     c, v = interval_cols(cols), interval_cols(cols_view)
     s, e = F.col(c.start), F.col(c.end)
-    view = view_df.select(F.col(v.chrom).alias("_vc"), F.col(v.start).alias("_vs"), F.col(v.end).alias("_ve"), F.col(view_name_col).alias("_vn"))
-    inside = (s >= F.col("_vs")) & (e <= F.col("_ve"))
     rows = df.where(F.col(c.chrom).isNotNull())
     if df_view_col is None:
-        hit = (F.col(c.chrom) == F.col("_vc")) & (s < wide_end(F.col("_vs"), F.col("_ve"))) & (F.col("_vs") < wide_end(s, e))
-        bad = rows.join(view, hit, "left").where(~F.coalesce(inside, F.lit(False)))
-        return True if bad.isEmpty() else _fail(raise_errors, AssertionError, "not contained in the view")
+        out = met(rows, view_df, c, v, [], [], []).where((F.col("_s1") < F.col("_s2")) | (F.col("_e1") > F.col("_e2")))
+        ok = setdiff(rows, view_df, cols1=c, cols2=v).isEmpty() and out.isEmpty()
+        return True if ok else _fail(raise_errors, AssertionError, "not contained in the view")
+    view = view_df.select(F.col(v.start).alias("_vs"), F.col(v.end).alias("_ve"), F.col(view_name_col).alias("_vn"))
+    inside = (s >= F.col("_vs")) & (e <= F.col("_ve"))
     if not is_cataloged(df, view_df, raise_errors, df_view_col, view_name_col):
         return False
     bad = rows.join(view, F.col(df_view_col) == F.col("_vn")).where(~inside)

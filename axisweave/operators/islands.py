@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisweave.config import interval_cols
-from axisweave.operators.running import running
+from axisweave.operators.running import beside, running
 from axisweave.storage import numbered
 
 
@@ -85,24 +85,26 @@ def _changed(value: Column, before: Column, floating: bool) -> Column:
     return ~((nan(value) & nan(before)) | (~nan(value) & ~nan(before) & F.coalesce(close, F.lit(False))))
 
 
-def mark_runs(df: DataFrame, col: str, *, allow_overlaps: bool = False, reset_counter: bool = True, run_col: str = "run", cols=None) -> DataFrame:
+def mark_runs(df: DataFrame, col: str, *, allow_overlaps: bool = False, reset_counter: bool = True, run_col: str = "run", tie: list[str] | None = None, cols=None) -> DataFrame:
     """df with a run number: a run is a stretch of touching intervals of one value of col. Rows without an axis are dropped.
 
     Numbers start from 0 on each axis, or run on over axes in sorted order with reset_counter=False. Overlapping intervals
-    raise ValueError unless allowed.
+    raise ValueError unless allowed. Rows of equal coordinates are in the order of the columns `tie`, which should tell them apart;
+    without them rows are numbered as the table gives them, and the numbers written down.
     """
     from axisweave.operators.checks import is_overlapping
 
     c = interval_cols(cols)
     if not allow_overlaps and is_overlapping(df, cols=c):
         raise ValueError("intervals overlap")
-    a = numbered(df.where(F.col(c.chrom).isNotNull()))
-    order = [F.col(c.start), F.col(c.end), F.col("_rid")]
-    w = Window.partitionBy(c.chrom).orderBy(*order)
+    a = df.where(F.col(c.chrom).isNotNull())
+    a = numbered(a) if tie is None else a
+    names = [c.start, c.end, *(["_rid"] if tie is None else tie)]
+    order = [F.col(n) for n in names]
     floating = dict(df.dtypes)[col] in ("float", "double")
     a = running(a, [c.chrom], c.start, order, {"_far": (F.col(c.end), "max")}, upto=-1)
-    a = a.withColumn("_v", F.lag(col).over(w)).withColumn("_first", F.col("_far").isNull())
-    border = F.col("_first") | (F.col(c.start) > F.col("_far")) | _changed(F.col(col), F.col("_v"), floating)
+    a = beside(a, [c.chrom], c.start, names, F.col(col), "_before")
+    border = F.col("_far").isNull() | (F.col(c.start) > F.col("_far")) | _changed(F.col(col), F.col("_before"), floating)
     a = a.withColumn("_b", border.cast("long"))
     a = running(a, [c.chrom], c.start, order, {"_run": (F.col("_b"), "sum")})
     number = F.col("_run") - 1
@@ -115,10 +117,10 @@ def mark_runs(df: DataFrame, col: str, *, allow_overlaps: bool = False, reset_co
     return a.select(*df.columns, number.alias(run_col))
 
 
-def merge_runs(df: DataFrame, col: str, *, allow_overlaps: bool = False, agg: dict | None = None, cols=None) -> DataFrame:
+def merge_runs(df: DataFrame, col: str, *, allow_overlaps: bool = False, agg: dict | None = None, tie: list[str] | None = None, cols=None) -> DataFrame:
     """One row a run: axis, start, end, value and the named aggregates {"out": (column, function name)} or {"out": Column}."""
     c = interval_cols(cols)
-    runs = mark_runs(df, col, allow_overlaps=allow_overlaps, run_col="_run_no", cols=c)
+    runs = mark_runs(df, col, allow_overlaps=allow_overlaps, run_col="_run_no", tie=tie, cols=c)
     names = {"mean": F.avg, "count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp, "median": F.median, "first": F.first, "last": F.last, "nunique": F.count_distinct}
     more = [(v if isinstance(v, Column) else names[v[1]](v[0])).alias(k) for k, v in (agg or {}).items()]
     head = F.min_by(col, F.struct(c.start, c.end)).alias(col)
@@ -132,7 +134,7 @@ def depth_profile(df: DataFrame, weight: Column | None = None, *, cols=None) ->
     ends = df.where(_whole(c, [])).select(F.col(c.chrom).alias("chrom"), F.explode(F.array(F.struct(F.col(c.start).alias("p"), w.alias("d")), F.struct(F.col(c.end).alias("p"), (-w).alias("d")))).alias("x"))
     ends = ends.groupBy("chrom", F.col("x.p").alias("start")).agg(F.sum("x.d").alias("d"))
     deep = running(ends, ["chrom"], "start", [F.col("start")], {"depth": (F.col("d"), "sum")})
-    deep = deep.withColumn("end", F.lead("start").over(Window.partitionBy("chrom").orderBy("start")))
+    deep = beside(deep, ["chrom"], "start", ["start"], F.col("start"), "end", ahead=True)
     return deep.where("end is not null and depth <> 0").select("chrom", "start", "end", "depth")
 
 

@@ -44,17 +44,70 @@ def _sides(df: DataFrame, cols: IntervalCols, on: list[str], tag: str, rid: str)
 def bin_width(*sides: tuple[DataFrame, str, str]) -> tuple[int, int]:
     """Power of two that is at least the larger mean length, so that binned copies at most double the rows; and the largest end in use.
 
-    Ends beyond what the other side reaches are clipped first, so a sentinel end does no harm.
+    Ends beyond what the other side reaches are clipped first, so a sentinel end does no harm. One job: a histogram of
+    lengths by powers of two, which has a few rows whatever the tables' sizes.
     """
-    reach = [df.agg(F.max(s), F.max(e)).first() for df, s, e in sides]
-    last = max((r[0] for r in reach if r[0] is not None), default=0) + 1
-    mean = [df.agg(F.avg(F.least(F.col(e), F.lit(last)) - F.col(s))).first()[0] for df, s, e in sides]
+    parts = [df.select(F.lit(k).alias("side"), F.col(s).alias("s"), (F.col(e) - F.col(s)).cast("double").alias("n")) for k, (df, s, e) in enumerate(sides)]
+    rows = reduce(lambda x, y: x.unionByName(y), parts).groupBy("side", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1.0)))).alias("power"))
+    rows = rows.agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.max("s").alias("s")).collect()
+    last = max((r["s"] for r in rows), default=0) + 1
     width = 64
-    while width < max((m for m in mean if m is not None), default=0):
-        width *= 2
+    for k in range(len(sides)):
+        own = [r for r in rows if r["side"] == k]
+        mean = sum(min(r["n"], r["c"] * max(last, 1)) for r in own) / max(1, sum(r["c"] for r in own))
+        while width < mean:
+            width *= 2
     return width, last
 
 
+def _bins(start: Column, end: Column, width: int, last: int) -> Column:
+    """Numbers of the bins that an interval meets, its end clipped."""
+    lo = floor_div(start, width)
+    return F.explode(F.sequence(lo, F.greatest(lo, floor_div(F.least(end, F.lit(last)) - 1, width))))
+
+
+def met(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], keep1: list[Column], keep2: list[Column], width: int | None = None, kind: str = "inner") -> DataFrame:
+    """Overlapping rows with _s1, _e1, _s2, _e2 and the kept columns of both (of the first with kind left_semi): one equi-join on axis, keys and bin, each pair taken in the first bin that both share. No row numbers are needed."""
+
+    def side(df: DataFrame, c: IntervalCols, t: str, keep: list[Column]) -> DataFrame:
+        s, e = F.col(c.start).cast("long"), F.col(c.end).cast("long")
+        keys = [F.col(k).alias(f"_k{i}_{t}") for i, k in enumerate(on)]
+        out = df.select(F.col(c.chrom).alias(f"_c{t}"), s.alias(f"_s{t}"), e.alias(f"_e{t}"), wide_end(s, e).alias(f"_w{t}"), *keys, *keep)
+        return out.where(F.col(f"_c{t}").isNotNull() & F.col(f"_s{t}").isNotNull() & F.col(f"_e{t}").isNotNull())
+
+    a, b = side(df1, cols1, "1", keep1), side(df2, cols2, "2", keep2)
+    found, last = bin_width((a, "_s1", "_w1"), (b, "_s2", "_w2"))
+    w = width or found
+    a, b = (df.withColumn(f"_b{t}", _bins(F.col(f"_s{t}"), F.col(f"_w{t}"), w, last)) for df, t in ((a, "1"), (b, "2")))
+    keys = [a["_c1"] == b["_c2"], a["_b1"] == b["_b2"], *[a[f"_k{i}_1"].eqNullSafe(b[f"_k{i}_2"]) for i in range(len(on))]]
+    hit = (F.col("_s1") < F.col("_w2")) & (F.col("_s2") < F.col("_w1"))
+    first = F.col("_b1") == F.greatest(floor_div(F.col("_s1"), w), floor_div(F.col("_s2"), w))
+    return a.join(b, reduce(lambda x, y: x & y, keys) & hit & first, kind)
+
+
+def _row(df: DataFrame, name: str) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def _content(df: DataFrame, c: IntervalCols, on: list[str]) -> list[Column]:
+    """Axis, coordinates and keys: all that decides what a row overlaps, so rows that agree in them need no number to be told apart."""
+    return [F.col(c.chrom).alias("_c"), F.col(c.start).cast("long").alias("_s"), F.col(c.end).cast("long").alias("_e"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)]]
+
+
+def _on_content(df: DataFrame, other: DataFrame, c: IntervalCols, on: list[str]) -> Column:
+    keys = [F.col(k).eqNullSafe(other[f"_k{i}"]) for i, k in enumerate(on)]
+    return reduce(lambda x, y: x & y, [F.col(c.chrom) == other["_c"], F.col(c.start) == other["_s"], F.col(c.end) == other["_e"], *keys])
+
+
+def _hit_contents(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: IntervalCols, on: list[str], width: int | None) -> DataFrame:
+    """Distinct contents of df1 that overlap something in df2."""
+    keys = [f"_k{i}" for i in range(len(on))]
+    mine = df1.select(*_content(df1, c1, on)).distinct()
+    names = IntervalCols("_c", "_s", "_e")
+    other = df2.select(*_content(df2, c2, on)).distinct()
+    return met(mine, other, names, names, keys, [F.struct("_c", "_s", "_e", *keys).alias("_x")], [], width, "left_semi").select("_x.*").distinct()
+
+
 def pairs(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], rid1: str = "_rid", rid2: str = "_rid", width: int | None = None) -> DataFrame:
     """r1, r2 of all overlapping pairs: an equi-join on axis, keys and bin, each pair taken in the first bin that both share."""
     a, b = _sides(df1, cols1, on, "1", rid1), _sides(df2, cols2, on, "2", rid2)
@@ -85,6 +138,8 @@ def overlap(
         raise ValueError("keep_order needs how='left'")
     c1, c2 = interval_cols(cols1), interval_cols(cols2)
     on = _check_on(on, c1, c2)
+    if not return_index and not keep_order:
+        return _overlap_plain(df1, df2, how, return_input, return_overlap, suffixes, c1, c2, on, width)
     a, b = numbered(df1, "_rid1"), numbered(df2, "_rid2")
     p = pairs(a, b, c1, c2, on, "_rid1", "_rid2", width)
     left = a.select("_rid1", *[F.struct(*df1.columns).alias("_x")])
@@ -113,34 +168,58 @@ def overlap(
     return out.select(*cols)
 
 
-def _matched(df1: DataFrame, df2: DataFrame, cols1, cols2, on, width) -> tuple[DataFrame, DataFrame]:
-    c1, c2 = interval_cols(cols1), interval_cols(cols2)
-    on = _check_on(on, c1, c2)
-    a, b = numbered(df1), df2.withColumn("_rid", F.lit(0).cast("long"))
-    return a, pairs(a, b, c1, c2, on, width=width).select("r1").distinct()
+def _overlap_plain(df1: DataFrame, df2: DataFrame, how: str, return_input: bool, return_overlap: bool | str, suffixes, c1: IntervalCols, c2: IntervalCols, on: list[str], width: int | None) -> DataFrame:
+    """Without row numbers: one binned join that carries both rows, and for the kept sides the rows whose contents meet nothing."""
+    rows = met(df1, df2, c1, c2, on, [_row(df1, "_x")], [_row(df2, "_y")], width).select("_x", "_y")
+    none = lambda name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
+    if how in ("left", "outer"):
+        hit = _hit_contents(df1, df2, c1, c2, on, width)
+        rows = rows.unionByName(df1.join(hit, _on_content(df1, hit, c1, on), "left_anti").select(_row(df1, "_x"), none("_y")))
+    if how in ("right", "outer"):
+        hit = _hit_contents(df2, df1, c2, c1, on, width)
+        rows = rows.unionByName(df2.join(hit, _on_content(df2, hit, c2, on), "left_anti").select(none("_x"), _row(df2, "_y")))
+    x, y, (sx, sy) = (lambda c: F.col("_x")[c]), (lambda c: F.col("_y")[c]), suffixes
+    cols = [x(c).alias(f"{c}{sx}") for c in df1.columns] + [y(c).alias(f"{c}{sy}") for c in df2.columns] if return_input else []
+    if return_overlap:
+        name = return_overlap if isinstance(return_overlap, str) else "overlap"
+        both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+        cols.append(F.when(both, F.greatest(x(c1.start), y(c2.start))).cast("long").alias(f"{name}_{c1.start}"))
+        cols.append(F.when(both, F.least(x(c1.end), y(c2.end))).cast("long").alias(f"{name}_{c1.end}"))
+    return rows.select(*cols)
 
 
 def setdiff(df1: DataFrame, df2: DataFrame, *, cols1=None, cols2=None, on: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Rows of df1 that overlap nothing in df2 (anti join); null rows stay."""
-    a, hit = _matched(df1, df2, cols1, cols2, on, width)
-    return a.join(hit, a["_rid"] == hit["r1"], "left_anti").drop("_rid")
+    c1, c2 = interval_cols(cols1), interval_cols(cols2)
+    on = _check_on(on, c1, c2)
+    hit = _hit_contents(df1, df2, c1, c2, on, width)
+    return df1.join(hit, _on_content(df1, hit, c1, on), "left_anti")
 
 
 def semi(df1: DataFrame, df2: DataFrame, *, cols1=None, cols2=None, on: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Rows of df1 that overlap something in df2, once each."""
-    a, hit = _matched(df1, df2, cols1, cols2, on, width)
-    return a.join(hit, a["_rid"] == hit["r1"], "left_semi").drop("_rid")
+    c1, c2 = interval_cols(cols1), interval_cols(cols2)
+    on = _check_on(on, c1, c2)
+    hit = _hit_contents(df1, df2, c1, c2, on, width)
+    return df1.join(hit, _on_content(df1, hit, c1, on), "left_semi")
+
+
+def _summed(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: IntervalCols, on: list[str], value: Column, name: str, suffix: str, return_input: bool, width: int | None) -> DataFrame:
+    """df1 with the sum of `value` over the rows of df2 that overlap each row, 0 for none and for null rows."""
+    keys = [f"_k{i}" for i in range(len(on))]
+    mine = df1.select(*_content(df1, c1, on)).distinct()
+    two = df2.select(*_content(df2, c2, on))
+    names = IntervalCols("_c", "_s", "_e")
+    n = met(mine, two, names, names, keys, [F.struct("_c", "_s", "_e", *keys).alias("_x")], [], width).groupBy("_x").agg(F.sum(value).alias("_n")).select("_x.*", "_n")
+    out = df1.join(n, _on_content(df1, n, c1, on), "left")
+    keep = [df1[f"`{c}`"].alias(f"{c}{suffix}") for c in df1.columns] if return_input else []
+    return out.select(*keep, F.coalesce("_n", F.lit(0)).cast("long").alias(name))
 
 
 def count_overlaps(df1: DataFrame, df2: DataFrame, *, suffixes=("", "_"), return_input: bool = True, cols1=None, cols2=None, on: list[str] | None = None, width: int | None = None) -> DataFrame:
     """df1 with count: how many rows of df2 overlap each row, 0 for none and for null rows."""
     c1, c2 = interval_cols(cols1), interval_cols(cols2)
-    on = _check_on(on, c1, c2)
-    a, b = numbered(df1), df2.withColumn("_rid", F.lit(0).cast("long"))
-    n = pairs(a, b, c1, c2, on, width=width).groupBy("r1").agg(F.count("*").alias("_n"))
-    out = a.join(n, a["_rid"] == n["r1"], "left")
-    keep = [F.col(f"`{c}`").alias(f"{c}{suffixes[0]}") for c in df1.columns] if return_input else []
-    return out.select(*keep, F.coalesce("_n", F.lit(0)).cast("long").alias("count"))
+    return _summed(df1, df2, c1, c2, _check_on(on, c1, c2), F.lit(1).cast("long"), "count", suffixes[0], return_input, width)
 
 
 def coverage(df1: DataFrame, df2: DataFrame, *, suffixes=("", "_"), return_input: bool = True, cols1=None, cols2=None, width: int | None = None) -> DataFrame:
@@ -148,12 +227,6 @@ def coverage(df1: DataFrame, df2: DataFrame, *, suffixes=("", "_"), return_input
     from axisweave.operators.islands import merge
 
     c1, c2 = interval_cols(cols1), interval_cols(cols2)
-    a = numbered(df1)
-    b = numbered(merge(df2.select(*c2), cols=c2).where(F.col(c2.chrom).isNotNull()).select(*c2))
-    p = pairs(a, b, c1, c2, [], width=width)
-    x = a.select(F.col("_rid").alias("r1"), F.col(c1.start).alias("s1"), F.col(c1.end).alias("e1"))
-    y = b.select(F.col("_rid").alias("r2"), F.col(c2.start).alias("s2"), F.col(c2.end).alias("e2"))
-    n = p.join(x, "r1").join(y, "r2").groupBy("r1").agg(F.sum(F.greatest(F.lit(0).cast("long"), F.least("e1", "e2") - F.greatest("s1", "s2"))).alias("_n"))
-    out = a.join(n, a["_rid"] == n["r1"], "left")
-    keep = [F.col(f"`{c}`").alias(f"{c}{suffixes[0]}") for c in df1.columns] if return_input else []
-    return out.select(*keep, F.coalesce("_n", F.lit(0)).cast("long").alias("coverage"))
+    b = merge(df2.select(*c2), cols=c2).where(F.col(c2.chrom).isNotNull()).select(*c2)
+    both = F.greatest(F.lit(0).cast("long"), F.least("_e1", "_e2") - F.greatest("_s1", "_s2"))
+    return _summed(df1, b, c1, c2, [], both, "coverage", suffixes[0], return_input, width)

@@ -99,13 +99,14 @@ def closest(
 
 def pair_by_distance(
     df: DataFrame, min_sep: int, max_sep: int, min_intervening: int | None = None, max_intervening: int | None = None, relative_to: str = "midpoints", *,
-    cols=None, return_index: bool = False, keep_order: bool = False, suffixes=("_1", "_2"),
+    cols=None, return_index: bool = False, keep_order: bool = False, suffixes=("_1", "_2"), tie: list[str] | None = None,
 ) -> DataFrame:
     """Pairs of one axis, the first before the second in order of start, whose separation lies within the bounds.
 
     Separation is that of midpoints (rounded down) or of endpoints (the first's end to the second's start). Half-open probes
     make both bounds exclusive, but where a probe is a point the lower one is inclusive. *_intervening bounds the number of
-    intervals between the two in the order of axis, start and end.
+    intervals between the two in the order of axis, start and end, then of the columns `tie`, which must tell rows apart;
+    without them rows are numbered as the table gives them. The two rows travel with their pair, so nothing is joined back.
     """
     if min_sep >= max_sep:
         raise ValueError("min_sep must be below max_sep")
@@ -115,13 +116,16 @@ def pair_by_distance(
     if relative_to not in ("midpoints", "endpoints"):
         raise ValueError("relative_to must be midpoints or endpoints")
     c = interval_cols(cols)
-    a = numbered(df)
+    index = return_index or keep_order or tie is None
+    a = numbered(df) if index else df
     part = a.where(F.col(c.chrom).isNotNull() & F.col(c.start).isNotNull() & F.col(c.end).isNotNull())
-    part = part.select(F.col(c.chrom).alias("c"), F.col(c.start).alias("s"), F.col(c.end).alias("e"), F.col("_rid").alias("r"))
-    part = stored(running(part, ["c"], "s", [F.col("s"), F.col("e"), F.col("r")], {"i": (F.lit(1).cast("long"), "sum")}), "order")
+    last = ["r"] if tie is None else [f"_t{i}" for i in range(len(tie))]
+    names = [F.col(x).alias(f"_t{i}") for i, x in enumerate(tie or [])]
+    part = part.select(F.col(c.chrom).alias("c"), F.col(c.start).alias("s"), F.col(c.end).alias("e"), (F.col("_rid") if index else F.lit(0)).alias("r"), *names, F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("_x"))
+    part = stored(running(part, ["c"], "s", [F.col("s"), F.col("e"), *map(F.col, last)], {"i": (F.lit(1).cast("long"), "sum")}).drop(*[f"_t{i}" for i in range(len(tie or []))]), "order")
     mid = floor_div(F.col("s") + F.col("e"), 2)
-    x = part.select("c", F.col("r").alias("r1"), F.col("i").alias("i1"), (mid if relative_to == "midpoints" else F.col("e")).alias("p1"))
-    y = part.select(F.col("c").alias("c2"), F.col("r").alias("r2"), F.col("i").alias("i2"), (mid if relative_to == "midpoints" else F.col("s")).alias("p2"))
+    x = part.select("c", "_x", F.col("r").alias("r1"), F.col("i").alias("i1"), (mid if relative_to == "midpoints" else F.col("e")).alias("p1"))
+    y = part.select(F.col("c").alias("c2"), F.col("_x").alias("_y"), F.col("r").alias("r2"), F.col("i").alias("i2"), (mid if relative_to == "midpoints" else F.col("s")).alias("p2"))
     width = max(1, max_sep - min(0, min_sep))
     bins = F.explode(F.sequence(floor_div(F.col("p1") + min(0, min_sep), width), floor_div(F.col("p1") + max_sep, width)))
     d = F.col("p2") - F.col("p1")
@@ -130,9 +134,7 @@ def pair_by_distance(
     between = F.col("i2") - F.col("i1") - 1
     ok = (F.col("i2") > F.col("i1")) & (between >= lo) & (F.lit(True) if hi is None else between <= hi)
     x, y = x.withColumn("b", bins), y.withColumn("b2", floor_div(F.col("p2"), width))
-    p = x.join(y, (F.col("c") == F.col("c2")) & (F.col("b") == F.col("b2"))).where(within & ok).select("r1", "r2")
-    l, r = a.select(F.col("_rid").alias("r1"), F.struct(*df.columns).alias("_x")), a.select(F.col("_rid").alias("r2"), F.struct(*df.columns).alias("_y"))
-    out = p.join(l, "r1").join(r, "r2")
+    out = x.join(y, (F.col("c") == F.col("c2")) & (F.col("b") == F.col("b2")) & within & ok)
     if keep_order:
         out = out.orderBy("r1", "r2")
     sx, sy = suffixes

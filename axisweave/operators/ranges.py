@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisweave.config import interval_cols
+from axisweave.config import IntervalCols, interval_cols
 from axisweave.functions.regions import parse_region
-from axisweave.operators.joins import wide_end
+from axisweave.operators.joins import _content, _on_content, met
 from axisweave.storage import numbered
 
 LAST = 9_223_372_036_854_775_807
@@ -72,13 +72,12 @@ def expand(df: DataFrame, pad: int | None = None, scale: float | None = None, si
 def assign_view(df: DataFrame, view_df: DataFrame, drop_unassigned: bool = False, df_view_col: str = "view_region", view_name_col: str = "name", cols=None, cols_view=None) -> DataFrame:
     """df with the name of the region that each row overlaps most (ties: the region of smaller start, then name). Rows without one get null or, with drop_unassigned, go with all rows that have any null."""
     c, v = interval_cols(cols), interval_cols(cols_view)
-    a = numbered(df)
-    s, e = F.col(c.start), F.col(c.end)
-    view = view_df.select(F.col(v.chrom).alias("_vc"), F.col(v.start).alias("_vs"), F.col(v.end).alias("_ve"), F.col(view_name_col).alias("_vn"))
-    hit = (F.col(c.chrom) == F.col("_vc")) & (s < wide_end(F.col("_vs"), F.col("_ve"))) & (F.col("_vs") < wide_end(s, e))
-    size = F.least(e, F.col("_ve")) - F.greatest(s, F.col("_vs"))
-    m = a.join(view, hit).groupBy("_rid").agg(F.min(F.struct((-size).alias("l"), "_vs", "_vn"))["_vn"].alias(df_view_col)).withColumnRenamed("_rid", "_r")
-    out = a.join(m, F.col("_rid") == F.col("_r"), "left").drop("_rid", "_r")
+    view = view_df.select(F.col(v.chrom).alias("_vc"), F.col(v.start).cast("long").alias("_vs"), F.col(v.end).cast("long").alias("_ve"), F.col(view_name_col).alias("_vn"))
+    mine, names = df.select(*_content(df, c, [])).distinct(), IntervalCols("_c", "_s", "_e")
+    m = met(mine, view, names, IntervalCols("_vc", "_vs", "_ve"), [], [], [F.col("_vn")])
+    size = F.least("_e1", "_e2") - F.greatest("_s1", "_s2")
+    m = m.groupBy(F.col("_c1").alias("_c"), F.col("_s1").alias("_s"), F.col("_e1").alias("_e")).agg(F.min(F.struct((-size).alias("l"), F.col("_s2").alias("s"), F.col("_vn").alias("n")))["n"].alias(df_view_col))
+    out = df.join(m, _on_content(df, m, c, []), "left").drop("_c", "_s", "_e")
     return out.dropna() if drop_unassigned else out
 
 

@@ -40,3 +40,19 @@ def running(df: DataFrame, keys: list[str], pos: str, order: list[Column], value
         h, p = F.col(f"_h_{n}"), F.col(f"_p_{n}")
         df = df.withColumn(n, F.greatest(h, p) if how == "max" else F.coalesce(h, F.lit(0)) + F.coalesce(p, F.lit(0)))
     return df.drop("_s", *[f"_k{i}" for i in range(len(names))], *[f"_{x}_{n}" for n in values for x in "hp"])
+
+
+def beside(df: DataFrame, keys: list[str], pos: str, order: list[str], value: Column, name: str, *, ahead: bool = False, stretch: int = STRETCH) -> DataFrame:
+    """Add column `name`: the value of the row before this one of `keys` in `order` (columns, led by pos), or of the one after it with ahead; null where there is none.
+
+    Two levels as in running(): the neighbour within the stretch, and at a stretch's border the outermost row of the next stretch that has any.
+    """
+    df = df.withColumn("_s", floor_div(F.col(pos), stretch)).withColumn("_v", F.struct(value.alias("v")))
+    names = [*keys, "_s"]
+    edge = (F.min if ahead else F.max)(F.struct(*order, "_v"))["_v"]
+    total = df.groupBy(*names).agg(edge.alias("_e"))
+    move = F.lead if ahead else F.lag
+    total = total.select(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(names)], move("_e").over(Window.partitionBy(*keys).orderBy("_s")).alias("_p"))
+    df = df.withColumn("_h", move("_v").over(Window.partitionBy(*names).orderBy(*order)))
+    df = df.join(total, reduce(lambda a, b: a & b, (df[n].eqNullSafe(total[f"_k{i}"]) for i, n in enumerate(names))), "left")
+    return df.withColumn(name, F.coalesce("_h", "_p")["v"]).drop("_s", "_v", "_h", "_p", *[f"_k{i}" for i in range(len(names))])

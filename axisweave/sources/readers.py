@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from axisweave.functions.genome import natural_key
 from axisweave.operators.ranges import region_predicate
+from axisweave.sources.binary import read_bam_files
 from axisweave.sources.formats import DEFAULT_PATTERNS, SCHEMAS
 
 
@@ -51,9 +52,11 @@ def load_fasta(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_alignments(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Alignments of a SAM file: twelve fields, POS from 0, CIGAR null where MAPQ is 0, TAGs as a JSON object. Binary formats need a decoder that is not at hand and raise ValueError."""
+    """Alignments of a SAM or BAM file: twelve fields, POS from 0, CIGAR null where MAPQ is 0, TAGs as a JSON object. Other formats raise ValueError."""
+    if path.endswith(".bam"):
+        return _of_region(read_bam_files(spark, path), chrom, start, end)
     if not re.search(r"\.sam(\.gz)?$", path):
-        raise ValueError("only .sam files can be read")
+        raise ValueError("only .sam and .bam files can be read")
     rows = spark.read.text(path).where(~F.col("value").startswith("@"))
     f = F.split("value", "\t", -1)
     tag = F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.regexp_extract(x, r"^[^:]*:[^:]*:(.*)$", 1).alias("value")))
@@ -64,6 +67,10 @@ def read_alignments(spark: SparkSession, path: str, chrom: str | None = None, st
         get(0).alias("QNAME"), get(1).cast("int").alias("FLAG"), get(2).alias("RNAME"), pos.alias("POS"), mapq.alias("MAPQ"), F.when(mapq != 0, get(5)).alias("CIGAR"), get(6).alias("RNEXT"),
         (get(7).cast("long") - 1).alias("PNEXT"), get(8).cast("long").alias("TLEN"), get(9).alias("SEQ"), get(10).alias("QUAL"), F.to_json(F.map_from_entries(tag)).alias("TAGs"),
     )
+    return _of_region(df, chrom, start, end)
+
+
+def _of_region(df: DataFrame, chrom: str | None, start: int | None, end: int | None) -> DataFrame:
     if chrom is not None:
         df = df.where(F.col("RNAME") == chrom)
         df = df.where(F.col("POS") < end) if end is not None else df

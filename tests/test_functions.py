@@ -85,7 +85,7 @@ def test_files(spark, tmp_path):
     got = readers.read_alignments(spark, str(sam)).orderBy("QNAME").collect()
     assert got[0]["POS"] == 6 and got[0]["TAGs"] == '{"NM":"1"}' and got[1]["CIGAR"] is None
     with pytest.raises(ValueError):
-        readers.read_alignments(spark, "x.bam")
+        readers.read_alignments(spark, "x.cram")
     text = bed.to_bed(df.select("chrom", "start", "end"), schema="bed6")
     assert text.splitlines()[0] == "chr2\t1\t5\t.\t0\t."
     bed.to_bed(df, str(tmp_path / "out"), schema="bed6")
@@ -96,6 +96,74 @@ def test_files(spark, tmp_path):
         bed.to_bed(df.withColumn("start", F.col("start").cast("double")))
 
 
+def _block_file(path, magic, blocks, chroms, fields=0, auto=b""):
+    """A bigWig or bigBed file by hand: one list of chromosomes, compressed blocks, and an index of one leaf."""
+    import struct
+    import zlib
+
+    key = max(map(len, chroms))
+    tree = struct.pack("<IIIIQQ", 0x78CA8C91, 256, key, 8, len(chroms), 0) + struct.pack("<BBH", 1, 0, len(chroms))
+    tree += b"".join(struct.pack(f"<{key}sII", n.encode(), k, size) for k, (n, size) in enumerate(chroms.items()))
+    head = 64 + len(auto)
+    data, leaves = b"", b""
+    for (chrom, lo, hi), raw in blocks:
+        packed = zlib.compress(raw)
+        leaves += struct.pack("<IIIIQQ", chrom, lo, chrom, hi, head + len(tree) + len(data), len(packed))
+        data += packed
+    index = struct.pack("<IIQIIIIQII", 0x2468ACE0, 256, len(blocks), 0, 0, len(chroms), 1000, 0, 1, 0) + struct.pack("<BBH", 1, 0, len(blocks)) + leaves
+    top = struct.pack("<IHHQQQHHQQIQ", magic, 4, 0, head, head + len(tree), head + len(tree) + len(data), fields, fields, 64 if auto else 0, 0, 1 << 16, 0)
+    path.write_bytes(top.ljust(64, b"\0") + auto + tree + data + index)
+
+
+def test_big_files(spark, tmp_path):
+    import struct
+
+    from axisweave.sources import binary
+
+    chroms = {"chr1": 500, "chr2": 300}
+    graph = struct.pack("<IIIIIBBH", 0, 0, 20, 0, 0, 1, 0, 2) + struct.pack("<IIfIIf", 0, 5, 1.5, 10, 20, 2.0)
+    steps = struct.pack("<IIIIIBBH", 1, 100, 130, 10, 5, 3, 0, 3) + struct.pack("<fff", 1, 2, 3)
+    places = struct.pack("<IIIIIBBH", 0, 30, 60, 0, 4, 2, 0, 2) + struct.pack("<IfIf", 30, 0.5, 50, 0.25)
+    f = tmp_path / "x.bw"
+    _block_file(f, binary.BIGWIG, [((0, 0, 20), graph), ((0, 30, 60), places), ((1, 100, 130), steps)], chroms)
+    want = [("chr1", 0, 5, 1.5), ("chr1", 10, 20, 2.0), ("chr1", 30, 34, 0.5), ("chr1", 50, 54, 0.25), ("chr2", 100, 105, 1.0), ("chr2", 110, 115, 2.0), ("chr2", 120, 125, 3.0)]
+    assert sorted(rows(binary.read_bigwig(spark, str(f)))) == want
+    assert sorted(rows(binary.read_bigwig(spark, str(f), "chr1", 12, 40))) == want[1:3]
+    with pytest.raises(ValueError):
+        binary.read_bigwig(spark, str(f), "chrX")
+    with pytest.raises(ValueError):
+        binary.read_bigbed(spark, str(f))
+    b = tmp_path / "x.bb"
+    entries = struct.pack("<III", 0, 3, 9) + b"a\t7\0" + struct.pack("<III", 0, 20, 25) + b"b\t8\0"
+    auto = b'table x "y"\n(\nstring chrom; "c"\nuint chromStart; "s"\nuint chromEnd; "e"\nstring label; "l"\nuint score; "n"\n)\0'
+    _block_file(b, binary.BIGBED, [((0, 3, 25), entries)], chroms, 5, auto)
+    df = binary.read_bigbed(spark, str(b))
+    assert df.columns == ["chrom", "start", "end", "label", "score"] and sorted(rows(df)) == [("chr1", 3, 9, "a", "7"), ("chr1", 20, 25, "b", "8")]
+    assert rows(binary.read_bigbed(spark, str(b), "chr1", 10)) == [("chr1", 20, 25, "b", "8")]
+
+
+def test_bam(spark, tmp_path):
+    import gzip
+    import struct
+
+    def record(name, flag, ref, pos, mapq, cigar, seq, qual, tags):
+        ops = b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(op)) for n, op in cigar)
+        code = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0]
+        packed = bytes(code[i] << 4 | code[i + 1] for i in range(0, len(seq), 2))
+        raw = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + ops + packed + qual + tags
+        return struct.pack("<i", len(raw)) + raw
+
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 4) + b"ref\0" + struct.pack("<i", 45)
+    tags = b"NMC\x02" + b"XSZhi\0" + b"XBBs" + struct.pack("<Ihh", 2, -1, 5)
+    body = record("r1", 0, 0, 6, 30, [(3, "M"), (2, "S")], "ACGTN", bytes([0, 1, 2, 3, 4]), tags) + record("r2", 4, -1, -1, 0, [], "", b"", b"")
+    f = tmp_path / "x.bam"
+    f.write_bytes(gzip.compress(head) + gzip.compress(body[:40]) + gzip.compress(body[40:]) + gzip.compress(b""))
+    got = {r["QNAME"]: tuple(r)[1:] for r in readers.read_alignments(spark, str(f)).collect()}
+    assert got["r1"] == (0, "ref", 6, 30, "3M2S", "*", -1, 0, "ACGTN", "!\"#$%", '{"NM":"2","XS":"hi","XB":"s,-1,5"}')
+    assert got["r2"] == (4, "*", -1, 0, None, "*", -1, 0, "*", "*", "{}")
+    assert [r["QNAME"] for r in readers.read_alignments(spark, str(f), "ref", 5, 8).collect()] == ["r1"]
+
+
 def test_bed12_and_gtf(spark):
     row = ("chr1", 100, 200, "n", 5, "+", 100, 200, "255,0,0", 2, "10,20,", "0,80,")
     df = spark.createDataFrame([row], "chrom string, start long, end long, name string, score int, strand string, thickStart long, thickEnd long, itemRgb string, blockCount int, blockSizes string, blockStarts string")
