@@ -170,24 +170,24 @@ def _apart(x, y):
 
 
 def _linked(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """id (class) and component of the classes that share a band with another one; docs has id and text."""
+    """id (class), component, last (document) and first (id and at) of the classes that share a band with another one; docs has id and text. The classes are removed."""
     keys = classes.select(F.explode("sig").alias("h"), "e", "id", "at", "n")
     # bands of neighbours in one text that all overlap have no pair to compare
     shared = keys.groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("at").alias("last"), F.min(F.col("at") + F.col("n")).alias("first"))
     shared = stored(shared.where("k > 1 and (lo <> hi or first <= last)").select("h", "k"), "paragraph-bands")
     member = stored(keys.select("h", "e").join(shared, "h"), "paragraph-keys")
     # paragraphs that meet the most others come first
-    place = classes.join(member.groupBy("e").agg(F.sum("k").alias("k")), "e").select("e", "id", "at", "n", "k")
+    place = classes.join(member.groupBy("e").agg(F.sum("k").alias("k")), "e").select("e", "id", "at", "n", "k", "last")
     place = stored(place, "paragraph-places")
     sets = stored(_sets(place.select("e", "id", "at", "n"), docs, size), "paragraph-sets")
     sizes = sets.groupBy(F.col("e").alias("id")).agg(F.max(F.size("s")).cast("long").alias("size"), F.min(F.size("s")).cast("long").alias("n0"))
     who = place.select("e", F.struct("id", "at", "n").alias("x"), (-F.col("k")).alias("o")).join(sizes, F.col("e") == F.col("id")).drop("id")
     every = member.select("h", "e").join(who, "e").select(F.col("h").alias("key"), F.col("e").alias("id"), F.col("size").alias("n"), "n0", "o", F.col("e").alias("c"), "x")
     every = stored(every, "paragraph-members")
-    dropped(shared, member, place)
-    label = link_sets(every, sets.withColumnRenamed("e", "id"), percent, _apart)
+    dropped(classes, shared, member)
+    label = link_sets(every, sets.withColumnRenamed("e", "id"), percent, _apart, rounds=2)
     dropped(sets)
-    return label.withColumnRenamed("c", "component")
+    return label.withColumnRenamed("c", "component").join(place.select(F.col("e").alias("id"), "last", F.struct("id", "at").alias("first")), "id")
 
 
 def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -207,8 +207,11 @@ def repeated_paragraphs(docs: DataFrame, *, text: str = "text", key: str = "doc_
     # the plain rows of a class: its first place, how many it has, and its last document
     first = F.min(F.struct("id", "at", "n", "sig")).alias("r")
     classes = stored(units.groupBy("e").agg(first, F.max("id").alias("last")).select("e", "last", "r.*"), "paragraph-classes")
+    again = stored(classes.where("last <> id").select("e", "last", "id", "at"), "paragraph-repeats")
     comp = _linked(classes, docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null"), size, percent)
-    dup = classes.select("e", "last", "id", "at").join(comp.withColumnRenamed("id", "e"), "e", "left").where("last <> id or component is not null")
+    comp = comp.withColumnRenamed("id", "e")
+    single = again.join(comp.select("e"), "e", "left_anti").withColumn("component", F.lit(None).cast("long"))
+    dup = comp.select("e", "last", "first.*", "component").unionByName(single)
     dup = dup.withColumn("cluster", F.coalesce("component", "e"))
     keep = dup.groupBy("cluster").agg(F.min(F.struct("id", "at")).alias("keep"), F.max("last").alias("last")).where("last <> keep.id")
     dup = stored(dup.join(keep, "cluster").select("e", "cluster", F.col("keep.id").alias("kid")), "paragraph-clusters")
