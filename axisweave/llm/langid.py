@@ -69,7 +69,7 @@ def text_model(counts: DataFrame, langs: list[str]) -> np.ndarray:
 
 
 def text_scores(df: DataFrame, model: np.ndarray) -> DataFrame:
-    """id and carried columns of df, with n (trigrams) and ll (log likelihood of the text by language)."""
+    """id and carried columns of df, with n (trigrams) and ll (log likelihood of the text by language). Null texts and those under three bytes have no trigrams and zeros; without languages ll is empty."""
     keep = [f for f in df.schema.fields if f.name != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,8 @@ def host_priors(df: DataFrame, size: int) -> DataFrame:
     """host and prior (P(language) by language number), from columns host and best.
 
     A host's counts are smoothed towards its parent domain's, those towards the next parent's, up to all rows. Counts
-    are grouped sums; a host's chain has a level for each of its labels.
+    are grouped sums; a host's chain has a level for each of its labels. A null host is the empty one; rows without a best language
+    add nothing, and without any all languages are alike. An empty table gives no rows.
     """
     parts = F.split(F.coalesce("host", F.lit("")), r"\.", -1)
     depth = F.size(parts)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from axisweave.llm.text import WORD, stored
 
-#: Repeats of a source at most, shards of every source's stream at least, words of a run at most, runs of all sources in a shard at most, and buckets of the seeded order.
-MAX_REPEATS, SHARDS, BLOCK, SHARD_BLOCKS, BUCKETS = 3, 16, 64, 1 << 20, 256
+#: Repeats of a source at most, shards of every source's stream at least, words of a run at most, runs of all sources in a shard at most, buckets of the seeded order at least, and words of all sources for each bucket.
+MAX_REPEATS, SHARDS, BLOCK, SHARD_BLOCKS, BUCKETS, BUCKET_WORDS = 3, 16, 64, 1 << 20, 256, 1 << 20
 SEED = "mix"
 
 
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str
     part = stored(part.withColumn("past", F.coalesce(F.sum("sum").over(past), F.lit(0))), "parts")
 
     # each row's place in its source's stream: place of its bucket, then place in the bucket
-    sized = sized.withColumn("bucket", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % BUCKETS)
+    sized = sized.withColumn("bucket", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % max(BUCKETS, total // BUCKET_WORDS))
     totals = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
@@ -164,7 +164,7 @@ word AS (SELECT *, CASE WHEN cells > 0 THEN ((x + 1) * cells - 1) // length END
 edge AS (SELECT *, length * c // cells AS cb, length * (c + 1) // cells AS ce FROM word),
 run AS (SELECT *, extra * ce // length - extra * cb // length AS r FROM edge),
 took AS (SELECT source, b + x AS pos, each + CASE WHEN cells > 0 AND x - cb >= (ce - cb - r) * phase // 65536 AND x - cb < (ce - cb - r) * phase // 65536 + r THEN 1 ELSE 0 END AS t FROM run),
-place AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(h, 1, 8))::BIGINT % {BUCKETS}, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d),
+place AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(h, 1, 8))::BIGINT % greatest({BUCKETS}, total // {BUCKET_WORDS}), h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d, tot),
 docword AS (SELECT doc_id, source, unnest(range(pos, pos + size)) AS pos FROM place),
 taken AS (SELECT w.doc_id, sum(t)::BIGINT AS taken FROM docword w JOIN took ON w.source IS NOT DISTINCT FROM took.source AND w.pos = took.pos GROUP BY w.doc_id)
 SELECT d.doc_id, d.size, tar.source_size, tar.target, coalesce(taken.taken, 0)::BIGINT AS taken

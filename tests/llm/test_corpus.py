@@ -88,6 +88,59 @@ def test_quality(spark, docs, texts, odd):
     assert quality.quality_rules(odd.limit(0), odd).isEmpty()
 
 
+def test_quality_verdict(spark, docs, texts):
+    """llr and kept by counting every hashed word and pair again, with a tie at the threshold."""
+    import xxhash
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    word = lambda w, seed=42: xxhash.xxh64(w.encode(), seed).intdigest()
+    found = {k: WORD.findall(t or "") for k, t in texts.items()}
+    grams = {k: [signed(word(x)) % 8192 for x in w] + [signed(word(b, word(a))) % 8192 for a, b in zip(w, w[1:])] for k, w in found.items()}
+    target = {r["doc_id"] for r in labels.collect()}
+    raw, good = Counter(x for g in grams.values() for x in g), Counter(x for k, g in grams.items() if k in target for x in g)
+    ratio = lambda b: np.log((good[b] + 0.5) / (sum(good.values()) + 4096)) - np.log((raw[b] + 0.5) / (sum(raw.values()) + 4096))
+    of = {b: ratio(b) for b in raw}
+    want = {k: np.mean([of[b] for b in g]) if g else 0.0 for k, g in grams.items()}
+    edge = sorted(want.values())[len(want) // 3]
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, labels, threshold=float(edge) - 1e-9).collect()}
+    assert all(abs(got[k]["llr"] - v) < 1e-7 for k, v in want.items())
+    assert all(got[k]["kept"] == (not got[k]["base_failed"] and v >= edge - 1e-9) for k, v in want.items())
+
+
+def test_ids_and_texts_that_repeat(spark):
+    """Rows of one id and different texts are told apart, and null ids keep their matches."""
+    d = spark.createDataFrame([(1, "a b c d x x x x"), (1, "y y y y e f g h"), (None, "a b c d e f g h"), (2, "q a b c d e f g h")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d e f g h"), (8, "a b c d e f g h"), (7, "r s")], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(d, items).collect())
+    assert got == [(0, 8, 2, True), (1, 0, 0, False), (1, 0, 0, False), (2, 8, 2, True)]
+    twice = spark.createDataFrame([(5, "one two three four"), (5, "six seven eight nine"), (6, "one two three four"), (7, "six seven eight nine"), (8, "ten")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(twice, size=2).collect()) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
+def test_left_over_loses_no_link(spark):
+    """The exact search around a pivot against all pairs, on families of random edits."""
+    r = random.Random(4)
+    sets = {}
+    for family in range(3):
+        origin = r.sample(range(1000 * family, 1000 * family + 200), 60)
+        for _ in range(40):
+            s = set(origin) - set(r.sample(origin, r.randrange(14)))
+            sets[len(sets)] = s | set(r.sample(range(5000 + 10 * family, 5000 + 10 * family + 40), r.randrange(12)))
+    at = spark.createDataFrame([(i // 40, i, len(s), len(s), r.random(), i) for i, s in sets.items()], "key long, id long, n long, n0 long, o double, c long")
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    for rounds in (0, 2):
+        got = {x["id"]: x["c"] for x in neardup.link_sets(neardup.stored(at, "t"), rows, 80, rounds=rounds).collect()}
+        top = {i: i for i in sets}
+        for i in sets:
+            for j in sets:
+                both = len(sets[i] & sets[j])
+                if i // 40 == j // 40 and 100 * both >= 80 * len(sets[i] | sets[j]) and top[i] != top[j]:
+                    lo, hi = sorted((top[i], top[j]))
+                    top = {k: lo if v == hi else v for k, v in top.items()}
+        assert got == top and 3 < len(set(top.values())) < len(sets)
+
+
 def test_substring(spark, docs, odd):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
@@ -478,6 +531,16 @@ def test_language(spark, docs, odd):
     assert not any(r["kept"] for r in langid.documents_language(odd.withColumn("lang", F.lit(None).cast("string"))).collect())
 
 
+def test_language_of_rows_that_declare_nothing(spark):
+    """Rows that nothing is learnt from, as they declare no language and have no page: the text and the host decide."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    hidden = docs.withColumn("lang", F.when(~out, F.col("lang")))
+    got = langid.documents_language(hidden).join(docs.where(out).where("length(text) >= 40").select("doc_id", "lang"), "doc_id")
+    right, n = got.where("language = lang and kept").count(), got.count()
+    assert n > 100 and right >= 0.97 * n
+
+
 def test_text_outweighs_wrong_declaration(spark, docs):
     wrong = docs.where("lang = 'fr'").limit(1).select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.lit("de").alias("lang"), F.lit(None).cast("string").alias("source"), "n_chars")
     got = langid.documents_language(docs.unionByName(wrong)).where("doc_id >= 1000000").first()
