@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from axisweave.config import IntervalCols, interval_cols
 from axisweave.operators.joins import met
 from axisweave.operators.ranges import LAST
-from axisweave.operators.running import running
+from axisweave.operators.running import running, stretch_of
 from axisweave.storage import numbered
 
 
@@ -28,7 +28,7 @@ def complement(df: DataFrame, view_df: DataFrame | None = None, view_name_col: s
         names = IntervalCols("_vc", "_lo", "_hi")
         rows = met(df.select(*c), view, c, names, [], [], [F.struct(*keys).alias("_v")]).select("_v.*", F.greatest("_s1", "_s2").alias("start"), F.least("_e1", "_e2").alias("end"))
     # a gap lies before each row that starts beyond all earlier ends; points cut a gap in two
-    rows = running(rows, keys, "start", [F.col("start"), F.col("end")], {"_far": (F.col("end"), "max")}, upto=-1)
+    rows = running(rows, keys, "start", [F.col("start"), F.col("end")], {"_far": (F.col("end"), "max")}, upto=-1, stretch=stretch_of(rows, keys, "start"))
     gaps = rows.where((F.col("_far").isNull() & (F.col("start") > F.col("_lo"))) | (F.col("start") > F.col("_far"))).select(*keys, F.coalesce("_far", "_lo").alias("start"), F.col("start").alias("end"))
     ends = rows.groupBy(*keys).agg(F.max("end").alias("z"))
     tail = ends.where("z < _hi").select(*keys, F.col("z").alias("start"), F.col("_hi").alias("end"))

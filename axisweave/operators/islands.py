@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisweave.config import interval_cols
-from axisweave.operators.running import beside, running
+from axisweave.operators.running import beside, running, stretch_of
 from axisweave.storage import numbered
 
 
@@ -22,12 +22,13 @@ def _islands(df: DataFrame, c, on: list[str], min_dist: int | None, tie: list[st
     """Add _island, the number of the cluster within its axis and keys, from 1 in order of start."""
     keys = [c.chrom, *on]
     order = [F.col(c.start), F.col(c.end), *[F.col(t) for t in tie]]
-    df = running(df, keys, c.start, order, {"_far": (F.col(c.end), "max")}, upto=-1)
+    wide = stretch_of(df, keys, c.start)
+    df = running(df, keys, c.start, order, {"_far": (F.col(c.end), "max")}, upto=-1, stretch=wide)
     s, far = F.col(c.start), F.col("_far")
     # as differences, so that an end at the largest long does not overflow
     apart = (s >= far) if min_dist is None else (s > far) & (s - far > min_dist)
     df = df.withColumn("_border", F.when(far.isNull() | apart, 1).otherwise(0).cast("long"))
-    return running(df, keys, c.start, order, {"_island": (F.col("_border"), "sum")}).drop("_far", "_border")
+    return running(df, keys, c.start, order, {"_island": (F.col("_border"), "sum")}, stretch=wide).drop("_far", "_border")
 
 
 def _min_dist(min_dist):
@@ -102,11 +103,12 @@ def mark_runs(df: DataFrame, col: str, *, allow_overlaps: bool = False, reset_co
     names = [c.start, c.end, *(["_rid"] if tie is None else tie)]
     order = [F.col(n) for n in names]
     floating = dict(df.dtypes)[col] in ("float", "double")
-    a = running(a, [c.chrom], c.start, order, {"_far": (F.col(c.end), "max")}, upto=-1)
-    a = beside(a, [c.chrom], c.start, names, F.col(col), "_before")
+    wide = stretch_of(a, [c.chrom], c.start)
+    a = running(a, [c.chrom], c.start, order, {"_far": (F.col(c.end), "max")}, upto=-1, stretch=wide)
+    a = beside(a, [c.chrom], c.start, names, F.col(col), "_before", stretch=wide)
     border = F.col("_far").isNull() | (F.col(c.start) > F.col("_far")) | _changed(F.col(col), F.col("_before"), floating)
     a = a.withColumn("_b", border.cast("long"))
-    a = running(a, [c.chrom], c.start, order, {"_run": (F.col("_b"), "sum")})
+    a = running(a, [c.chrom], c.start, order, {"_run": (F.col("_b"), "sum")}, stretch=wide)
     number = F.col("_run") - 1
     if not reset_counter:
         n = a.groupBy(c.chrom).agg(F.max("_run").alias("_n"))
@@ -133,8 +135,9 @@ def depth_profile(df: DataFrame, weight: Column | None = None, *, cols=None) ->
     w = F.lit(1) if weight is None else weight
     ends = df.where(_whole(c, [])).select(F.col(c.chrom).alias("chrom"), F.explode(F.array(F.struct(F.col(c.start).alias("p"), w.alias("d")), F.struct(F.col(c.end).alias("p"), (-w).alias("d")))).alias("x"))
     ends = ends.groupBy("chrom", F.col("x.p").alias("start")).agg(F.sum("x.d").alias("d"))
-    deep = running(ends, ["chrom"], "start", [F.col("start")], {"depth": (F.col("d"), "sum")})
-    deep = beside(deep, ["chrom"], "start", ["start"], F.col("start"), "end", ahead=True)
+    wide = stretch_of(ends, ["chrom"], "start")
+    deep = running(ends, ["chrom"], "start", [F.col("start")], {"depth": (F.col("d"), "sum")}, stretch=wide)
+    deep = beside(deep, ["chrom"], "start", ["start"], F.col("start"), "end", ahead=True, stretch=wide)
     return deep.where("end is not null and depth <> 0").select("chrom", "start", "end", "depth")
 
 

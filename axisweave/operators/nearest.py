@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from axisweave.config import interval_cols
 from axisweave.operators.joins import pairs, wide_end
-from axisweave.operators.running import floor_div, running
+from axisweave.operators.running import floor_div, running, stretch_of
 from axisweave.storage import numbered, stored
 
 
-def _ranked(t: DataFrame, order: list[Column], pos: str) -> DataFrame:
+def _ranked(t: DataFrame, order: list[Column], pos: str, stretch: int) -> DataFrame:
     """Targets with rank, from 1 along each axis."""
-    return running(t, ["c"], pos, order, {"rank": (F.lit(1).cast("long"), "sum")})
+    return running(t, ["c"], pos, order, {"rank": (F.lit(1).cast("long"), "sum")}, stretch=stretch)
 
 
-def _reach(q: DataFrame, at: Column, t: DataFrame, pos: Column, targets_first: bool) -> DataFrame:
+def _reach(q: DataFrame, at: Column, t: DataFrame, pos: Column, targets_first: bool, stretch: int) -> DataFrame:
     """q, c and n: how many targets lie up to each query's place; targets at the same place count if they come first."""
     events = q.select("c", F.col("q"), at.alias("p"), F.lit(1 if targets_first else 0).alias("o"), F.lit(0).cast("long").alias("is"))
     events = events.unionByName(t.select("c", F.lit(None).cast("long").alias("q"), pos.alias("p"), F.lit(0 if targets_first else 1).alias("o"), F.lit(1).cast("long").alias("is")))
-    return running(events, ["c"], "p", [F.col("p"), F.col("o"), F.col("q")], {"n": (F.col("is"), "sum")}).where("q is not null").select("q", "c", "n")
+    return running(events, ["c"], "p", [F.col("p"), F.col("o"), F.col("q")], {"n": (F.col("is"), "sum")}, stretch=stretch).where("q is not null").select("q", "c", "n")
 
 
 def closest(
@@ -56,11 +56,12 @@ def closest(
     if not ignore_overlaps:
         p = pairs(a, b, c1, c2, [], "_q", "_t")
         found.append(p.select(F.col("r1").alias("q"), F.col("r2").alias("t")))
-    by_end = _ranked(t, [F.col("e2"), F.col("tie").desc(), F.col("t").desc()], "e2").select(F.col("c").alias("rc"), F.col("t"), "rank")
-    by_start = _ranked(t, [F.col("s2"), F.col("tie"), F.col("t")], "s2").select(F.col("c").alias("rc"), F.col("t"), "rank")
+    wide = min(stretch_of(t, ["c"], "s2"), stretch_of(q, ["c"], "s1"))
+    by_end = _ranked(t, [F.col("e2"), F.col("tie").desc(), F.col("t").desc()], "e2", wide).select(F.col("c").alias("rc"), F.col("t"), "rank")
+    by_start = _ranked(t, [F.col("s2"), F.col("tie"), F.col("t")], "s2", wide).select(F.col("c").alias("rc"), F.col("t"), "rank")
     for ranks, reach, lo, hi, up in (
-        (by_end, _reach(q, F.col("s1"), t, F.col("e2"), True), F.col("n") - n + 1, F.col("n"), ~F.col("minus")),
-        (by_start, _reach(q, F.col("e1"), t, F.col("s2"), False), F.col("n") + 1, F.col("n") + n, F.col("minus")),
+        (by_end, _reach(q, F.col("s1"), t, F.col("e2"), True, wide), F.col("n") - n + 1, F.col("n"), ~F.col("minus")),
+        (by_start, _reach(q, F.col("e1"), t, F.col("s2"), False, wide), F.col("n") + 1, F.col("n") + n, F.col("minus")),
     ):
         wanted = F.lit(True)
         if ignore_upstream:
@@ -122,7 +123,7 @@ def pair_by_distance(
     last = ["r"] if tie is None else [f"_t{i}" for i in range(len(tie))]
     names = [F.col(x).alias(f"_t{i}") for i, x in enumerate(tie or [])]
     part = part.select(F.col(c.chrom).alias("c"), F.col(c.start).alias("s"), F.col(c.end).alias("e"), (F.col("_rid") if index else F.lit(0)).alias("r"), *names, F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("_x"))
-    part = stored(running(part, ["c"], "s", [F.col("s"), F.col("e"), *map(F.col, last)], {"i": (F.lit(1).cast("long"), "sum")}).drop(*[f"_t{i}" for i in range(len(tie or []))]), "order")
+    part = stored(running(part, ["c"], "s", [F.col("s"), F.col("e"), *map(F.col, last)], {"i": (F.lit(1).cast("long"), "sum")}, stretch=stretch_of(part, ["c"], "s")).drop(*[f"_t{i}" for i in range(len(tie or []))]), "order")
     mid = floor_div(F.col("s") + F.col("e"), 2)
     x = part.select("c", "_x", F.col("r").alias("r1"), F.col("i").alias("i1"), (mid if relative_to == "midpoints" else F.col("e")).alias("p1"))
     y = part.select(F.col("c").alias("c2"), F.col("_x").alias("_y"), F.col("r").alias("r2"), F.col("i").alias("i2"), (mid if relative_to == "midpoints" else F.col("s")).alias("p2"))

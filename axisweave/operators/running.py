@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of the stretches that an axis is cut into.
-STRETCH = 1 << 16
+#: Usual width of the stretches that an axis is cut into, and rows that one should hold at most.
+STRETCH, STRETCH_ROWS = 1 << 16, 1 << 18
 
 
 def floor_div(x: Column, w: int) -> Column:
@@ -16,6 +16,17 @@ def floor_div(x: Column, w: int) -> Column:
     return ((x - F.pmod(x, F.lit(w))) / w).cast("long")
 
 
+def stretch_of(df: DataFrame, keys: list[str], pos: str) -> int:
+    """Width of stretches that suits the rows' density: narrower where one would hold too many rows, wider where most would be nearly empty. One job that gives three numbers."""
+    by = df.groupBy(*keys, floor_div(F.col(pos), STRETCH).alias("_s")).count().agg(F.max("count").alias("most"), F.count("*").alias("n"), F.sum("count").alias("rows")).first()
+    width, most, n = STRETCH, by["most"] or 0, by["n"]
+    while most > STRETCH_ROWS and width > 1:
+        width, most = width // 2, most / 2
+    while width >= STRETCH and most * 2 <= STRETCH_ROWS and n > max(64, (by["rows"] or 0) / 32) and width < 1 << 40:
+        width, most, n = width * 2, most * 2, n / 2
+    return width
+
+
 def same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
 
