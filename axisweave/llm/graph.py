@@ -12,8 +12,10 @@ def _roots(parent: DataFrame) -> DataFrame:
     """id and root of a forest given as id and root (a smaller id each): pointers are doubled until none changes."""
     parent = old = stored(parent, "parents")
     while True:
-        up = parent.select(F.col("id").alias("_at"), F.col("root").alias("_up"))
-        new = parent.join(up, F.col("root") == F.col("_at"), "left").select("id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
+        new = parent
+        for k in range(2):  # two doublings a table
+            up = parent.select(F.col("id").alias("_at"), F.col("root").alias("_up"))
+            new = new.join(up, F.col("root") == F.col("_at"), "left").select("id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
         new = stored(new, "parents")
         dropped(old)
         parent, old = new.drop("_moved"), new

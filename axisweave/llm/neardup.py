@@ -180,15 +180,22 @@ def _left_over(at: DataFrame, sets: DataFrame, percent: int, apart=None) -> Data
             one = against_close().groupBy("b", "c", "d").agg(F.min(F.struct(F.xxhash64("f", F.lit(turn)), "f"))["f"].alias("a"))
             led = led.unionByName(one.select("a", "b", "c", "d"))
         pairs = stored(led, "pairs")
-        was, links = links, stored(links.unionByName(_confirmed(pairs, sets, percent)), "links")
-        dropped(pairs, was)
-    to = components(links, "c", "d")
-    was, each = each, stored(_merged(each, to), "differences")
-    dropped(was)
-    if apart:
-        was, held = held, stored(_merged(held, to), "close")
+        new = stored(_confirmed(pairs, sets, percent), "links")
+        dropped(pairs)
+        if new.isEmpty():
+            break
+        was, links = links, stored(links.unionByName(new), "links")
+        dropped(was, new)
+    else:
+        turn = FAMILIES
+    if turn == FAMILIES:  # the last of them found links
+        to = components(links, "c", "d")
+        was, each = each, stored(_merged(each, to), "differences")
         dropped(was)
-    dropped(to)
+        if apart:
+            was, held = held, stored(_merged(held, to), "close")
+            dropped(was)
+        dropped(to)
     base = ["a", "b", "c", "np", "nq", "n", "ok", *more]
     added = each.select(*base, F.lit(True).alias("more"), F.explode("p").alias("e"))
     lacked = each.where(far * F.col("np") <= near_ * (F.col("n") + F.col("m") - F.col("nq"))).select(*base, F.lit(False).alias("more"), F.explode("q").alias("e"))
@@ -222,30 +229,31 @@ def link_sets(every: DataFrame, sets: DataFrame, percent: int, apart=None, round
     more = ["x"] if apart else []
     label = stored(every.select("id", "c").distinct(), "labels")
     at = every
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            head = at.groupBy("key").agg(F.min(F.struct("o", "id", "c", "n", "n0", *more)).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
-            fits = (F.col("c") != F.col("h.c")) & (F.lit(100) * F.least("n", "h.n") >= F.lit(percent) * F.greatest("n0", "h.n0"))
-            fits = fits & apart(F.col("x"), F.col("h.x")) if apart else fits
-            pairs = stored(at.join(head, "key").where(fits).select(F.col("h.id").alias("a"), F.col("id").alias("b"), "c", F.col("h.c").alias("d")).distinct(), "pairs")
-            if pairs.isEmpty():
-                continue
-            links = stored(_confirmed(pairs, sets, percent), "links")
-            dropped(pairs)
-        else:
-            links = _left_over(every, sets, percent, apart)
+    for _ in range(rounds):
+        head = at.groupBy("key").agg(F.min(F.struct("o", "id", "c", "n", "n0", *more)).alias("h"), F.max("c").alias("hi"), F.min("c").alias("lo")).where("lo < hi").select("key", "h")
+        fits = (F.col("c") != F.col("h.c")) & (F.lit(100) * F.least("n", "h.n") >= F.lit(percent) * F.greatest("n0", "h.n0"))
+        fits = fits & apart(F.col("x"), F.col("h.x")) if apart else fits
+        pairs = stored(at.join(head, "key").where(fits).select(F.col("h.id").alias("a"), F.col("id").alias("b"), "c", F.col("h.c").alias("d")).distinct(), "pairs")
+        links = stored(_confirmed(pairs, sets, percent), "links")
+        dropped(pairs)
+        if links.isEmpty():  # the exact search sees to the rest
+            break
         to = components(links, "c", "d")
         was, label = label, stored(_merged(label, to), "labels")
-        dropped(was)
-        if turn < rounds:
-            was, every = every, stored(_merged(every, to), "tables")
-            # the first member's component leaves its table
-            gone = head.select("key", F.col("h.c").alias("c"))
-            left = stored(_merged(at.join(head.select("key"), "key", "left_semi"), to).join(_merged(gone, to), ["key", "c"], "left_anti"), "tables")
-            dropped(was, at)
-            at = left
-        dropped(to, links)
-    dropped(every, at)
+        # the first member's component leaves its table
+        gone = head.select("key", F.col("h.c").alias("c"))
+        left = stored(_merged(at.join(head.select("key"), "key", "left_semi"), to).join(_merged(gone, to), ["key", "c"], "left_anti"), "tables")
+        dropped(was, to, links, at if at is not every else None)
+        at = left
+    dropped(at if at is not every else None)
+    now = stored(every.drop("c").join(label, "id"), "tables")
+    dropped(every)
+    links = _left_over(now, sets, percent, apart)
+    if not links.isEmpty():
+        to = components(links, "c", "d")
+        was, label = label, stored(_merged(label, to), "labels")
+        dropped(was, to)
+    dropped(now, links)
     return label
 
 
