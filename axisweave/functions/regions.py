@@ -44,11 +44,13 @@ def parse_region_string(text: str) -> Region:
 
 
 def parse_region(region, chromsizes: dict | None = None, *, check_bounds: bool = True) -> Region:
-    """A string or tuple as a region: a missing start is 0, a missing end the chromosome's length if that is known."""
+    """A string or tuple as a region: a missing start is 0, a missing end the chromosome's length if that is known; with check_bounds a start below 0 and an end beyond a known length raise ValueError."""
     if isinstance(region, str):
         chrom, start, end = parse_region_string(region)
     else:
-        chrom, start, end = (*region, None, None)[:3]
+        if len(region) < 3:
+            raise ValueError("a region has a chromosome, a start and an end")
+        chrom, start, end = tuple(region)[:3]
         chrom, start, end = str(chrom), None if start is None else int(start), None if end is None else int(end)
     start = 0 if start is None else start
     if chromsizes is not None:
@@ -56,10 +58,12 @@ def parse_region(region, chromsizes: dict | None = None, *, check_bounds: bool =
             raise ValueError(f"unknown chromosome {chrom}")
         length = int(chromsizes[chrom])
         end = length if end is None else end
-        if check_bounds and (start < 0 or end > length):
-            raise ValueError(f"{chrom}:{start}-{end} is out of bounds")
+    else:
+        length = None
     if end is not None and end < start:
         raise ValueError("end before start")
+    if check_bounds and (start < 0 or (length is not None and end > length)):
+        raise ValueError(f"{chrom}:{start}-{end} is out of bounds")
     return Region(chrom, start, end)
 
 

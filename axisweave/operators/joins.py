@@ -14,9 +14,15 @@ from axisweave.storage import numbered
 HOWS = ("inner", "left", "right", "outer")
 
 
-def wide_end(start: Column, end: Column) -> Column:
-    """Points count as one unit long when intervals are matched."""
-    return F.when(start == end, end + 1).otherwise(end)
+def wide_end(start: Column, end: Column, closed: bool = False) -> Column:
+    """Points count as one unit long when intervals are matched; closed intervals hold their ends, so each is a unit longer."""
+    return end + 1 if closed else F.when(start == end, end + 1).otherwise(end)
+
+
+def overlap_size(start1: Column, end1: Column, start2: Column, end2: Column) -> Column:
+    """Length that two intervals share: 0 if they only touch, -1 if they are apart."""
+    size = F.least(end1, end2) - F.greatest(start1, start2)
+    return F.when(size < 0, F.lit(-1)).otherwise(size).cast("long")
 
 
 def _suffixed(df: DataFrame, suffix: str, index: str | None = None) -> list[Column]:
@@ -33,10 +39,10 @@ def _check_on(on, *cols: IntervalCols) -> list[str]:
     return on
 
 
-def _sides(df: DataFrame, cols: IntervalCols, on: list[str], tag: str, rid: str) -> DataFrame:
+def _sides(df: DataFrame, cols: IntervalCols, on: list[str], tag: str, rid: str, closed: bool = False) -> DataFrame:
     """Only what matching needs: keys, raw coordinates, widened end and row id."""
     s, e = F.col(cols.start).cast("long"), F.col(cols.end).cast("long")
-    keep = [F.col(cols.chrom).alias(f"c{tag}"), s.alias(f"s{tag}"), wide_end(s, e).alias(f"w{tag}"), F.col(rid).alias(f"r{tag}")]
+    keep = [F.col(cols.chrom).alias(f"c{tag}"), s.alias(f"s{tag}"), wide_end(s, e, closed).alias(f"w{tag}"), F.col(rid).alias(f"r{tag}")]
     keys = [F.col(k).alias(f"k{i}_{tag}") for i, k in enumerate(on)]
     return df.select(*keep, *keys).where(F.col(f"c{tag}").isNotNull() & F.col(f"s{tag}").isNotNull() & F.col(f"w{tag}").isNotNull())
 
@@ -66,13 +72,13 @@ def _bins(start: Column, end: Column, width: int, last: int) -> Column:
     return F.explode(F.sequence(lo, F.greatest(lo, floor_div(F.least(end, F.lit(last)) - 1, width))))
 
 
-def met(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], keep1: list[Column], keep2: list[Column], width: int | None = None, kind: str = "inner") -> DataFrame:
+def met(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], keep1: list[Column], keep2: list[Column], width: int | None = None, kind: str = "inner", closed: bool = False) -> DataFrame:
     """Overlapping rows with _s1, _e1, _s2, _e2 and the kept columns of both (of the first with kind left_semi): one equi-join on axis, keys and bin, each pair taken in the first bin that both share. No row numbers are needed."""
 
     def side(df: DataFrame, c: IntervalCols, t: str, keep: list[Column]) -> DataFrame:
         s, e = F.col(c.start).cast("long"), F.col(c.end).cast("long")
         keys = [F.col(k).alias(f"_k{i}_{t}") for i, k in enumerate(on)]
-        out = df.select(F.col(c.chrom).alias(f"_c{t}"), s.alias(f"_s{t}"), e.alias(f"_e{t}"), wide_end(s, e).alias(f"_w{t}"), *keys, *keep)
+        out = df.select(F.col(c.chrom).alias(f"_c{t}"), s.alias(f"_s{t}"), e.alias(f"_e{t}"), wide_end(s, e, closed).alias(f"_w{t}"), *keys, *keep)
         return out.where(F.col(f"_c{t}").isNotNull() & F.col(f"_s{t}").isNotNull() & F.col(f"_e{t}").isNotNull())
 
     a, b = side(df1, cols1, "1", keep1), side(df2, cols2, "2", keep2)
@@ -99,18 +105,18 @@ def _on_content(df: DataFrame, other: DataFrame, c: IntervalCols, on: list[str])
     return reduce(lambda x, y: x & y, [F.col(c.chrom) == other["_c"], F.col(c.start) == other["_s"], F.col(c.end) == other["_e"], *keys])
 
 
-def _hit_contents(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: IntervalCols, on: list[str], width: int | None) -> DataFrame:
+def _hit_contents(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: IntervalCols, on: list[str], width: int | None, closed: bool = False) -> DataFrame:
     """Distinct contents of df1 that overlap something in df2."""
     keys = [f"_k{i}" for i in range(len(on))]
     mine = df1.select(*_content(df1, c1, on)).distinct()
     names = IntervalCols("_c", "_s", "_e")
     other = df2.select(*_content(df2, c2, on)).distinct()
-    return met(mine, other, names, names, keys, [F.struct("_c", "_s", "_e", *keys).alias("_x")], [], width, "left_semi").select("_x.*").distinct()
+    return met(mine, other, names, names, keys, [F.struct("_c", "_s", "_e", *keys).alias("_x")], [], width, "left_semi", closed).select("_x.*").distinct()
 
 
-def pairs(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], rid1: str = "_rid", rid2: str = "_rid", width: int | None = None) -> DataFrame:
+def pairs(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], rid1: str = "_rid", rid2: str = "_rid", width: int | None = None, closed: bool = False) -> DataFrame:
     """r1, r2 of all overlapping pairs: an equi-join on axis, keys and bin, each pair taken in the first bin that both share."""
-    a, b = _sides(df1, cols1, on, "1", rid1), _sides(df2, cols2, on, "2", rid2)
+    a, b = _sides(df1, cols1, on, "1", rid1, closed), _sides(df2, cols2, on, "2", rid2, closed)
     found, last = bin_width((a, "s1", "w1"), (b, "s2", "w2"))
     w = width or found
     cut = lambda df, t: df.withColumn(f"b{t}", F.explode(F.sequence(floor_div(F.col(f"s{t}"), w), F.greatest(floor_div(F.col(f"s{t}"), w), floor_div(F.least(F.col(f"w{t}"), F.lit(last)) - 1, w)))))
@@ -123,9 +129,10 @@ def pairs(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCo
 
 def overlap(
     df1: DataFrame, df2: DataFrame, how: str = "left", *, return_input: bool = True, return_index: bool | str = False, return_overlap: bool | str = False,
-    suffixes: tuple[str, str] = ("", "_"), keep_order: bool | None = None, cols1=None, cols2=None, on: list[str] | None = None, width: int | None = None, ensure_int: bool = True,
+    suffixes: tuple[str, str] = ("", "_"), keep_order: bool | None = None, cols1=None, cols2=None, on: list[str] | None = None, width: int | None = None, ensure_int: bool = True, closed: bool = False,
 ) -> DataFrame:
     """Join of the rows whose intervals overlap: same axis and keys, s1 < e2 and s2 < e1, points widened to length 1.
+    With closed the ends belong to the intervals, so that those that touch overlap.
 
     how is inner, left, right or outer; rows with a null axis or coordinate never match and stay on the kept side. With
     return_index come index columns (row numbers), with return_overlap the shared segment in raw coordinates; a string is the
@@ -139,9 +146,9 @@ def overlap(
     c1, c2 = interval_cols(cols1), interval_cols(cols2)
     on = _check_on(on, c1, c2)
     if not return_index and not keep_order:
-        return _overlap_plain(df1, df2, how, return_input, return_overlap, suffixes, c1, c2, on, width)
+        return _overlap_plain(df1, df2, how, return_input, return_overlap, suffixes, c1, c2, on, width, closed)
     a, b = numbered(df1, "_rid1"), numbered(df2, "_rid2")
-    p = pairs(a, b, c1, c2, on, "_rid1", "_rid2", width)
+    p = pairs(a, b, c1, c2, on, "_rid1", "_rid2", width, closed)
     left = a.select("_rid1", *[F.struct(*df1.columns).alias("_x")])
     right = b.select("_rid2", *[F.struct(*df2.columns).alias("_y")])
     kind = {"inner": "inner", "left": "left", "right": "inner", "outer": "left"}[how]
@@ -168,15 +175,15 @@ def overlap(
     return out.select(*cols)
 
 
-def _overlap_plain(df1: DataFrame, df2: DataFrame, how: str, return_input: bool, return_overlap: bool | str, suffixes, c1: IntervalCols, c2: IntervalCols, on: list[str], width: int | None) -> DataFrame:
+def _overlap_plain(df1: DataFrame, df2: DataFrame, how: str, return_input: bool, return_overlap: bool | str, suffixes, c1: IntervalCols, c2: IntervalCols, on: list[str], width: int | None, closed: bool = False) -> DataFrame:
     """Without row numbers: one binned join that carries both rows, and for the kept sides the rows whose contents meet nothing."""
-    rows = met(df1, df2, c1, c2, on, [_row(df1, "_x")], [_row(df2, "_y")], width).select("_x", "_y")
+    rows = met(df1, df2, c1, c2, on, [_row(df1, "_x")], [_row(df2, "_y")], width, closed=closed).select("_x", "_y")
     none = lambda name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
     if how in ("left", "outer"):
-        hit = _hit_contents(df1, df2, c1, c2, on, width)
+        hit = _hit_contents(df1, df2, c1, c2, on, width, closed)
         rows = rows.unionByName(df1.join(hit, _on_content(df1, hit, c1, on), "left_anti").select(_row(df1, "_x"), none("_y")))
     if how in ("right", "outer"):
-        hit = _hit_contents(df2, df1, c2, c1, on, width)
+        hit = _hit_contents(df2, df1, c2, c1, on, width, closed)
         rows = rows.unionByName(df2.join(hit, _on_content(df2, hit, c2, on), "left_anti").select(none("_x"), _row(df2, "_y")))
     x, y, (sx, sy) = (lambda c: F.col("_x")[c]), (lambda c: F.col("_y")[c]), suffixes
     cols = [x(c).alias(f"{c}{sx}") for c in df1.columns] + [y(c).alias(f"{c}{sy}") for c in df2.columns] if return_input else []

@@ -55,7 +55,8 @@ def assemblies_available(spark: SparkSession, folder: str | Path) -> DataFrame:
 
 def assembly_info(spark: SparkSession, name: str, folder: str | Path, roles=None, units=None) -> GenomeAssembly:
     """The assembly called [provider.]build, with the given or default roles and units, or "all"."""
-    provider, _, build = name.rpartition(".")
+    provider, dot, build = name.partition(".")
+    provider, build = (provider.lower(), build) if dot else ("", name)
     found = [x for x in _manifest(folder) if str(x["provider_build"]) == build and provider in ("", x["provider"])]
     if len(found) != 1:
         raise ValueError(f"{'no' if not found else 'more than one'} assembly {name}")
@@ -81,7 +82,10 @@ def fetch_chromsizes(spark: SparkSession, db: str, *, folder: str | Path | None
 
 
 def centromeres(cytobands: DataFrame) -> DataFrame:
-    """chrom, start, end and mid of the pair of acen bands of each chromosome; ValueError where there are not two."""
+    """chrom, start, end and mid of the pair of acen bands of each chromosome; ValueError where there are not two. Of a table of centromere models, which has no bands, the stretch that they cover and its middle."""
+    if not {"stain", "gieStain"} & set(cytobands.columns):
+        by = cytobands.groupBy("chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        return by.select("chrom", "start", "end", F.floor((F.col("start") + F.col("end")) / 2).cast("long").alias("mid"))
     stain = "stain" if "stain" in cytobands.columns else "gieStain"
     by = cytobands.where(F.col(stain) == "acen").groupBy("chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("end", "start").alias("mid"), F.count("*").alias("n"))
     if not by.where("n <> 2").isEmpty():

@@ -48,7 +48,7 @@ def field_checks(fields: list[str], chromsizes: dict[str, int] | None = None, st
     if "score" in fields and strict_score:
         out |= {"score_whole": F.col("score") == F.floor("score"), "score_range": F.col("score").between(0, 1000)}
     if "strand" in fields:
-        out["strand_known"] = F.col("strand").isin("+", "-", ".")
+        out["strand_known"] = F.col("strand").isin("+", "-", ".", "?")
     if "thickStart" in fields:
         out |= {"thick_start_not_before": F.col("thickStart") >= s, "thick_start_not_after": F.col("thickStart") <= e}
     if "thickEnd" in fields:

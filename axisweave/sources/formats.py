@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# fixed values: patterns of kinds of sequence names
+UCSC_AUTOSOMES = r"^chr[0-9]+[A-Za-z]*$"
+UCSC_SEXCHROMS = r"^chr[XYZW][A-Za-z]*$"
+UCSC_NONNUCLEAR = r"^chrM$"
+UCSC_OTHER = r"^chrLGE.*$"
+UCSC_UNLOCALIZED = r"^chr(?!Un).+.*_random$"
+UCSC_UNPLACED = r"^chrUn_.*$|^chrU[A-Za-z]*$"
+UCSC_ALTCHROMS = r"^chr(?!Un).+_.*_hap\d+$|^chr(?!Un).+_.*_alt$"
+NCBI_AUTOSOMES = r"^[0-9]+$"
+NCBI_SEXCHROMS = r"^[XYZW]$"
+NCBI_NONNUCLEAR = r"^MT$|^Pltd$"
+
 _LONG, _INT, _DOUBLE, _STRING = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType()
 
 # fixed values: field names in file order

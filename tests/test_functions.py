@@ -164,6 +164,33 @@ def test_bam(spark, tmp_path):
     assert [r["QNAME"] for r in readers.read_alignments(spark, str(f), "ref", 5, 8).collect()] == ["r1"]
 
 
+def test_browser_tables(spark, tmp_path):
+    import gzip
+
+    from axisweave.sources.remote import BrowserTables
+
+    base = tmp_path / "goldenPath" / "xx1"
+    (base / "bigZips").mkdir(parents=True)
+    (base / "database").mkdir()
+    (base / "bigZips" / "xx1.chrom.sizes").write_text("chr10\t7\nchr2\t5\n")
+    for name, text in (("gap", "1\tchr2\t0\t4\t1\tN\t4\ttelomere\tno\n"), ("cytoBand", "chr2\t0\t2\tp1\tacen\nchr2\t2\t5\tq1\tacen\n"), ("centromeres", "1\tchr2\t1\t2\ta\n1\tchr2\t2\t4\tb\n")):
+        (base / "database" / f"{name}.txt.gz").write_bytes(gzip.compress(text.encode()))
+    t = BrowserTables(spark, "xx1", f"file://{tmp_path}")
+    assert [tuple(r) for r in t.fetch_chromsizes().collect()] == [("chr2", 5), ("chr10", 7)]
+    assert rows(t.fetch_gaps()) == [("chr2", 0, 4, 4, "telomere", "no")]
+    assert rows(centromeres(t.fetch_cytoband())) == [("chr2", 0, 5, 2)]
+    assert rows(t.origins()) == [("chr2", 1, 4, 2)]
+
+
+def test_region_bounds():
+    from axisweave.functions.regions import parse_region
+
+    for bad in (("chr1",), ("chr1", 5), ("chr1", -1, 5), ("chr1", 6, 5)):
+        with pytest.raises(ValueError):
+            parse_region(bad)
+    assert parse_region(("chr1", -1, 5), check_bounds=False) == ("chr1", -1, 5) and parse_region(("chr1", None, None, "x")) == ("chr1", 0, None)
+
+
 def test_bed12_and_gtf(spark):
     row = ("chr1", 100, 200, "n", 5, "+", 100, 200, "255,0,0", 2, "10,20,", "0,80,")
     df = spark.createDataFrame([row], "chrom string, start long, end long, name string, score int, strand string, thickStart long, thickEnd long, itemRgb string, blockCount int, blockSizes string, blockStarts string")

@@ -205,3 +205,14 @@ def test_empty(spark):
     assert islands.merge(none).isEmpty() and islands.cluster(none).isEmpty() and algebra.complement(none).isEmpty()
     assert rows(joins.count_overlaps(some_, none), "count") == [(0,)]
     assert rows(nearest.closest(some_, none), "start", "distance") == [(0, None)]
+
+
+def test_closed_overlap(spark):
+    a = spark.createDataFrame([("c", 0, 5), ("c", 7, 7)], "chrom string, start long, end long")
+    b = spark.createDataFrame([("c", 5, 9), ("c", 10, 12)], "chrom string, start long, end long")
+    for more in ({}, {"return_index": True}):
+        got = lambda closed: sorted((r["start"], r["start_"]) for r in joins.overlap(a, b, "inner", closed=closed, **more).collect())  # noqa: E731, B023
+        assert got(False) == [(7, 5)] and got(True) == [(0, 5), (7, 5)]
+    size = joins.overlap_size(*(F.col(c) for c in ("start", "end", "s2", "e2")))
+    pairs = spark.createDataFrame([(0, 5, 3, 9), (0, 5, 5, 9), (0, 5, 6, 9)], "start long, end long, s2 long, e2 long")
+    assert [r[0] for r in pairs.select(size).collect()] == [2, 0, -1]
