@@ -168,6 +168,71 @@ def _inflated(f: pa.NativeFile) -> Iterator[bytes]:
             z = zlib.decompressobj(31)
 
 
+def _bins(start: int, end: int) -> Iterator[int]:
+    """Numbers of the index's bins, of six sizes from 2**29 down to 2**14, that a range meets."""
+    first = 0
+    for level, shift in enumerate(range(29, 13, -3)):
+        yield from range(first + (start >> shift), first + ((max(end, start + 1) - 1) >> shift) + 1)
+        first += 1 << 3 * level
+
+
+def indexed_places(index: pa.NativeFile, chrom: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of a block-gzipped file (from and to, as virtual offsets) that may hold rows of a range, by its index."""
+    s = _Stream(_inflated(index))
+    if s.take(4) != b"TBI\1":
+        raise ValueError("not an index of a block-gzipped table")
+    refs, *_, size = struct.unpack("<8i", s.take(32))
+    names = s.take(size).rstrip(b"\0").split(b"\0")
+    wanted, out = set(_bins(start, end)), []
+    for k in range(refs):
+        own = k < len(names) and names[k].decode() == chrom
+        for _ in range(struct.unpack("<i", s.take(4))[0]):
+            number, chunks = struct.unpack("<Ii", s.take(8))
+            raw = s.take(16 * chunks)
+            if own and number in wanted:
+                out += struct.iter_unpack("<QQ", raw)
+        (n,) = struct.unpack("<i", s.take(4))
+        linear = struct.unpack(f"<{n}Q", s.take(8 * n))
+        if own:  # nothing of the range lies before the place of its first window
+            least = linear[min(start >> 14, n - 1)] if n else 0
+            return sorted((a, b) for a, b in out if b > least)
+    return []
+
+
+def _lines(f: pa.NativeFile, begin: int, to: int) -> Iterator[str]:
+    """Lines of a block-gzipped file between two virtual offsets (block and place in it)."""
+    at, skip, held = begin >> 16, begin & 0xFFFF, b""
+    while at < to >> 16 or (at == to >> 16 and to & 0xFFFF):
+        z, raw, used = zlib.decompressobj(31), b"", 0
+        while not z.eof:
+            piece = f.read_at(1 << 16, at + used)
+            if not piece:
+                break
+            raw += z.decompress(piece)
+            used += len(piece) - len(z.unused_data)
+        raw = raw[: to & 0xFFFF] if at == to >> 16 else raw
+        held += raw[skip:]
+        *whole, held = held.split(b"\n")
+        yield from (x.decode() for x in whole)
+        at, skip = at + max(used, 1), 0
+        if not raw:
+            break
+    if held:
+        yield held.decode()
+
+
+def read_indexed_lines(spark: SparkSession, path: str, index: str, chrom: str, start: int, end: int) -> DataFrame:
+    """value: the lines of a block-gzipped file's blocks that may hold rows of a range. Only these blocks are read, a stretch of them a task."""
+    places = indexed_places(_open(index), chrom, start, end)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+                yield pa.RecordBatch.from_arrays([pa.array(list(_lines(_open(path), a, b)), pa.string())], ["value"])
+
+    return spark.createDataFrame(places, "a long, b long").repartition(max(1, len(places))).mapInArrow(read, "value string")
+
+
 class _Stream:
     """Bytes on demand from an iterator of pieces."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from axisweave.functions.genome import natural_key
 from axisweave.operators.ranges import region_predicate
-from axisweave.sources.binary import read_bam_files
+from axisweave.sources.binary import read_bam_files, read_indexed_lines
 from axisweave.sources.formats import DEFAULT_PATTERNS, SCHEMAS
 
 
@@ -82,8 +82,15 @@ read_bam = read_alignments
 
 
 def read_tabix(spark: SparkSession, path, chrom: str, start: int | None = None, end: int | None = None, schema: str = "bed3") -> DataFrame:
-    """Rows of a region of a block-gzipped interval file; the whole file is scanned, as its index is not used."""
-    return read_table(spark, path, schema).where(region_predicate((chrom, start, end)))
+    """Rows of a region of a block-gzipped interval file. With an index beside it (.tbi) only the blocks that may hold some are read, else the whole file is."""
+    try:
+        lines = read_indexed_lines(spark, path, f"{path}.tbi", chrom, start or 0, end if end is not None else 1 << 29)
+    except FileNotFoundError:
+        return read_table(spark, path, schema).where(region_predicate((chrom, start, end)))
+    fields = SCHEMAS[schema] if isinstance(schema, str) else schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    rows = lines.where(~F.col("value").startswith("#")).select(F.from_csv("value", ddl, {"sep": "\t", "nullValue": ""}).alias("r")).select("r.*")
+    return rows.where(region_predicate((chrom, start, end)))
 
 
 def read_pairix(spark: SparkSession, path, region1, region2=None, columns: list[str] | None = None) -> DataFrame:

@@ -164,6 +164,31 @@ def test_bam(spark, tmp_path):
     assert [r["QNAME"] for r in readers.read_alignments(spark, str(f), "ref", 5, 8).collect()] == ["r1"]
 
 
+def test_indexed_table(spark, tmp_path):
+    """Three blocks, an index by hand that names the range's blocks, and the same rows as a scan gives."""
+    import gzip
+    import struct
+
+    rows_ = [[("chr1", 10, 20), ("chr1", 16_000, 17_000)], [("chr1", 40_000, 40_010), ("chr1", 50_000, 60_000)], [("chr2", 5, 9)]]
+    blocks = [gzip.compress("".join("\t".join(map(str, r)) + "\n" for r in b).encode()) for b in rows_]
+    begin = [0, len(blocks[0]), len(blocks[0]) + len(blocks[1])]
+    end = begin[2] + len(blocks[2])
+    f = tmp_path / "x.bed.gz"
+    f.write_bytes(b"".join(blocks))
+    bare = tmp_path / "y.bed.gz"
+    bare.write_bytes(f.read_bytes())
+    line = len("chr1\t40000\t40010\n")
+    bins = {4681: [(0, 11)], 585: [(11, begin[1] << 16)], 4681 + 2: [(begin[1] << 16, begin[1] << 16 | line)], 4681 + 3: [(begin[1] << 16 | line, begin[2] << 16)]}
+    one = struct.pack("<i", len(bins)) + b"".join(struct.pack("<Ii", k, len(v)) + b"".join(struct.pack("<QQ", *c) for c in v) for k, v in bins.items())
+    one += struct.pack("<i4Q", 4, 0, 11, begin[1] << 16, begin[1] << 16 | line)
+    two = struct.pack("<iIiQQ", 1, 4681, 1, begin[2] << 16, end << 16) + struct.pack("<iQ", 1, begin[2] << 16)
+    names = b"chr1\0chr2\0"
+    (tmp_path / "x.bed.gz.tbi").write_bytes(gzip.compress(b"TBI\1" + struct.pack("<8i", 2, 0x10000, 1, 2, 3, ord("#"), 0, len(names)) + names + one + two))
+    for region in (("chr1", 16_500, 45_000), ("chr1", 0, 15), ("chr1", 45_000, None), ("chr2", None, None), ("chr1", 200_000, 300_000), ("chr3", 0, 5)):
+        assert rows(readers.read_tabix(spark, str(f), *region)) == rows(readers.read_tabix(spark, str(bare), *region)), region
+    assert rows(readers.read_tabix(spark, str(f), "chr1", 16_500, 45_000)) == [("chr1", 16_000, 17_000), ("chr1", 40_000, 40_010)]
+
+
 def test_browser_tables(spark, tmp_path):
     import gzip
 
