@@ -20,7 +20,7 @@ from axisweave.llm.vector import mix, shingles, words_of
 BANDS, ROWS = 14, 4
 #: Rounds in which each document is compared with the first of each of its tables, before the exact search for what is left.
 ROUNDS = 3
-#: Rounds of the exact search in which sets with common additions are brought together before their pairs are formed.
+#: Rounds of the exact search, where some pairs are forbidden, in which sets with common differences are brought together before their pairs are formed.
 FAMILIES = 2
 
 
@@ -159,9 +159,9 @@ def _left_over(at: DataFrame, sets: DataFrame, percent: int, apart=None) -> Data
         both = held.where("close").join(other, "key").where((F.col("c") != F.col("d")) & apart(F.col("x"), F.col("xa")) & _sizes("n", "n2", percent))
         return both.select(F.col("id").alias("b"), "f", "c", "d")
 
-    # families of sets with common differences come together first: each set is compared with the one that leads most of its added and
+    # where sets that are similar to the pivot may not be linked with it, families with common differences come together first: each set is compared with the one that leads most of its added and
     # lacked shingles, which is the one nearest to the pivot that has the shingle added or lacking, and in later rounds any
-    for turn in range(FAMILIES):
+    for turn in range(FAMILIES if apart else 0):
         to = components(links, "c", "d")
         was, each = each, stored(_merged(each, to), "differences")
         dropped(was)
