@@ -28,6 +28,11 @@ SEGMENT = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
+#: The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others one after another from U+0100.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+LETTERS = {b: b for b in _PRINTED} | {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -46,6 +51,7 @@ class Encoder:
     def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
@@ -57,16 +63,19 @@ class Encoder:
         self.plain, self.piece = re.compile(self.PLAIN), re.compile(self.PIECE)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.merger = Tokenizer.from_file(path)
+        self.merger.pre_tokenizer = Split(chr(LETTERS[10]), "isolated")
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces. Those without white space inside go to the library as lines of one text: a line's end is a piece of its own, whose id parts them again."""
+        """Ids of pieces. Those without white space inside go to the library as lines of one text, their bytes already written as the
+        vocabulary's letters, so that it has but to merge them: a line's end is a piece of its own, whose id parts them again."""
         lines = [p for p in pieces if not p.isspace()]
         rest = [p for p in pieces if p.isspace()]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u2") if lines else np.zeros(0, "<u2")
+        ids = np.array(self.merger.encode_batch_fast(["\n".join(lines).encode().decode("latin-1").translate(LETTERS)], add_special_tokens=False)[0].ids, "<u2") if lines else np.zeros(0, "<u2")
         edge = np.flatnonzero(ids == self.line)
         if len(edge) != max(0, len(lines) - 1):
             return self._ids(lines + rest)
