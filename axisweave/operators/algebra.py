@@ -9,7 +9,7 @@ from axisweave.config import IntervalCols, interval_cols
 from axisweave.operators.joins import met
 from axisweave.operators.ranges import LAST
 from axisweave.operators.running import running, stretch_of
-from axisweave.storage import numbered
+from axisweave.storage import numbered, stored
 
 
 def complement(df: DataFrame, view_df: DataFrame | None = None, view_name_col: str = "name", cols=None, cols_view=None) -> DataFrame:
@@ -46,7 +46,7 @@ def subtract(df1: DataFrame, df2: DataFrame, return_index: bool = False, suffixe
     view = chroms.select("chrom", F.lit(0).cast("long").alias("start"), F.lit(LAST).alias("end"), F.col("chrom").alias("name"))
     holes = df2.select(F.col(c2.chrom).alias("chrom"), F.col(c2.start).alias("start"), F.col(c2.end).alias("end"))
     plain = IntervalCols("chrom", "start", "end")
-    free = _gaps(holes, view)
+    free = stored(_gaps(holes, view), "gaps")  # read for the bins and for the join
     out = met(a, free, c1, plain, [], [F.struct(*[F.col(f"`{c}`") for c in a.columns]).alias("_x")], []).select("_x.*", F.greatest("_s1", "_s2").alias("_gs"), F.least("_e1", "_e2").alias("_ge"))
     out = out.withColumns({c1.start: F.col("_gs"), c1.end: F.col("_ge")})
     keep = [F.col(f"`{c}`").alias(f"{c}{sx}") for c in df1.columns]

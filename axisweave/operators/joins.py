@@ -72,8 +72,8 @@ def _bins(start: Column, end: Column, width: int, last: int) -> Column:
     return F.explode(F.sequence(lo, F.greatest(lo, floor_div(F.least(end, F.lit(last)) - 1, width))))
 
 
-def met(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], keep1: list[Column], keep2: list[Column], width: int | None = None, kind: str = "inner", closed: bool = False) -> DataFrame:
-    """Overlapping rows with _s1, _e1, _s2, _e2 and the kept columns of both (of the first with kind left_semi): one equi-join on axis, keys and bin, each pair taken in the first bin that both share. No row numbers are needed."""
+def met(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], keep1: list[Column], keep2: list[Column], width: int | None = None, kind: str = "inner", closed: bool = False, bins: tuple[int, int] | None = None) -> DataFrame:
+    """Overlapping rows with _s1, _e1, _s2, _e2 and the kept columns of both (of the first with kind left_semi): one equi-join on axis, keys and bin, each pair taken in the first bin that both share. No row numbers are needed. bins: width and last end, if bin_width() is known."""
 
     def side(df: DataFrame, c: IntervalCols, t: str, keep: list[Column]) -> DataFrame:
         s, e = F.col(c.start).cast("long"), F.col(c.end).cast("long")
@@ -82,7 +82,7 @@ def met(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols
         return out.where(F.col(f"_c{t}").isNotNull() & F.col(f"_s{t}").isNotNull() & F.col(f"_e{t}").isNotNull())
 
     a, b = side(df1, cols1, "1", keep1), side(df2, cols2, "2", keep2)
-    found, last = bin_width((a, "_s1", "_w1"), (b, "_s2", "_w2"))
+    found, last = bins or bin_width((a, "_s1", "_w1"), (b, "_s2", "_w2"))
     w = width or found
     a, b = (df.withColumn(f"_b{t}", _bins(F.col(f"_s{t}"), F.col(f"_w{t}"), w, last)) for df, t in ((a, "1"), (b, "2")))
     keys = [a["_c1"] == b["_c2"], a["_b1"] == b["_b2"], *[a[f"_k{i}_1"].eqNullSafe(b[f"_k{i}_2"]) for i in range(len(on))]]
@@ -211,13 +211,13 @@ def semi(df1: DataFrame, df2: DataFrame, *, cols1=None, cols2=None, on: list[str
     return df1.join(hit, _on_content(df1, hit, c1, on), "left_semi")
 
 
-def _summed(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: IntervalCols, on: list[str], value: Column, name: str, suffix: str, return_input: bool, width: int | None) -> DataFrame:
+def _summed(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: IntervalCols, on: list[str], value: Column, name: str, suffix: str, return_input: bool, width: int | None, bins: tuple[int, int] | None = None) -> DataFrame:
     """df1 with the sum of `value` over the rows of df2 that overlap each row, 0 for none and for null rows."""
     keys = [f"_k{i}" for i in range(len(on))]
     mine = df1.select(*_content(df1, c1, on)).distinct()
     two = df2.select(*_content(df2, c2, on))
     names = IntervalCols("_c", "_s", "_e")
-    n = met(mine, two, names, names, keys, [F.struct("_c", "_s", "_e", *keys).alias("_x")], [], width).groupBy("_x").agg(F.sum(value).alias("_n")).select("_x.*", "_n")
+    n = met(mine, two, names, names, keys, [F.struct("_c", "_s", "_e", *keys).alias("_x")], [], width, bins=bins).groupBy("_x").agg(F.sum(value).alias("_n")).select("_x.*", "_n")
     out = df1.join(n, _on_content(df1, n, c1, on), "left")
     keep = [df1[f"`{c}`"].alias(f"{c}{suffix}") for c in df1.columns] if return_input else []
     return out.select(*keep, F.coalesce("_n", F.lit(0)).cast("long").alias(name))
@@ -236,4 +236,6 @@ def coverage(df1: DataFrame, df2: DataFrame, *, suffixes=("", "_"), return_input
     c1, c2 = interval_cols(cols1), interval_cols(cols2)
     b = merge(df2.select(*c2), cols=c2).where(F.col(c2.chrom).isNotNull()).select(*c2)
     both = F.greatest(F.lit(0).cast("long"), F.least("_e1", "_e2") - F.greatest("_s1", "_s2"))
-    return _summed(df1, b, c1, c2, [], both, "coverage", suffixes[0], return_input, width)
+    # merged rows are together no longer than the rows that they come from, so those can tell the bins and the merge runs once
+    sides = [(df.select(F.col(c.start).cast("long").alias("s"), F.col(c.end).cast("long").alias("e")).dropna(), "s", "e") for df, c in ((df1, c1), (df2, c2))]
+    return _summed(df1, b, c1, c2, [], both, "coverage", suffixes[0], return_input, width, bin_width(*sides))
