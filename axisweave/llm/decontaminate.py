@@ -10,6 +10,8 @@ from axisweave.llm.text import LOWER, UPPER, bounded_broadcast, dropped, lower_a
 #: What separates words: ASCII but digits and lower-case letters (A-Z are lower-cased before).
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
+#: A term that no text holds; its posting in the query's index tells how many words a text has.
+END = "\x00"
 #: Rows of a benchmark-side table that may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -24,17 +26,20 @@ def test_terms(benchmark: DataFrame, text: str = "text", key: str = "item_id") -
     return w.select("item", F.size("w").alias("len"), F.posexplode("w").alias("ipos", "term"))
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame | None = None, *, text: str = "text", key: str = "doc_id", ends: bool = False) -> DataFrame:
     """The index: term, doc, pos of every occurrence of a term in the training texts, `key` naming the text.
 
     Each task writes its part of the index sorted by term, so no posting is shuffled. With `terms`, words that no test
     item holds get no list, as they can't be part of a match; without, the index serves any later benchmark. The list of terms
     is broadcast within a counted bound, joined by shuffle beyond it. Null texts and keys and texts without words have no
-    postings; rows of one key count as one text, so the key must name the text.
+    postings; rows of one key count as one text, so the key must name the text. With ends each text has a posting of END more, at
+    the place after its last word.
     """
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(tokens(F.col(text))).alias("pos", "term"))
+    words = F.concat(tokens(F.col(text)), F.array(F.lit(END))) if ends else tokens(F.col(text))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(words).alias("pos", "term"))
     if terms is not None:
         terms = terms.select("term").distinct()
+        terms = terms.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("term"))) if ends else terms
         rows = rows.join(bounded_broadcast(terms, terms.count(), BROADCAST_ROWS), "term")
     return stored(rows.select(F.xxhash64("term").alias("term"), "doc", "pos"), "postings", ["term"])
 
@@ -72,8 +77,9 @@ def phrase_matches(index: DataFrame, terms: DataFrame, size: int = WINDOW) -> Da
     w = win.select(*of, "first", "n", F.explode("terms").alias("t")).select(*of, "first", "n", "t.term", "t.ipos")
     w = bounded_broadcast(w, w.count(), BROADCAST_ROWS)
     need = lines.join(w, of).select("doc", "item", "at", "first", "n", "term", (F.col("at") + F.col("ipos")).alias("pos"))
-    hold = index.join(lines.select("doc").distinct(), "doc", "left_semi").distinct()
-    met = need.join(hold, ["doc", "pos", "term"]).groupBy("doc", "item", "at", "first", "n").count()
+    found_in = lines.select("doc").distinct()
+    hold = index.join(bounded_broadcast(found_in, found_in.count(), BROADCAST_ROWS), "doc", "left_semi")
+    met = need.join(hold, ["doc", "pos", "term"], "left_semi").groupBy("doc", "item", "at", "first", "n").count()
     met = stored(met.where("count = n").select("doc", "item", (F.col("at") + F.col("first")).alias("start"), "n"), "matches")
     dropped(win, probe, found, lines)
     return met
@@ -112,16 +118,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     named = benchmark.where(F.col(item).isNotNull()).select(F.xxhash64(F.col(item), F.col("text")).alias("_item"), F.col(item).cast("string").alias("name"), "text")
     terms = stored(test_terms(named, "text", "_item"), "terms")
     row = F.xxhash64(F.lit("row"), F.col(key), F.col(text))
-    index = postings(docs.select(row.alias("_row"), F.col(text).alias("_text")), terms, text="_text", key="_row")
+    index = postings(docs.select(row.alias("_row"), F.col(text).alias("_text")), terms, text="_text", key="_row", ends=True)
     hits = phrase_matches(index, terms, size)
     words = hits.select("doc", F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos")).distinct()
     words = words.groupBy("doc").agg(F.count("*").alias("n_hit"))
     items = hits.join(named.select(F.col("_item").alias("item"), "name").distinct(), "item").select("doc", F.col("name").alias("item")).distinct()
     items = items.groupBy("doc").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item")).alias("names"))
-    per = stored(words.join(items, "doc").withColumnRenamed("doc", "_doc"), "contamination")
+    long = index.where(F.col("term") == F.xxhash64(F.lit(END))).select(F.col("doc").alias("_doc"), F.col("pos").cast("long").alias("n_words")).distinct()
+    per = stored(long.join(words.join(items, "doc"), F.col("_doc") == F.col("doc"), "left").drop("doc"), "contamination")
     dropped(terms, index, hits)
-    n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    out = docs.select(F.col(key).alias(key), n.cast("long").alias("n_words"), row.alias("_row")).join(per, F.col("_row") == F.col("_doc"), "left")
+    out = docs.select(F.col(key).alias(key), row.alias("_row")).join(per, F.col("_row") == F.col("_doc"), "left")
     zero = F.lit(0).cast("long")
     return out.select(
         key, "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
