@@ -10,8 +10,8 @@ from axisweave.llm.text import dropped, lower_ascii, stored
 SHARDS = 40
 #: Rounds of propagation, rows of a block of equal texts at most, and how far a shard may be filled while labels move.
 ROUNDS, BLOCK, SLACK = 4, 64, 1.02
-#: A document is linked by so many of its sentences, those of least hash, and a sentence has so many characters at least.
-SENTENCES, CHARACTERS = 8, 24
+#: What lies between stops or line ends is a sentence if it has so many characters; a document is linked by all of its sentences.
+CHARACTERS = 24
 #: Steps by which a shard's free room is dealt out to those who want to move there.
 STEPS = 1024
 
@@ -23,8 +23,8 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     between two nodes is a hub of their own). load: label and weight of what else fills the shards and stays. capacity: weight that a
     shard may hold, or a little more than an equal share of nodes and load. In each round a
     hub's label is that of the most weight among its nodes, a node wants the label that most of its hubs have, and
-    a shard admits movers, in seeded order by steps of equal probability, as far as its quota has room. Ties go to
-    the smaller label. Votes and wishes are summed per task before they are shuffled; no hub is gathered.
+    a shard admits movers, in seeded order by steps of equal probability, as far as its quota has room. Ties go to the
+    label with the most room, as a full one would admit nobody, then to the smaller one. Votes and wishes are summed per task before they are shuffled; no hub is gathered.
 
     Nodes without links keep the label that their id's hash gives; links to unknown nodes and null ids or hubs are passed over, repeated
     links vote again, and empty tables give no rows.
@@ -34,13 +34,14 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     fixed = now.sparkSession.createDataFrame([], "label int, weight long") if load is None else load.select(F.col("label").cast("int"), F.col("weight").cast("long"))
     for turn in range(rounds):
         was = now
-        votes = links.join(now, "id").groupBy("hub", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("hub").agg(F.max(F.struct("w", (-F.col("label")).alias("l")))["l"].alias("l")).select("hub", (-F.col("l")).alias("to"))
-        wish = links.join(best, "hub").groupBy("id", "to").agg(F.count("*").alias("c"))
-        wish = wish.groupBy("id").agg(F.max(F.struct("c", (-F.col("to")).alias("t")))["t"].alias("t")).select("id", (-F.col("t")).alias("to"))
+        filled = now.select("label", "weight").unionByName(fixed).groupBy("label").agg(F.sum("weight").alias("w"))
+        free = F.broadcast(filled.select("label", (-F.col("w")).alias("free")))  # at most `shards` rows
+        votes = links.join(now, "id").groupBy("hub", "label").agg(F.sum("weight").alias("w")).join(free, "label")
+        best = votes.groupBy("hub").agg(F.max(F.struct("w", "free", (-F.col("label")).alias("l"))).alias("b")).select("hub", "b.free", (-F.col("b.l")).alias("to"))
+        wish = links.join(best, "hub").groupBy("id", "to", "free").agg(F.count("*").alias("c"))
+        wish = wish.groupBy("id").agg(F.max(F.struct("c", "free", (-F.col("to")).alias("t")))["t"].alias("t")).select("id", (-F.col("t")).alias("to"))
         step = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(STEPS)).cast("int")
         moves = stored(now.join(wish, "id").where("to <> label").select("id", "weight", "label", "to", step.alias("step")), "moves")
-        filled = now.select("label", "weight").unionByName(fixed).groupBy("label").agg(F.sum("weight").alias("w"))
         every = now.sparkSession.range(shards).select(F.col("id").cast("int").alias("label")).join(F.broadcast(filled), "label", "left")
         leaving = moves.groupBy("label").agg(F.sum("weight").alias("out"))
         every = every.join(leaving, "label", "left").withColumn("cap", F.lit(SLACK) * F.sum("w").over(Window.partitionBy()) / shards if capacity is None else F.lit(float(capacity)))
@@ -82,17 +83,17 @@ def cut_links(links: DataFrame, placed: DataFrame) -> DataFrame:
     return by.agg(F.coalesce(F.sum(F.col("n") - 1), zero).alias("all"), F.coalesce(F.sum(F.col("n") - F.col("most")), zero).alias("cut"))
 
 
-def sentence_hashes(text: Column, most: int = SENTENCES, characters: int = CHARACTERS) -> Column:
-    """Hashes of a text's sentences (between stops and line ends, A-Z lower-cased), the `most` least of them; null and short texts have none."""
+def sentence_hashes(text: Column, characters: int = CHARACTERS) -> Column:
+    """Hashes of all of a text's different sentences (between stops and line ends, A-Z lower-cased, of `characters` or more); null and short texts have none."""
     parts = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[.!?\n]+", -1), lambda x: F.length(x) >= characters)
-    return F.slice(F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.xxhash64(F.trim(x))))), 1, most)
+    return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(F.trim(x))))
 
 
 def document_links(base: DataFrame, total: int, shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups (g1, g2, c: rows, per: blocks under one hub, linked), nodes (id, weight, g1, g2) and links (id, hub) of the rows base (g1, g2, sentences).
 
-    A node is a block of at most BLOCK rows of equal text. Blocks of one text are linked by hubs of theirs; texts that have one
-    of their sentences of least hash in common are linked by the sentence. What is named by more rows than half a shard holds is split
+    A node is a block of at most BLOCK rows of equal text. Blocks of one text are linked by hubs of theirs; texts that have a
+    sentence in common are linked by it, whichever it is. What is named by more rows than half a shard holds is split
     into several hubs, as it could not lie in one shard. Rows are counted per task before they are shuffled, nothing is gathered.
     """
     room = max(1, total // (2 * shards))

@@ -498,6 +498,24 @@ def test_sharding_cuts_fewer_links_than_a_hash_deal(spark):
     assert kept["all"] == hashed["all"] > 50 and kept["cut"] < 0.25 * hashed["cut"]
 
 
+def test_sharding_links_texts_by_any_common_sentence(spark):
+    """Long texts that have but one sentence in common, wherever its hash ranks among theirs, share a hub, and no others do."""
+    r = random.Random(11)
+    sentence = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(6)) + ". "
+    texts = []
+    for k in range(20):
+        common = sentence()
+        for _ in range(2):
+            own = [sentence() for _ in range(39)]
+            own.insert(r.randrange(40), common)
+            texts.append((len(texts), "".join(own)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    base = docs.select("doc_id", F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(1), "text").alias("g2"), sharding.sentence_hashes(F.col("text")).alias("sentences"))
+    _, blocks, links = sharding.document_links(base, 40 * len(texts), 40)
+    named = blocks.join(base.select("doc_id", "g1", "g2"), ["g1", "g2"]).join(links, "id").groupBy("hub").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    assert sorted(r["ids"] for r in named.collect()) == [[k, k + 1] for k in range(0, 40, 2)]
+
+
 def test_propagation_by_hand(spark):
     """Two cliques of four meet under a quota that holds one each; a brute-force count of cut links agrees."""
     ids = list(range(8))
