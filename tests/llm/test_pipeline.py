@@ -1,5 +1,6 @@
 """The pipeline's stages against the operators' brute-force counterparts."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as cp
@@ -31,3 +32,16 @@ def test_odd_rows(spark):
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs.limit(0), DATA).isEmpty()
     assert cp.sharded(spark, docs, DATA).count() == len(rows)
+
+
+def test_sharded_texts_of_one_common_sentence(spark):
+    """Pairs of long texts that have one of forty sentences in common go to one shard, wherever its hash ranks among theirs."""
+    r = random.Random(12)
+    sentence = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(6)) + ". "
+    rows = [(k, [sentence() for _ in range(40)]) for k in range(400)]
+    for k in range(0, 120, 2):
+        rows[k + 1][1][r.randrange(40)] = rows[k][1][r.randrange(40)]
+    docs = spark.createDataFrame([(k, "".join(t)) for k, t in rows], "doc_id long, text string")
+    at = {x["doc_id"]: x["shard"] for x in cp.sharded(spark, docs, DATA).collect()}
+    assert len(at) == 400 and set(Counter(at.values()).values()) == {10}
+    assert sum(at[k] == at[k + 1] for k in range(0, 120, 2)) >= 55
