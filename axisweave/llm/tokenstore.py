@@ -106,24 +106,31 @@ def encoder(path: str, literal: bool = True) -> Encoder:
     return held.setdefault(name, None) or held.__setitem__(name, Encoder(path, literal)) or held[name]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of content-defined chunks: where the rolling hash of the last ids has its low bits clear, within the least and most sizes."""
-    n = len(ids)
-    h = np.zeros(n, np.uint64)
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    with np.errstate(over="ignore"):
-        for k in range(min(SEEN, n) - 1, -1, -1):
-            h[k:] = h[k:] * _BASE + x[: n - k]
+def all_cuts(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
+    """Ends of the content-defined chunks of each text of ids between the bounds: where the rolling hash of the last ids has its low bits
+    clear, within the least and most sizes. A text's first ids, whose hash sees those of the text before, are less than the least size."""
+    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    for k in (1 << x for x in range(SEEN.bit_length() - 1)):  # over twice as many ids each time
+        h[k:] += h[:-k] * np.uint64(pow(int(_BASE), k, 1 << 64))
     marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + 1
-    out, last = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - last > MOST:
-            last += MOST
-            out.append(last)
-        if m - last >= LEAST or (m == n and m > last):
-            last = m
-            out.append(m)
-    return out
+    first, marks = np.searchsorted(marks, bounds, "right").tolist(), marks.tolist()
+    every = []
+    for a, b, x, y in zip(bounds[:-1], bounds[1:], first[:-1], first[1:]):
+        out, last, n = [], 0, b - a
+        for m in [*(m - a for m in marks[x:y]), n]:
+            while m - last > MOST:
+                last += MOST
+                out.append(last)
+            if m - last >= LEAST or (m == n and m > last):
+                last = m
+                out.append(m)
+        every.append(out)
+    return every
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of one text's chunks."""
+    return all_cuts(ids, [0, len(ids)])[0]
 
 
 def digest(data: bytes) -> bytes:
@@ -152,12 +159,13 @@ def _writer(path: str, end: int, literal: bool):
                     part.append(texts[at + len(part)].as_py() or "")
                     size += len(part[-1])
                 n, recipes, roots, payloads = [], [], [], []
-                for raw in enc.encode(part):
-                    ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end)).astype("<u2")
-                    ends = cuts(ids)
-                    data = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+                mark = end.to_bytes(2, "little")
+                coded = [raw + mark for raw in enc.encode(part)]
+                bounds = np.cumsum([0, *map(len, coded)]) // 2
+                for raw, ends in zip(coded, all_cuts(np.frombuffer(b"".join(coded), "<u2"), bounds.tolist())):
+                    data = [raw[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]
                     names = [digest(x) for x in data]
-                    n.append(len(ids))
+                    n.append(len(raw) // 2)
                     recipes.append(names)
                     roots.append(merkle(names))
                     payloads.append(data)

@@ -472,6 +472,25 @@ def test_chunks_follow_content():
     assert len({x - 777 for x in a} & set(b)) > 0.5 * len(b)
 
 
+def test_chunks_of_many_texts_at_once():
+    """Each text's chunks end where the hash of its own last ids, taken one by one, says."""
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, v, n).astype("<u2") for v in (3, 50_000) for n in (1, 2, 15, 16, 17, 127, 128, 129, 2047, 2048, 2049, 9000)]
+    want = []
+    for ids in texts:
+        out, last = [], 0
+        for m in range(1, len(ids) + 1):
+            h = 0
+            for x in ids[max(0, m - tokenstore.SEEN) : m].tolist():
+                h = (h * int(tokenstore._BASE) + (x + 1) * 0xBF58476D1CE4E5B9) % (1 << 64)
+            marked = (h >> 40) % tokenstore.MEAN == 0 and m - last >= tokenstore.LEAST
+            if marked or m - last == tokenstore.MOST or m == len(ids):
+                out.append(last := m)
+        want.append(out)
+    assert tokenstore.all_cuts(np.concatenate(texts), np.cumsum([0, *map(len, texts)]).tolist()) == want
+    assert [tokenstore.cuts(x) for x in texts] == want
+
+
 def test_sharding(docs, odd):
     n, shards = docs.count(), 7
     rows = sharding.shard(docs, shards=shards).collect()
