@@ -1,4 +1,4 @@
-"""Sharding by balanced label propagation over documents that share a text or sentences."""
+"""Sharding by balanced label propagation over documents that share a text or passages."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from axisweave.llm.text import dropped, lower_ascii, stored
 SHARDS = 40
 #: Rounds of propagation, rows of a block of equal texts at most, and how far a shard may be filled while labels move.
 ROUNDS, BLOCK, SLACK = 4, 64, 1.02
-#: What lies between stops or line ends is a sentence if it has so many characters; a document is linked by all of its sentences.
+#: What lies between stops or line ends is a sentence. A passage is a sentence of so many characters, or one that is shorter with as many of those
+#: after it as make up so many; a document is linked by all of its passages.
 CHARACTERS = 24
 #: Steps by which a shard's free room is dealt out to those who want to move there.
 STEPS = 1024
@@ -84,19 +85,35 @@ def cut_links(links: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def sentence_hashes(text: Column, characters: int = CHARACTERS) -> Column:
-    """Hashes of all of a text's different sentences (between stops and line ends, A-Z lower-cased, of `characters` or more); null and short texts have none."""
-    parts = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[.!?\n]+", -1), lambda x: F.length(x) >= characters)
-    return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(F.trim(x))))
+    """Hashes of all of a text's different passages: from each sentence on (between stops and line ends, A-Z lower-cased, without the white space
+    around it) the fewest whole sentences that have `characters` together.
+
+    Whatever whole sentences in a row two texts have in common, of `characters` or more together, they have a passage in common. A text of
+    fewer characters is one passage as a whole; a null text and one without words have none.
+    """
+    parts = F.transform(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[.!?\n]+", -1), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")))
+    parts = F.filter(parts, lambda x: x != "")
+
+    def passages(every: Column) -> Column:
+        def passage(x: Column, i: Column) -> Column:
+            # each sentence more is two characters more, with the space before it
+            run = F.aggregate(F.slice(every, i + 2, characters // 2), x, lambda a, y: F.when(F.length(a) >= characters, a).otherwise(F.concat(a, F.lit(" "), y)))
+            run = F.when(F.length(x) >= characters, x).otherwise(run)
+            return F.when((F.length(run) >= characters) | (i == 0), F.xxhash64(run))
+
+        return F.array_distinct(F.array_compact(F.transform(every, passage)))
+
+    return F.transform(F.array(parts), passages)[0]  # as a lambda's variable the sentences are cut but once
 
 
 def document_links(base: DataFrame, total: int, shards: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups (g1, g2, c: rows, per: blocks under one hub, linked), nodes (id, weight, g1, g2) and links (id, hub) of the rows base (g1, g2, sentences).
 
     A node is a block of at most BLOCK rows of equal text. Blocks of one text are linked by hubs of theirs; texts that have a
-    sentence in common are linked by it, whichever it is. What is named by more rows than half a shard holds is split
+    passage in common are linked by it, whichever it is. What is named by more rows than a shard holds is split
     into several hubs, as it could not lie in one shard. Rows are counted per task before they are shuffled, nothing is gathered.
     """
-    room = max(1, total // (2 * shards))
+    room = max(1, total // shards)
     groups = base.groupBy("g1", "g2").agg(F.count("*").alias("c"), F.first("sentences").alias("sentences"))
     groups = stored(groups, "groups")
     named = groups.select("g1", "g2", "c", F.explode("sentences").alias("s"))
@@ -117,7 +134,7 @@ def document_links(base: DataFrame, total: int, shards: int) -> tuple[DataFrame,
 def shard(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Each row's size (UTF-8 bytes of the text and 16), text_crc32, shard and slot; shards' row counts differ by one at most.
 
-    Rows of equal text and texts that share sentences are linked (document_links), and labels are propagated along the links under
+    Rows of equal text and texts that share passages are linked (document_links), and labels are propagated along the links under
     quotas. A label's rows then make its shard; those beyond its exact count, unlinked ones first, go to
     the shards that have too few.
 
@@ -138,7 +155,7 @@ def shard(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shards: i
     nodes = stored(base.where("_node is not null").groupBy(F.col("_node").alias("id")).agg(F.count("*").alias("weight")), "nodes")
     # rows without links make room later, so linked ones may fill a shard
     labels = propagate(nodes, links, shards, rounds, capacity=total / shards)
-    # rows of one sentence stand together, so that one that goes to another shard takes those linked with it along
+    # rows of one passage stand together, so that one that goes to another shard takes those linked with it along
     family = links.groupBy("id").agg(F.min("hub").alias("family"))
     labels = labels.join(family, "id", "left").select(F.col("id").alias("_node"), "label", "family")
     placed = base.join(labels, "_node", "left").withColumn("label", F.coalesce("label", own)).withColumn("alone", F.col("_node").isNull())

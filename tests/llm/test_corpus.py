@@ -535,6 +535,34 @@ def test_sharding_links_texts_by_any_common_sentence(spark):
     assert sorted(r["ids"] for r in named.collect()) == [[k, k + 1] for k in range(0, 40, 2)]
 
 
+def test_sharding_links_texts_by_passages_of_short_sentences(spark):
+    """Passages against brute force: white space around sentences does not count, and short sentences in a row are linked as long ones are."""
+    r = random.Random(13)
+    words = ["ab", "cde", "f", "ghijk lmn", "opq rst uvw xyz abcdefgh ij"]
+    texts = ["".join(r.choice(words) + r.choice([". ", "!", ".\r\n", "\n\t", "? "]) for _ in range(r.randrange(9))) for _ in range(300)] + [None, "", " .\n", "No.", "no!"]
+
+    def runs(text):
+        parts = [p for x in re.split(r"[.!?\n]+", low(text)) if (p := x.strip(" \t\r\x0b\x0c"))]
+        every = [" ".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)]
+        return {x for x in every if len(x) >= 24}, " ".join(parts)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: set(x["s"]) for x in docs.select("doc_id", sharding.sentence_hashes(F.col("text")).alias("s")).collect()}
+    want = {k: runs(t) for k, t in enumerate(texts)}
+    for a in want:
+        for b in range(a):
+            (x, p), (y, q) = want[a], want[b]
+            assert bool(got[a] & got[b]) == bool(x & y or p == q != ""), (texts[a], texts[b])
+
+
+def test_sharding_links_pairs_of_small_tables(spark):
+    """What a shard can hold is not split: pairs with a sentence in common share a hub where a shard holds two rows."""
+    docs = spark.createDataFrame([(k, f"the sentence number {k // 2} that two texts have. {k}") for k in range(60)], "doc_id long, text string")
+    base = docs.select("doc_id", F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(1), "text").alias("g2"), sharding.sentence_hashes(F.col("text")).alias("sentences"))
+    _, _, links = sharding.document_links(base, 60, 30)
+    assert sorted(r["count"] for r in links.groupBy("hub").count().collect()) == [2] * 30
+
+
 def test_propagation_by_hand(spark):
     """Two cliques of four meet under a quota that holds one each; a brute-force count of cut links agrees."""
     ids = list(range(8))

@@ -45,3 +45,18 @@ def test_sharded_texts_of_one_common_sentence(spark):
     at = {x["doc_id"]: x["shard"] for x in cp.sharded(spark, docs, DATA).collect()}
     assert len(at) == 400 and set(Counter(at.values()).values()) == {10}
     assert sum(at[k] == at[k + 1] for k in range(0, 120, 2)) >= 55
+
+
+def test_sharded_texts_of_short_sentences(spark):
+    """Pairs of texts that have but a passage of sentences of 10 characters in common, on lines of other ends, go to one shard."""
+    r = random.Random(14)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    rows = [(k, [word(60) for _ in range(5)]) for k in range(400)]
+    for k in range(0, 120, 2):
+        common = [word(10) for _ in range(4)]
+        rows[k][1].extend(common)
+        rows[k + 1][1].extend(f"  {x}\r" for x in common)
+    docs = spark.createDataFrame([(k, "\n".join(t)) for k, t in rows], "doc_id long, text string")
+    at = {x["doc_id"]: x["shard"] for x in cp.sharded(spark, docs, DATA).collect()}
+    assert len(at) == 400 and set(Counter(at.values()).values()) == {10}
+    assert sum(at[k] == at[k + 1] for k in range(0, 120, 2)) >= 55
