@@ -39,14 +39,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Letters and numbers up to U+024F, and the kind of each character up to there: neither, space, other white space, letter, number.
+L, N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+#: How the library cuts texts of these characters: piece_starts restates it for many texts at once.
+PIECE = rf" ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
+_OTHER, _BLANK, _SPACE, _LETTER, _NUMBER = range(5)
+_KIND = np.array([next((k for k, c in ((_BLANK, " "), (_SPACE, r"\s"), (_LETTER, L), (_NUMBER, N)) if re.match(f"[{c}]", chr(x))), _OTHER) for x in range(0x250)], np.uint8)
+
+
+def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of PIECE begin in the UTF-8 bytes of texts below U+0250 that lie between the bounds, one after another."""
+    n = len(data)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    kind[lead] = kind[lead + 1] = _KIND[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    edge = np.zeros(n + 3, bool)
+    edge[bounds], edge[n:] = True, True
+    space = (kind == _BLANK) | (kind == _SPACE)
+    start = edge[:n].copy()
+    # a piece goes on over characters of a kind, and over all white space but the last before other characters, which joins them if it is a blank
+    start[1:] |= (kind[1:] != kind[:-1]) & ~(space[1:] & space[:-1]) & (kind[:-1] != _BLANK)
+    start[:-1] |= space[:-1] & ~space[1:] & ~edge[1:n]
+    start[1:] |= space[1:] & ~space[:-1]
+    mark = np.flatnonzero((data == 0x27) & start)
+    near = np.append(data, np.zeros(2, np.uint8))
+    one, two = near[mark + 1], near[mark + 1].astype(np.int64) << 8 | near[mark + 2]
+    short = np.isin(one, list(b"stmd")) & ~edge[mark + 1]
+    long = np.isin(two, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")]) & ~edge[mark + 1] & ~edge[mark + 2]
+    use = short | long
+    mark, after = mark[use], mark[use] + np.where(short[use], 2, 3)
+    start[mark + 1] = False
+    start[after[after < n]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
     """Byte-level BPE by the tokenizers library, piece by piece: pieces are what its pre-tokenizer cuts, and equal pieces have equal ids."""
 
-    #: Texts of these characters are cut by the regex below exactly as by the library; others go to it whole.
+    #: Texts of these characters are cut by piece_starts exactly as by the library; others go to it whole.
     PLAIN = r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*"
-    #: Letters and numbers among them.
-    L, N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-    PIECE = rf" ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,7 +91,7 @@ class Encoder:
         self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit in 16 bits")
-        self.plain, self.piece = re.compile(self.PLAIN), re.compile(self.PIECE)
+        self.plain = re.compile(self.PLAIN)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.merger = Tokenizer.from_file(path)
@@ -71,10 +102,10 @@ class Encoder:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces. Those without white space inside go to the library as lines of one text, their bytes already written as the
+        """Ids of pieces, white space last. Those without white space inside go to the library as lines of one text, their bytes already written as the
         vocabulary's letters, so that it has but to merge them: a line's end is a piece of its own, whose id parts them again."""
-        lines = [p for p in pieces if not p.isspace()]
-        rest = [p for p in pieces if p.isspace()]
+        blank = next((k for k, p in enumerate(pieces) if p.isspace()), len(pieces))
+        lines, rest = pieces[:blank], pieces[blank:]
         ids = np.array(self.merger.encode_batch_fast(["\n".join(lines).encode().decode("latin-1").translate(LETTERS)], add_special_tokens=False)[0].ids, "<u2") if lines else np.zeros(0, "<u2")
         edge = np.flatnonzero(ids == self.line)
         if len(edge) != max(0, len(lines) - 1):
@@ -85,19 +116,38 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        cut = [self.piece.findall(t) if self.plain.fullmatch(t) and not (self.added and self.added.search(t)) else None for t in texts]
-        used = set().union(*(c for c in cut if c is not None))
-        new = used.difference(self.known)
+        cut = [bool(self.plain.fullmatch(t)) and not (self.added and self.added.search(t)) for t in texts]
+        coded = [t.encode() for t, c in zip(texts, cut) if c]
+        bounds = np.cumsum([0, *map(len, coded)])
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        starts = piece_starts(data, bounds)
+        ends = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        used = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in used if p not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known, self.older, new = {}, self.known, used
         if self.older:  # what is still in use moves to the newer generation
-            again = new.intersection(self.older)
-            self.known.update({p: self.older[p] for p in again})
-            new = new.difference(again)
+            self.known.update({p: self.older[p] for p in new if p in self.older})
+            new = [p for p in new if p not in self.known]
         new = sorted(new, key=str.isspace)  # white space last, as _pieces gives it
         self.known.update(zip(new, self._pieces(new)))
-        of = self.known.__getitem__
-        return [b"".join(map(of, c)) if c is not None else self._ids([t])[0] for t, c in zip(texts, cut)]
+        held = [self.known[p] for p in used]
+        # the ids of each different piece, then of each piece in order
+        flat, size = np.frombuffer(b"".join(held), "<u2"), np.fromiter(map(len, held), np.int64, len(held)) // 2
+        at, which = np.cumsum(size) - size, pieces.indices.to_numpy()
+        to = np.concatenate([[0], np.cumsum(size[which])])
+        ids = flat[np.repeat(at[which] - to[:-1], size[which]) + np.arange(to[-1])].tobytes()
+        of = iter((2 * to[np.searchsorted(starts, bounds)]).tolist())
+        out, begin = [], next(of)
+        for t, c in zip(texts, cut):
+            if c:
+                end = next(of)
+                out.append(ids[begin:end])
+                begin = end
+            else:
+                out.append(self._ids([t])[0])
+        return out
 
 
 def encoder(path: str, literal: bool = True) -> Encoder:
@@ -155,7 +205,7 @@ def _writer(path: str, end: int, literal: bool):
             texts, at = batch.column(1), 0
             while at < len(batch):
                 part, size = [], 0
-                while at + len(part) < len(batch) and (not part or size < 1 << 20) and len(part) < 512:
+                while at + len(part) < len(batch) and (not part or size < 1 << 22) and len(part) < 2048:
                     part.append(texts[at + len(part)].as_py() or "")
                     size += len(part[-1])
                 n, recipes, roots, payloads = [], [], [], []

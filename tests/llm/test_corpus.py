@@ -465,6 +465,21 @@ def test_token_store_query_keeps_the_tokenizers_default(spark, tmp_path):
         at += len(ids)
 
 
+def test_pieces_of_many_texts_at_once():
+    """Texts cut together have the pieces of the library's regular expression, and the ids of the library text by text."""
+    r = random.Random(15)
+    some = [*"abstmdrevl'  \n\t\r09.,-é²×ɏªß¼", " '", "'re", "'ll", "'s", "\n've"]
+    enc, piece = tokenstore.Encoder(tokenstore.default_tokenizer(), False), re.compile(tokenstore.PIECE)
+    for _ in range(300):
+        texts = ["".join(r.choice(some) for _ in range(r.randrange(14))) for _ in range(r.randrange(12))]
+        data = "".join(texts).encode()
+        at = tokenstore.piece_starts(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])).tolist()
+        assert [data[a:b].decode() for a, b in zip(at, [*at[1:], len(data)])] == [p for t in texts for p in piece.findall(t)]
+        texts += [r.choice(["日本 語", "<|endoftext|> a", "\u00a0x", ""]) for _ in range(r.randrange(3))]
+        r.shuffle(texts)
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_chunks_follow_content():
     ids = np.random.default_rng(2).integers(0, 50_000, 20_000)
     a, b = tokenstore.cuts(ids), tokenstore.cuts(ids[777:])
