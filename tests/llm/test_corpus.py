@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -201,6 +202,68 @@ def test_substring_without_stops(spark):
     assert {(x["doc_id"], x["removed"]) for x in got} == {(k, bool(k % 2)) for k in range(len(rows))}
 
 
+def test_substring_writes_what_is_shared(spark, monkeypatch):
+    """Intermediate tables and shuffles are in proportion to what texts share, not to all of their paragraphs."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    text = lambda n: " ".join(word() + "." * (r.random() < 0.2) for _ in range(n))
+    rows = [(k, text(600)) for k in range(300)]
+    rows += [(300 + k, f"{text(300)} {rows[k][1]}") for k in range(3)]
+    wrote = []
+
+    def stored(df, tag, *a):
+        out = keep(df, tag, *a)
+        wrote.append(sum(p.stat().st_size for p in Path(out._stored_at.removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    keep = substring.stored
+    monkeypatch.setattr(substring, "stored", stored)
+    got = substring.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {(x["doc_id"], x["removed"]) for x in got} == {(k, False) for k in range(3)} | {(300 + k, True) for k in range(3)}
+    assert sum(wrote) < 0.1 * sum(len(x) for _, x in rows)
+
+
+def test_substring_links():
+    """What pairs that are similar and apart join, against all pairs: groups of near copies, with and without a phrase in common."""
+    rng = np.random.default_rng(6)
+    for phrase in (0, 14):
+        common = rng.integers(0, 1 << 62, phrase)
+        sets, h = [], []
+        for g in range(6):
+            for _ in range(5):
+                origin = rng.integers(0, 1 << 62, 20)
+                for _ in range(6):
+                    sets.append(np.unique(np.concatenate([common, rng.choice(origin, 20 - rng.integers(0, 5), replace=False), rng.integers(0, 1 << 62, rng.integers(0, 4))])))
+                    h.append(g)
+        n, h = len(sets), np.array(h)
+        e, d, at = rng.permutation(n).astype(np.int64), rng.integers(0, 8, n), rng.integers(0, 60, n)
+        a, b = substring._links(h, e, d, at, np.full(n, 20), [x.tobytes() for x in sets], 80)
+        joined = lambda pairs: {frozenset(int(y) for y in e if root(pairs, int(y)) == x) for x in {root(pairs, int(y)) for y in e}}
+
+        def root(up, x):
+            while x in up:
+                x = up[x]
+            return x
+
+        want, near = {}, 0
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if h[i] == h[j] and (d[i] != d[j] or abs(at[i] - at[j]) >= 20) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    near += 1
+                    x, y = sorted((root(want, int(e[i])), root(want, int(e[j]))))
+                    want |= {y: x} if x != y else {}
+        assert near > 50 and joined(dict(zip(a.tolist(), b.tolist()))) == joined(want)
+
+
+def test_substring_large_bands(spark, docs):
+    """Bands that are too large for one task, and keys that are no numbers, give the same."""
+    want = {tuple(x) for x in substring.repeated_paragraphs(docs).collect()}
+    assert want and {tuple(x) for x in substring.repeated_paragraphs(docs, group=2).collect()} == want
+    named = docs.select(F.format_string("k%012d", "doc_id").alias("doc_id"), "text")
+    assert {(int(x[0][1:]), *x[1:]) for x in substring.repeated_paragraphs(named).collect()} == want
+
+
 def test_lm(docs, texts, odd):
     got = {r["doc_id"]: r for r in lm.lm_scores(docs, known=2000).collect()}
     tokens = {k: [*WORD.findall(low(t)), None] for k, t in texts.items()}
