@@ -28,6 +28,8 @@ def _islands(df: DataFrame, c, on: list[str], min_dist: int | None, tie: list[st
     # as differences, so that an end at the largest long does not overflow
     apart = (s >= far) if min_dist is None else (s > far) & (s - far > min_dist)
     df = df.withColumn("_border", F.when(far.isNull() | apart, 1).otherwise(0).cast("long"))
+    # of equal rows the one that opens the cluster comes first, however the rows were dealt between the passes
+    order = [*order[:2], F.col("_border").desc(), *order[2:]]
     return running(df, keys, c.start, order, {"_island": (F.col("_border"), "sum")}, stretch=wide).drop("_far", "_border")
 
 

@@ -103,6 +103,21 @@ def test_merge_over_stretches(spark):
     assert rows(islands.merge(frame(spark, far)), "start", "end", "n_intervals") == sorted([(65_000, 140_000, 3), (140_001, 140_002, 1), (-70_000, -65_000, 1)], key=str)
 
 
+@pytest.mark.parametrize("dist, want", [(0, [(0, 9, 3), (20, 25, 2)]), (None, [(0, 5, 2), (5, 9, 1), (20, 25, 2)]), (11, [(0, 25, 5)])])
+def test_merge_of_equal_rows_in_any_order(spark, monkeypatch, dist, want):
+    passes = islands.running
+
+    def dealt_anew(*args, **more):
+        """Equal rows come from the first pass with the one that opens the cluster last."""
+        out = passes(*args, **more)
+        return out.repartition(1).sortWithinPartitions(F.col("_far").desc_nulls_last()) if "_far" in out.columns else out
+
+    monkeypatch.setattr(islands, "running", dealt_anew)
+    df = frame(spark, [("c", 20, 25), ("c", 0, 5), ("c", 5, 9), ("c", 0, 5), ("c", 20, 25)])
+    assert rows(islands.merge(df, dist), "start", "end", "n_intervals") == sorted(want, key=str)
+    assert islands.cluster(df, dist).select("cluster").distinct().count() == len(want)
+
+
 def test_complement_and_subtract(spark):
     df = frame(spark, [("chr1", 1, 5), ("chr1", 3, 8), ("chr1", 10, 10), ("chr2", 0, 20)])
     view = spark.createDataFrame([("chr1", 0, 15, "a"), ("chr2", 0, 20, "b"), ("chr3", 4, 9, "d")], SCHEMA + ", name string")
