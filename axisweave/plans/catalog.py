@@ -11,6 +11,7 @@ from axisweave.functions.regions import region_columns, ucsc_string
 from axisweave.operators import algebra, checks, islands, joins, nearest, ranges
 from axisweave.sources.bed import to_bed_dataframe
 from axisweave.plans.tables import CTE, events, lineitems, orders, parts, view
+from axisweave.storage import numbered
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -84,8 +85,11 @@ _add("trim", lambda s, d: ranges.trim(orders(s, d), view(s, d)).select("okey", "
 
 
 def _sorted(s: SparkSession, d: str) -> DataFrame:
-    """Rows with the place that the sort gives them; rows of equal coordinates share the first of their places."""
-    df = ranges.sort_bedframe(orders(s, d), view(s, d)).withColumn("_m", F.monotonically_increasing_id())
+    """Rows with the place that the sort gives them; rows of equal coordinates share the first of their places.
+
+    The numbers are written down: read twice, the sort may be cut into other partitions, and places would not match them.
+    """
+    df = numbered(ranges.sort_bedframe(orders(s, d), view(s, d)), "_m")
     offset = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
     base = df.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(offset), F.lit(0)).alias("_base"))
