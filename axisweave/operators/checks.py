@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisweave.config import interval_cols
 from axisweave.operators.joins import met, setdiff
+from axisweave.operators.running import in_order
 
 
 def _fail(raise_errors: bool, kind: type[Exception], text: str) -> bool:
@@ -109,11 +110,14 @@ def is_tiling(df: DataFrame, view_df: DataFrame, raise_errors: bool = False, df_
 
 
 def is_sorted(df: DataFrame, view_df: DataFrame | None = None, *, order_col: str, df_view_col: str | None = None, view_name_col: str = "name", cols=None, cols_view=None) -> bool:
-    """Rows in the order of order_col are in the order of sort_bedframe. Each row is compared with the one before."""
+    """Rows in the order of order_col are in the order of sort_bedframe; where order_col is equal, any order will do.
+
+    Each row is compared with the one before, in two levels (in_order).
+    """
     from axisweave.operators.ranges import sort_key
 
     c, v = interval_cols(cols), interval_cols(cols_view)
     df, order = sort_key(view_df, df, df_view_col, view_name_col, c, v)
     key = F.struct(*[x for n in (([] if view_df is None else ["_view_ord"]) + list(c[view_df is not None :])) for x in (F.col(n).isNull().alias(f"{n}_null"), F.col(n))])
-    w = Window.orderBy(order_col)
-    return df.select(order_col, key.alias("k")).withColumn("p", F.lag("k").over(w)).where("p > k").isEmpty()
+    per = in_order(df, order_col, key, [F.coalesce(F.max(F.col("p") > F.col("v")), F.lit(False)).alias("bad")])
+    return per.where("bad or p > v").isEmpty()

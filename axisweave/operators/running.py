@@ -67,3 +67,16 @@ def beside(df: DataFrame, keys: list[str], pos: str, order: list[str], value: Co
     df = df.withColumn("_h", move("_v").over(Window.partitionBy(*names).orderBy(*order)))
     df = df.join(total, reduce(lambda a, b: a & b, (df[n].eqNullSafe(total[f"_k{i}"]) for i, n in enumerate(names))), "left")
     return df.withColumn(name, F.coalesce("_h", "_p")["v"]).drop("_s", "_v", "_h", "_p", *[f"_k{i}" for i in range(len(names))])
+
+
+def in_order(df: DataFrame, order_col: str, value: Column, aggs: list[Column]) -> DataFrame:
+    """One row for each range of order_col (about STRETCH_ROWS rows, any type of column): aggs over the range's v (value) and p (the value of the row before within the range, null in its first row), then v, the range's first value, and p, the last value of the range before.
+
+    Where order_col is equal, rows are in the order of their values. All comes from one plan, as ranges drawn twice can differ.
+    """
+    n = 1 + df.count() // STRETCH_ROWS
+    rows = df.select(F.col(order_col).alias("o"), value.alias("v")).repartitionByRange(n, "o").withColumn("_p", F.spark_partition_id())
+    rows = rows.withColumn("p", F.lag("v").over(Window.partitionBy("_p").orderBy("o", "v")))
+    row = F.struct("o", "v")
+    per = rows.groupBy("_p").agg(*aggs, F.min(row)["v"].alias("v"), F.max(row)["v"].alias("_last"))
+    return per.withColumn("p", F.lag("_last").over(Window.orderBy("_p"))).drop("_last")

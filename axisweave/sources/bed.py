@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import shutil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axisweave.operators.running import in_order
 from axisweave.sources.formats import FIELDS
 
 BED12 = FIELDS["bed12"]
@@ -85,12 +86,14 @@ def validate_bed_fields(df: DataFrame, n: int, chromsizes: dict[str, int] | None
 
 def check_is_sorted(df: DataFrame, order_col: str) -> bool:
     """Chromosomes in one block each and starts and ends in order, by the order of order_col."""
-    w = Window.orderBy(order_col)
-    x = df.select("chrom", "start", "end", F.lag("chrom").over(w).alias("pc"), F.lag("start").over(w).alias("ps"), F.lag("end").over(w).alias("pe"))
-    new = F.coalesce(F.col("pc") != F.col("chrom"), F.lit(True))
-    bad = ~new & ((F.col("start") < F.col("ps")) | ((F.col("start") == F.col("ps")) & (F.col("end") < F.col("pe"))))
-    r = x.agg(F.sum(new.cast("int")).alias("blocks"), F.count_distinct("chrom").alias("chroms"), F.max(F.coalesce(bad, F.lit(False))).alias("bad")).first()
-    return not r["bad"] and (r["blocks"] or 0) == r["chroms"]
+    v, p = (lambda c: F.col("v")[c]), (lambda c: F.col("p")[c])
+    new = F.coalesce(p("chrom") != v("chrom"), F.lit(True))
+    bad = F.coalesce(~new & ((v("start") < p("start")) | ((v("start") == p("start")) & (v("end") < p("end")))), F.lit(False))
+    # a range's first row is compared with the range before, so that it counts there alone
+    within = F.when(F.col("p").isNotNull(), new.cast("long"))
+    per = in_order(df, order_col, F.struct("chrom", "start", "end"), [F.sum(within).alias("blocks"), F.max(bad).alias("bad")])
+    r = per.agg(F.sum(F.coalesce("blocks", F.lit(0)) + new.cast("long")).alias("blocks"), F.coalesce(F.max(F.col("bad") | bad), F.lit(False)).alias("bad")).first()
+    return not r["bad"] and (r["blocks"] or 0) == df.agg(F.count_distinct("chrom")).first()[0]
 
 
 def to_bed_dataframe(df: DataFrame, schema: str = "infer", validate_fields: bool = True, chromsizes: dict[str, int] | None = None, strict_score: bool = False) -> DataFrame:

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from axisweave.operators import algebra, checks, islands, joins, nearest, ranges
+from axisweave.operators import algebra, checks, islands, joins, nearest, ranges, running
+from axisweave.sources.bed import check_is_sorted
 
 SCHEMA = "chrom string, start long, end long"
 
@@ -207,6 +208,21 @@ def test_checks(spark):
     assert checks.is_sorted(n, order_col="i") and not checks.is_sorted(n.withColumn("i", -F.col("i")), order_col="i")
 
 
+def test_sorted_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(running, "STRETCH_ROWS", 10)
+    at = [("c", 3 * i, 3 * i + 1, i) for i in range(60)]
+    flip = lambda k: [*at[:k], ("c", *at[k + 1][1:3], k), ("c", *at[k][1:3], k + 1), *at[k + 2 :]]
+    look = lambda r: frame(spark, r, ", i long").repartition(3, "start")
+    assert checks.is_sorted(look(at), order_col="i") and check_is_sorted(look(at), "i")
+    for k in (0, 9, 10, 31, 58):  # within ranges and at their borders
+        assert not checks.is_sorted(look(flip(k)), order_col="i") and not check_is_sorted(look(flip(k)), "i")
+    torn = [("d" if i == 40 else c, s, e, i) for c, s, e, i in at]
+    assert not check_is_sorted(look(torn), "i") and check_is_sorted(look([("d" if i > 40 else c, s, e, i) for c, s, e, i in at]), "i")
+    equal = frame(spark, [("c", 5, 6, 0), ("c", 1, 2, 0), ("c", 7, 9, 1)], ", i long").coalesce(1)
+    assert checks.is_sorted(equal, order_col="i") and check_is_sorted(equal, "i")
+    assert checks.is_sorted(frame(spark, [], ", i long"), order_col="i") and check_is_sorted(frame(spark, [], ", i long"), "i")
+
+
 def test_depth_and_levels(spark):
     df = frame(spark, [("c", 0, 5), ("c", 3, 8)])
     assert rows(islands.depth_profile(df), "start", "end", "depth") == [(0, 3, 1), (3, 5, 2), (5, 8, 1)]
