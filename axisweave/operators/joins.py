@@ -47,18 +47,17 @@ def _sides(df: DataFrame, cols: IntervalCols, on: list[str], tag: str, rid: str,
     return df.select(*keep, *keys).where(F.col(f"c{tag}").isNotNull() & F.col(f"s{tag}").isNotNull() & F.col(f"w{tag}").isNotNull())
 
 
-def bin_width(*sides: tuple[DataFrame, str, str]) -> tuple[int, int]:
-    """Power of two that is at least the larger mean length, so that binned copies at most double the rows; and the largest end in use.
-
-    Ends beyond what the other side reaches are clipped first, so a sentinel end does no harm. One job: a histogram of
-    lengths by powers of two, which has a few rows whatever the tables' sizes.
-    """
+def _lengths(*sides: tuple[DataFrame, str, str]) -> list:
+    """A histogram of the sides' lengths by powers of two, with rows, sum of lengths and largest start: one job, a few rows whatever the tables' sizes."""
     parts = [df.select(F.lit(k).alias("side"), F.col(s).alias("s"), (F.col(e) - F.col(s)).cast("double").alias("n")) for k, (df, s, e) in enumerate(sides)]
     rows = reduce(lambda x, y: x.unionByName(y), parts).groupBy("side", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1.0)))).alias("power"))
-    rows = rows.agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.max("s").alias("s")).collect()
+    return rows.agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.max("s").alias("s")).collect()
+
+
+def _width(rows: list) -> tuple[int, int]:
     last = max((r["s"] for r in rows), default=0) + 1
     width = 64
-    for k in range(len(sides)):
+    for k in {r["side"] for r in rows}:
         own = [r for r in rows if r["side"] == k]
         mean = sum(min(r["n"], r["c"] * max(last, 1)) for r in own) / max(1, sum(r["c"] for r in own))
         while width < mean:
@@ -66,22 +65,32 @@ def bin_width(*sides: tuple[DataFrame, str, str]) -> tuple[int, int]:
     return width, last
 
 
+def bin_width(*sides: tuple[DataFrame, str, str]) -> tuple[int, int]:
+    """Power of two that is at least the larger mean length, so that binned copies at most double the rows; and the largest end in use.
+
+    Ends beyond what the other side reaches are clipped first, so a sentinel end does no harm.
+    """
+    return _width(_lengths(*sides))
+
+
 def _bins(start: Column, end: Column, width: int, last: int) -> Column:
     """Numbers of the bins that an interval meets, its end clipped."""
     lo = floor_div(start, width)
     return F.explode(F.sequence(lo, F.greatest(lo, floor_div(F.least(end, F.lit(last)) - 1, width))))
 
 
+def _side(df: DataFrame, c: IntervalCols, on: list[str], t: str, keep: list[Column], closed: bool) -> DataFrame:
+    """Keys, coordinates, widened end and the kept columns of the rows that can match."""
+    s, e = F.col(c.start).cast("long"), F.col(c.end).cast("long")
+    keys = [F.col(k).alias(f"_k{i}_{t}") for i, k in enumerate(on)]
+    out = df.select(F.col(c.chrom).alias(f"_c{t}"), s.alias(f"_s{t}"), e.alias(f"_e{t}"), wide_end(s, e, closed).alias(f"_w{t}"), *keys, *keep)
+    return out.where(F.col(f"_c{t}").isNotNull() & F.col(f"_s{t}").isNotNull() & F.col(f"_e{t}").isNotNull())
+
+
 def met(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], keep1: list[Column], keep2: list[Column], width: int | None = None, kind: str = "inner", closed: bool = False, bins: tuple[int, int] | None = None) -> DataFrame:
     """Overlapping rows with _s1, _e1, _s2, _e2 and the kept columns of both (of the first with kind left_semi): one equi-join on axis, keys and bin, each pair taken in the first bin that both share. No row numbers are needed. bins: width and last end, if bin_width() is known."""
 
-    def side(df: DataFrame, c: IntervalCols, t: str, keep: list[Column]) -> DataFrame:
-        s, e = F.col(c.start).cast("long"), F.col(c.end).cast("long")
-        keys = [F.col(k).alias(f"_k{i}_{t}") for i, k in enumerate(on)]
-        out = df.select(F.col(c.chrom).alias(f"_c{t}"), s.alias(f"_s{t}"), e.alias(f"_e{t}"), wide_end(s, e, closed).alias(f"_w{t}"), *keys, *keep)
-        return out.where(F.col(f"_c{t}").isNotNull() & F.col(f"_s{t}").isNotNull() & F.col(f"_e{t}").isNotNull())
-
-    a, b = side(df1, cols1, "1", keep1), side(df2, cols2, "2", keep2)
+    a, b = _side(df1, cols1, on, "1", keep1, closed), _side(df2, cols2, on, "2", keep2, closed)
     found, last = bins or bin_width((a, "_s1", "_w1"), (b, "_s2", "_w2"))
     w = width or found
     a, b = (df.withColumn(f"_b{t}", _bins(F.col(f"_s{t}"), F.col(f"_w{t}"), w, last)) for df, t in ((a, "1"), (b, "2")))
@@ -114,6 +123,43 @@ def _hit_contents(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: Interval
     return met(mine, other, names, names, keys, [F.struct("_c", "_s", "_e", *keys).alias("_x")], [], width, "left_semi", closed).select("_x.*").distinct()
 
 
+def _kept(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: IntervalCols, on: list[str], kind: str, width: int | None, closed: bool = False) -> DataFrame:
+    """_x and _y (rows of df1 and df2) of a join that keeps, or asks for, whole rows of df1: left, left_semi or left_anti (_x alone).
+
+    A row of df1 is in the one bin of its start and a row of df2 in all bins in which a row that it overlaps can start, so one
+    equi-join tells what a row meets, and that it meets nothing. The reach is the power of two above df1's lengths, or, where a few
+    are much longer than the mean, twice the width of bins; those that are longer go through met(), rows that can't match pass by.
+    """
+    x, y = [_row(df1, "_x")], [] if kind != "left" else [_row(df2, "_y")]
+    a, b = _side(df1, c1, on, "1", x, closed), _side(df2, c2, on, "2", y, closed)
+    rows = _lengths((a, "_s1", "_w1"), (b, "_s2", "_w2"))
+    found, last = _width(rows)
+    longest = max((2 << r["power"] for r in rows if r["side"] == 0), default=1)
+    reach = min(longest, 2 * found)
+    w = width or max(found, 4 * reach)
+    short = (F.col("_w1") <= F.col("_s1")) | (F.col("_w1") - F.col("_s1") <= reach)
+    near = (a if longest <= reach else a.where(short)).withColumn("_b1", floor_div(F.col("_s1"), w))
+    least = F.greatest(F.col("_s2"), F.lit(reach - 1 - (1 << 63))) - (reach - 1)
+    lo = floor_div(least, w)
+    far = b.withColumn("_b2", F.explode(F.sequence(lo, F.greatest(lo, floor_div(F.least("_w2", F.lit(last)) - 1, w)))))
+    keys = [near["_c1"] == far["_c2"], near["_b1"] == far["_b2"], *[near[f"_k{i}_1"].eqNullSafe(far[f"_k{i}_2"]) for i in range(len(on))]]
+    hit = (F.col("_s1") < F.col("_w2")) & (F.col("_s2") < F.col("_w1"))
+    keep = ["_x", "_y"] if kind == "left" else ["_x"]
+    out = near.join(far, reduce(lambda p, q: p & q, keys) & hit, kind).select(*keep)
+    none = [] if kind != "left" else [F.lit(None).cast(b.schema["_y"].dataType).alias("_y")]
+    if longest > reach:
+        long = df1.where(wide_end(F.col(c1.start).cast("long"), F.col(c1.end).cast("long"), closed) - F.col(c1.start).cast("long") > reach)
+        hits = _hit_contents(long, df2, c1, c2, on, width, closed)
+        if kind == "left":
+            out = out.unionByName(met(long, df2, c1, c2, on, x, y, width, closed=closed).select(*keep))
+        side = "left_semi" if kind == "left_semi" else "left_anti"
+        long = long.where(F.col(c1.chrom).isNotNull())
+        out = out.unionByName(long.join(hits, _on_content(long, hits, c1, on), side).select(*x, *none))
+    if kind == "left_semi":
+        return out
+    return out.unionByName(df1.where(F.col(c1.chrom).isNull() | F.col(c1.start).isNull() | F.col(c1.end).isNull()).select(*x, *none))
+
+
 def pairs(df1: DataFrame, df2: DataFrame, cols1: IntervalCols, cols2: IntervalCols, on: list[str], rid1: str = "_rid", rid2: str = "_rid", width: int | None = None, closed: bool = False) -> DataFrame:
     """r1, r2 of all overlapping pairs: an equi-join on axis, keys and bin, each pair taken in the first bin that both share."""
     a, b = _sides(df1, cols1, on, "1", rid1, closed), _sides(df2, cols2, on, "2", rid2, closed)
@@ -176,15 +222,16 @@ def overlap(
 
 
 def _overlap_plain(df1: DataFrame, df2: DataFrame, how: str, return_input: bool, return_overlap: bool | str, suffixes, c1: IntervalCols, c2: IntervalCols, on: list[str], width: int | None, closed: bool = False) -> DataFrame:
-    """Without row numbers: one binned join that carries both rows, and for the kept sides the rows whose contents meet nothing."""
-    rows = met(df1, df2, c1, c2, on, [_row(df1, "_x")], [_row(df2, "_y")], width, closed=closed).select("_x", "_y")
-    none = lambda name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
-    if how in ("left", "outer"):
-        hit = _hit_contents(df1, df2, c1, c2, on, width, closed)
-        rows = rows.unionByName(df1.join(hit, _on_content(df1, hit, c1, on), "left_anti").select(_row(df1, "_x"), none("_y")))
-    if how in ("right", "outer"):
-        hit = _hit_contents(df2, df1, c2, c1, on, width, closed)
-        rows = rows.unionByName(df2.join(hit, _on_content(df2, hit, c2, on), "left_anti").select(none("_x"), _row(df2, "_y")))
+    """Without row numbers: one binned join that carries both rows, and with outer the rows of df2 that meet nothing."""
+    if how == "inner":
+        rows = met(df1, df2, c1, c2, on, [_row(df1, "_x")], [_row(df2, "_y")], width, closed=closed).select("_x", "_y")
+    elif how == "right":
+        rows = _kept(df2, df1, c2, c1, on, "left", width, closed).select(F.col("_y").alias("_x"), F.col("_x").alias("_y"))
+    else:
+        rows = _kept(df1, df2, c1, c2, on, "left", width, closed)
+    if how == "outer":
+        none = F.lit(None).cast(rows.schema["_x"].dataType).alias("_x")
+        rows = rows.unionByName(_kept(df2, df1, c2, c1, on, "left_anti", width, closed).select(none, F.col("_x").alias("_y")))
     x, y, (sx, sy) = (lambda c: F.col("_x")[c]), (lambda c: F.col("_y")[c]), suffixes
     cols = [x(c).alias(f"{c}{sx}") for c in df1.columns] + [y(c).alias(f"{c}{sy}") for c in df2.columns] if return_input else []
     if return_overlap:
@@ -199,16 +246,14 @@ def setdiff(df1: DataFrame, df2: DataFrame, *, cols1=None, cols2=None, on: list[
     """Rows of df1 that overlap nothing in df2 (anti join); null rows stay."""
     c1, c2 = interval_cols(cols1), interval_cols(cols2)
     on = _check_on(on, c1, c2)
-    hit = _hit_contents(df1, df2, c1, c2, on, width)
-    return df1.join(hit, _on_content(df1, hit, c1, on), "left_anti")
+    return _kept(df1, df2, c1, c2, on, "left_anti", width).select("_x.*")
 
 
 def semi(df1: DataFrame, df2: DataFrame, *, cols1=None, cols2=None, on: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Rows of df1 that overlap something in df2, once each."""
     c1, c2 = interval_cols(cols1), interval_cols(cols2)
     on = _check_on(on, c1, c2)
-    hit = _hit_contents(df1, df2, c1, c2, on, width)
-    return df1.join(hit, _on_content(df1, hit, c1, on), "left_semi")
+    return _kept(df1, df2, c1, c2, on, "left_semi", width).select("_x.*")
 
 
 def _summed(df1: DataFrame, df2: DataFrame, c1: IntervalCols, c2: IntervalCols, on: list[str], value: Column, name: str, suffix: str, return_input: bool, width: int | None, bins: tuple[int, int] | None = None) -> DataFrame:

@@ -54,6 +54,35 @@ def test_overlap(two, how):
         assert rows(joins.overlap(x, y, how, width=width), "id", "id_") == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_overlap_of_long_and_far_rows(spark, how):
+    """Short rows, a few that reach over many bins, a sentinel end, points, equal rows and rows that lack something."""
+    r = random.Random(5)
+    some = lambda n, k: [("c", s, s + r.choice([0, 1, 9, 40]), i) for i in range(n) for s in [r.randrange(-900, 900)]] + [("c", -700, 800, n), ("c", 0, 2**63 - 2, n + 1), ("c", -5000 - k, -890, n + 2), (None, 1, 2, n + 3), ("c", None, None, n + 4), (None, None, None, n + 5), ("d", 1, 2, n + 6)]
+    a, b = some(60, 1), some(25, 2)
+    a += [(*p[:3], p[3] + 100) for p in a[:10]]
+    meets = lambda p, q: p[1] is not None and q[1] is not None and hit(p, q)
+    want = [(p[3], q[3]) for p, q in itertools.product(a, b) if meets(p, q)]
+    if how != "right":
+        want += [(p[3], None) for p in a if not any(meets(p, q) for q in b)]
+    if how != "left":
+        want += [(None, q[3]) for q in b if not any(meets(p, q) for p in a)]
+    x, y = frame(spark, a, ", id long"), frame(spark, b, ", id long")
+    assert rows(joins.overlap(x, y, how), "id", "id_") == sorted(want, key=str)
+
+
+def test_kept_rows_take_one_join(spark):
+    """Each side of a left join is shuffled once, where nothing is long."""
+    a, b = frame(spark, some(3, 40)[:-1], ", id long"), frame(spark, some(4, 40)[:-1], ", id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+        assert plan(joins.overlap(a, b, "left")).count("Join") == 1
+        assert plan(joins.setdiff(a, b)).count("Join") == 1 and plan(joins.overlap(a, b, "outer")).count("Join") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_overlap_columns_and_errors(spark, two):
     _, _, x, y = two
     df = joins.overlap(x, y, "inner", return_index=True, return_overlap="o")
