@@ -74,7 +74,6 @@ def closest(
     both = found[0]
     for x in found[1:]:
         both = both.unionByName(x)
-    both = both.distinct()
     both = both.where("q <> t") if own else both
     both = both.join(q.drop("c", "minus"), "q").join(t.drop("c"), "t")
     hit = (F.col("s1") < wide_end(F.col("s2"), F.col("e2"))) & (F.col("s2") < wide_end(F.col("s1"), F.col("e1")))
@@ -83,7 +82,9 @@ def closest(
     if ignore_overlaps:
         both = both.where(~F.col("hit"))
     near = Window.partitionBy("q").orderBy(F.when(F.col("hit"), 0).otherwise(F.col("gap") + 1), F.col("tie"), F.col("t"))
-    best = both.withColumn("_nth", F.row_number().over(near)).where(F.col("_nth") <= k).select("q", "t", "gap", "hit", "s1", "e1", "s2", "e2")
+    # a target found in two ways has one rank and is next to itself: no distinct over the candidates, whose hash tables are large
+    best = both.withColumn("_nth", F.dense_rank().over(near)).where(F.col("_nth") <= k).withColumn("_same", F.lag("t").over(near))
+    best = best.where(F.col("_same").isNull() | (F.col("_same") != F.col("t"))).select("q", "t", "gap", "hit", "s1", "e1", "s2", "e2")
     left = a.select("_q", F.struct(*df1.columns).alias("_x"))
     right = b.select("_t", F.struct(*names2).alias("_y"))
     out = left.join(best, left["_q"] == best["q"], "left").join(right, F.col("t") == right["_t"], "left")

@@ -202,6 +202,14 @@ def test_closest(two, k):
     assert rows(nearest.closest(x, None, k, tie_breaking_col="id"), "id", "id_", "distance") == nearest_brute(a, a, k, own=True)
 
 
+def test_closest_of_targets_found_twice(spark):
+    """Points that are overlaps and neighbours by rank count once, without a hash table of all candidates."""
+    a, b = [("c", 5, 5, 0), ("c", 5, 9, 1), ("c", 6, 6, 2)], [("c", 5, 5, 0), ("c", 5, 5, 1), ("c", 6, 6, 2), ("c", 9, 9, 3)]
+    df = nearest.closest(frame(spark, a, ", id long"), frame(spark, b, ", id long"), 3, tie_breaking_col="id")
+    assert rows(df, "id", "id_", "distance") == nearest_brute(a, b, 3)
+    assert "keys=[q#" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_closest_direction(spark):
     a = frame(spark, [("c", 10, 12, "+"), ("c", 10, 12, "-")], ", strand string")
     b = frame(spark, [("c", 1, 5, "l"), ("c", 20, 25, "r")], ", strand string")
